@@ -21,6 +21,8 @@ _DEPS = {
 SPLIT_SQL = ("CASE WHEN ('0x' || substr(md5(CAST({id} AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 "
              "THEN 'test' ELSE 'train' END")
 
+FOLD_SQL = "CAST(('0x' || substr(md5('fold' || CAST({id} AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER)"
+
 _FEATURES = ("nurse_ratio", "specialist_availability", "facility_beds",
              "patient_load", "triage_time_min", "registration_time_min",
              "visit_hour", "urgency_priority")
@@ -97,6 +99,26 @@ _BODIES = {
         f"SELECT model, '{f}' AS feature, coalesce(abs(corr(CAST({f} AS DOUBLE), y_pred)), 0.0) AS raw "
         f"FROM scored GROUP BY model" for f in _FEATURES) + """
   ) w""",
+    "comparison": """
+  SELECT 'session_1' AS session, g.dataset, 'wait_min' AS target, g.model,
+         round(1 - tmse / nullif(tvy, 0), 6) AS test_r2, round(sqrt(tmse), 6) AS test_rmse,
+         round(tmae, 6) AS test_mae, round(greatest(cv.cv_score, 1e-5::DOUBLE), 6) AS cv_score,
+         round(cv.cv_std, 6) AS cv_std, CAST(NULL AS DOUBLE) AS training_time,
+         round((1 - rmse_ / nullif(rvy, 0)) - (1 - tmse / nullif(tvy, 0)), 6) AS overfitting
+  FROM (SELECT dataset, model,
+               avg(CASE WHEN split = 'test' THEN (y_true - y_pred) * (y_true - y_pred) END) AS tmse,
+               avg(CASE WHEN split = 'test' THEN abs(y_true - y_pred) END) AS tmae,
+               var_pop(CASE WHEN split = 'test' THEN y_true END) AS tvy,
+               avg(CASE WHEN split = 'train' THEN (y_true - y_pred) * (y_true - y_pred) END) AS rmse_,
+               var_pop(CASE WHEN split = 'train' THEN y_true END) AS rvy
+        FROM scored GROUP BY dataset, model) g
+  LEFT JOIN (SELECT dataset, model, avg(r2) AS cv_score, stddev_pop(r2) AS cv_std
+             FROM (SELECT dataset, model, fold, 1 - avg(e * e) / nullif(var_pop(y_true), 0) AS r2
+                   FROM (SELECT dataset, model, y_true, y_true - y_pred AS e,
+                                """ + FOLD_SQL.format(id="id") + """ AS fold
+                         FROM scored WHERE split = 'train') f
+                   GROUP BY dataset, model, fold) x
+             GROUP BY dataset, model) cv USING (dataset, model)""",
 }
 
 

@@ -182,3 +182,11 @@ def importance(spark: SparkSession, sf_dir: str, scored_df: DataFrame | None = N
     total = F.sum("raw").over(Window.partitionBy("model"))
     return long.select("model", "feature",
                        F.round(F.try_divide(F.col("raw"), total), 9).alias("score"))
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison table of the stand-in models per dataset (one row per
+    (dataset, model)); see :func:`wardstats.operators.evaluate.comparison`."""
+    from wardstats.operators.evaluate import comparison as build
+
+    return build(scored(spark, sf_dir))
