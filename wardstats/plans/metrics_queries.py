@@ -198,7 +198,7 @@ def wait_guideline(spark, sf):
 
 
 _VISIT_COLS = ("visit_id", "patient_id", "visit_ts", "event_type", "wait_min", "patient_load", "urgency_level",
-               "region", "specialist_availability", "facility_beds", "nurse_ratio", "triage_time_min",
+               "region", "specialist_availability", "facility_beds", "nurse_staff_ratio", "triage_time_min",
                "registration_time_min", "visit_hour", "urgency_priority")
 
 
@@ -216,7 +216,7 @@ def kpi_overview(spark, sf):
     return cm.kpi_overview(_test(spark, sf), V.visits_gappy(spark, sf), "wait_min")
 
 
-_NUMERIC_VISIT = ("patient_load", "specialist_availability", "facility_beds", "nurse_ratio", "triage_time_min",
+_NUMERIC_VISIT = ("patient_load", "specialist_availability", "facility_beds", "nurse_staff_ratio", "triage_time_min",
                   "registration_time_min", "visit_hour", "urgency_priority", "patient_id")
 
 

@@ -23,7 +23,7 @@ SPLIT_SQL = ("CASE WHEN ('0x' || substr(md5(CAST({id} AS VARCHAR)), 1, 8))::BIGI
 
 FOLD_SQL = "CAST(('0x' || substr(md5('fold' || CAST({id} AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER)"
 
-_FEATURES = ("nurse_ratio", "specialist_availability", "facility_beds",
+_FEATURES = ("nurse_staff_ratio", "specialist_availability", "facility_beds",
              "patient_load", "triage_time_min", "registration_time_min",
              "visit_hour", "urgency_priority")
 
@@ -39,7 +39,7 @@ _BODIES = {
          user_id % 7 + 1 AS specialist_availability,
          CAST(CASE user_id % 4 WHEN 0 THEN 150 WHEN 1 THEN 200 WHEN 2 THEN 300 ELSE 500 END AS BIGINT)
               AS facility_beds,
-         0.15::DOUBLE + (event_id % 21) / 100.0::DOUBLE AS nurse_ratio,
+         0.15::DOUBLE + (event_id % 21) / 100.0::DOUBLE AS nurse_staff_ratio,
          value * 0.3::DOUBLE + (event_id % 5) AS triage_time_min,
          value * 0.05::DOUBLE + (event_id % 9) AS registration_time_min,
          CAST(hour(ts) AS INTEGER) AS visit_hour,
@@ -84,7 +84,7 @@ _BODIES = {
     "scored": """
   SELECT v.visit_id AS id, v.event_type AS dataset, 'wait_min' AS target,
          """ + SPLIT_SQL.format(id="v.visit_id") + """ AS split,
-         v.wait_min AS y_true, v.urgency_level, v.region, v.nurse_ratio, v.specialist_availability,
+         v.wait_min AS y_true, v.urgency_level, v.region, v.nurse_staff_ratio, v.specialist_availability,
          v.facility_beds, v.patient_load, v.triage_time_min, v.registration_time_min,
          v.visit_hour, v.urgency_priority, m.model,
          CASE m.model

@@ -16,7 +16,7 @@ from wardstats.sources.tables import read_table
 # Model names of the stand-in `scored` table and the visit
 # features whose importance is derived from it.
 MODELS = ("a", "b", "c", "d")
-VISIT_FEATURES = ("nurse_ratio", "specialist_availability", "facility_beds",
+VISIT_FEATURES = ("nurse_staff_ratio", "specialist_availability", "facility_beds",
                   "patient_load", "triage_time_min", "registration_time_min",
                   "visit_hour", "urgency_priority")
 TEST_PERCENT = 20
@@ -59,7 +59,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.lit("Central")).alias("region"),
         (uid % 7 + 1).alias("specialist_availability"),
         _case(uid % 4, [(0, 150), (1, 200), (2, 300)], F.lit(500)).cast("bigint").alias("facility_beds"),
-        (F.lit(0.15) + (eid % 21) / F.lit(100.0)).alias("nurse_ratio"),
+        (F.lit(0.15) + (eid % 21) / F.lit(100.0)).alias("nurse_staff_ratio"),
         (F.col("value") * F.lit(0.3) + (eid % 5)).alias("triage_time_min"),
         (F.col("value") * F.lit(0.05) + (eid % 9)).alias("registration_time_min"),
         F.hour("ts").alias("visit_hour"),
@@ -162,7 +162,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         split_col("visit_id").alias("split"),
         y.alias("y_true"),
         "urgency_level", "region",
-        "nurse_ratio", "specialist_availability", "facility_beds", "patient_load",
+        "nurse_staff_ratio", "specialist_availability", "facility_beds", "patient_load",
         "triage_time_min", "registration_time_min", "visit_hour", "urgency_priority",
         F.inline(preds),
     )
