@@ -45,7 +45,11 @@ def split_col(id_col, test_percent: int = TEST_PERCENT, salt: str = ""):
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ER visits: one row per `events` row."""
-    ev = read_table(spark, sf_dir, "events")
+    return visits_from(read_table(spark, sf_dir, "events"))
+
+
+def visits_from(ev: DataFrame) -> DataFrame:
+    """The `visits` projection of an events frame (batch or streaming)."""
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     return ev.select(
         eid.alias("visit_id"),
