@@ -20,18 +20,29 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+_MEMO: dict = {}
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                max_rows: int = BROADCAST_MAX_ROWS, memo: str | None = None) -> DataFrame:
     """Join ``small`` (aggregate-sized) to ``big`` (row-sized).
 
     The small side is cached and counted (bounded by ``max_rows + 1``) before
-    deciding: broadcast hash join when it fits, shuffle join otherwise."""
-    small = small.cache()
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    small.unpersist()
-    return big.join(small, on, how)
+    deciding: broadcast hash join when it fits, shuffle join otherwise.
+    ``memo`` names a small table that is the same for every caller in this
+    session (e.g. per-type means of one input folder), so it is computed and
+    checked once."""
+    key = (big.sparkSession.sparkContext.applicationId, memo) if memo else None
+    if key is not None and key in _MEMO:
+        small, fits = _MEMO[key]
+    else:
+        small = small.cache()
+        fits = small.limit(max_rows + 1).count() <= max_rows
+        if not fits:
+            small.unpersist()
+        if key is not None:
+            _MEMO[key] = (small, fits)
+    return big.join(F.broadcast(small) if fits else small, on, how)
 
 
 def with_scalars(df: DataFrame, stats: DataFrame, names=None) -> DataFrame:

@@ -77,6 +77,8 @@ class PrepModel:
     cat_fill: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
     complexity: dict = field(default_factory=dict)
+    fences: dict = field(default_factory=dict)
+    remove: bool = False
     selected: list | None = None
 
     # ------------------------------------------------------------ apply
@@ -100,8 +102,9 @@ class PrepModel:
         ``keep`` passes extra columns (e.g. an id) through;
         ``remove_outliers`` applies the guarded removal (training data)."""
         out = self.engineered(df)
-        if remove_outliers and self.options.outlier_detection and self.numeric:
-            out = E.guarded_removal(out, "iqr", 1.5, self.numeric, accuracy=self.options.accuracy)
+        if remove_outliers and self.remove:
+            # fitted fences and decision: a literal filter, no extra job
+            out = out.filter(~E.fence_flag(self.fences))
         res = out.select(*_projection(self, out, keep))
         if self.selected is not None:
             res = res.select(*keep, *self.selected, *([self.target] if self.target in res.columns else []))
@@ -154,19 +157,29 @@ def engineer(df: DataFrame, target: str | None, roles: Roles, options: PrepOptio
 # ---------------------------------------------------------------- type detection
 
 def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset()) -> tuple[list, list, dict]:
-    """B7 inside the fit: one aggregate → (numeric, categorical, n_distinct)."""
+    """B7 inside the fit → (numeric, categorical, n_distinct).
+
+    Pass 1 is one aggregate of fixed-size HyperLogLog sketches (no row
+    expansion, map-side combined). Only columns the sketch puts below
+    ``exact_below`` distinct values — the only ones whose exact count can
+    change a decision (levels < 20, categories ≤ cap) — get an exact
+    ``count_distinct`` in pass 2, which is cheap because low-cardinality
+    values collapse in the map-side aggregation."""
     fields = {f.name: f.dataType for f in df.schema.fields}
+    exact_below = max(options.max_levels, options.max_categories) * 2
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in cols:
-        aggs.append(F.count_distinct(c).alias(f"{c}__nd"))
+        aggs.append(F.approx_count_distinct(c, 0.05).alias(f"{c}__hll"))
         if isinstance(fields[c], T.StringType):
             aggs.append((F.sum((F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull()).cast("int")) == 0)
                         .alias(f"{c}__dt"))
     row = df.agg(*aggs).first()
     n = row["_n"] or 0
+    low = [c for c in cols if row[f"{c}__hll"] < exact_below]
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in low]).first().asDict() if low else {}
     numeric, categorical, nds = [], [], {}
     for c in cols:
-        nd = row[f"{c}__nd"]
+        nd = exact[c] if c in exact else row[f"{c}__hll"]
         nds[c] = nd
         t = fields[c]
         is_part = c in date_parts and options.treat_date_parts == "categorical"
@@ -239,21 +252,27 @@ def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOpt
         regions = list(roles.region) or [c for c in work.columns if "region" in c.lower()]
         if target and target in work.columns:
             for g in regions:
-                # one row per group, bounded before anything is collected
+                # one row per group, bounded: at most cap + 1 rows reach the driver
+                cap = options.max_categories * 100
                 st = work.groupBy(g).agg(F.round(F.coalesce(F.stddev_samp(target), F.lit(0.0)), 6).alias("v"))
-                if st.limit(options.max_categories * 100 + 1).count() > options.max_categories * 100:
+                rows = st.limit(cap + 1).collect()
+                if len(rows) > cap:
                     raise ValueError(f"too many groups in {g} for a complexity map")
-                complexity[g] = {r[g]: r["v"] for r in st.collect() if r[g] is not None}
+                complexity[g] = {r[g]: r["v"] for r in rows if r[g] is not None}
         work = engineer(work, target, roles, options, complexity=complexity)
     feats = [c for c in work.columns if c != target]
     parts = {f"{c}{s}" for c in D.timestamp_columns(df) for s in DATE_PART_SUFFIXES} \
         if options.feature_engineering else set()
     numeric, categorical, nds = _detect(work, feats, options, parts)
+    fences, remove = {}, False
     if options.outlier_detection and numeric:
-        work = E.guarded_removal(work, "iqr", 1.5, numeric, accuracy=options.accuracy)
+        fences, remove = E.fit_guard(work, numeric, 1.5, 0.1, options.accuracy)
+        if remove:
+            work = work.filter(~E.fence_flag(fences))
     params = fit_params(work, numeric, categorical if options.encode_categorical else [],
                         options.missing_strategy, options.max_categories, nds, options.accuracy)
-    model = PrepModel(target, options, roles, dropped, numeric, categorical, complexity=complexity, **params)
+    model = PrepModel(target, options, roles, dropped, numeric, categorical, complexity=complexity,
+                      fences=fences, remove=remove, **params)
     if not options.encode_categorical:
         model.categorical = []
     if options.feature_selection and target:

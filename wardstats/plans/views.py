@@ -151,7 +151,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     its event type, `d` is biased."""
     v = visits(spark, sf_dir)
     type_mean = v.groupBy("event_type").agg(F.avg("wait_min").alias("type_mean"))
-    v = lookup_join(v, type_mean, "event_type")
+    v = lookup_join(v, type_mean, "event_type", memo=f"type_mean:{sf_dir}")
     vid, y = F.col("visit_id"), F.col("wait_min")
     preds = F.array(
         F.struct(F.lit("a").alias("model"), (F.lit(0.85) * y + (vid % 23) - 6).alias("y_pred")),

@@ -15,6 +15,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A parquet file with one row group is read by one task however it is
+    split, so all per-row work up to the first shuffle would run on one
+    core. When the scan has fewer partitions than ``defaultParallelism`` the
+    rows are dealt round-robin to that many partitions. On a cluster a
+    large input already has far more partitions than cores and this is a
+    no-op. Filters and column pruning still reach the scan below it."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return balance(df) if balanced else df
