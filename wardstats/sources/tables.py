@@ -15,19 +15,36 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+BALANCE_CONF = "spark.wardstats.balanceMinBytes"
+BALANCE_MIN_BYTES = 1 << 20
+
+
+def _size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the plan (file sizes for a scan)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
 def balance(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores.
 
     A parquet file with one row group is read by one task however it is
     split, so all per-row work up to the first shuffle would run on one
-    core. When the scan has fewer partitions than ``defaultParallelism`` the
-    rows are dealt round-robin to that many partitions. On a cluster a
-    large input already has far more partitions than cores and this is a
-    no-op. Filters and column pruning still reach the scan below it."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
+    core. When the scan has fewer partitions than ``defaultParallelism`` and
+    is big enough for that to matter (``spark.wardstats.balanceMinBytes``,
+    default 1 MiB) the rows are dealt round-robin to that many partitions.
+    On a cluster a large input already has far more partitions than cores
+    and this is a no-op. Filters and column pruning still reach the scan
+    below it."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    min_bytes = int(spark.conf.get(BALANCE_CONF, str(BALANCE_MIN_BYTES)))
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        size = _size_bytes(df)
+        if size is None or size >= min_bytes:
+            return df.repartition(target)
     return df
 
 
