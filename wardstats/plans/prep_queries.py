@@ -93,13 +93,13 @@ def scale_train_test(spark, sf):
 
 @query("one_hot", GAPPY + """
 SELECT visit_id,
-       CASE WHEN region = 'East' THEN 1.0 ELSE 0.0 END AS region_East,
-       CASE WHEN region = 'North' THEN 1.0 ELSE 0.0 END AS region_North,
-       CASE WHEN region = 'South' THEN 1.0 ELSE 0.0 END AS region_South,
-       CASE WHEN region = 'West' THEN 1.0 ELSE 0.0 END AS region_West,
-       CASE WHEN urgency_level = 'High' THEN 1.0 ELSE 0.0 END AS urgency_level_High,
-       CASE WHEN urgency_level = 'Low' THEN 1.0 ELSE 0.0 END AS urgency_level_Low,
-       CASE WHEN urgency_level = 'Medium' THEN 1.0 ELSE 0.0 END AS urgency_level_Medium
+       CASE WHEN region = 'East' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_East,
+       CASE WHEN region = 'North' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_North,
+       CASE WHEN region = 'South' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_South,
+       CASE WHEN region = 'West' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_West,
+       CASE WHEN urgency_level = 'High' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS urgency_level_High,
+       CASE WHEN urgency_level = 'Low' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS urgency_level_Low,
+       CASE WHEN urgency_level = 'Medium' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS urgency_level_Medium
 FROM visits_gappy""")
 def one_hot(spark, sf):
     v = V.visits_gappy(spark, sf).select("visit_id", "region", "urgency_level")
@@ -151,7 +151,7 @@ def _ct_sql(src: str, key: str, nums, cats: dict, extra_cols=()) -> str:
                       f" AS mode_{c}" for c in cats)
     num_cols = ", ".join(f"round((coalesce(CAST({c} AS DOUBLE), f_{c}) - m_{c}) / "
                          f"CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}" for c in nums)
-    onehot = ", ".join(f"CASE WHEN coalesce({c}, mode_{c}) = '{v}' THEN 1.0 ELSE 0.0 END AS \"{c}_{v}\""
+    onehot = ", ".join(f"CASE WHEN coalesce({c}, mode_{c}) = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"{c}_{v}\""
                        for c, vals in cats.items() for v in vals[1:])
     extra = "".join(f", {e}" for e in extra_cols)
     return f""", p1 AS (SELECT {p1} FROM {src}),
