@@ -283,26 +283,33 @@ def cv_fold_r2(df: DataFrame, features, target: str, name: str = LINEAR, folds:
         id_col, F.col(target).cast("double").alias("label"), fold_col(id_col, folds).alias("fold"),
         *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
     data = assemble(data, feats).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    scored = data
     for k in range(folds):
         model = estimator(name, **params).fit(data.filter(F.col("fold") != k))
-        held = model.transform(data.filter(F.col("fold") == k))
-        e = F.col("label") - F.col("prediction")
-        r2 = held.agg((F.lit(1.0) - F.avg(e * e) / F.var_pop("label")).alias("r2")).first()["r2"]
-        rows.append((name, k, None if r2 is None else round(float(r2), 6)))
+        scored = model.setPredictionCol(f"_pred{k}").transform(scored)
+    # every fold is scored by its own model in ONE pass over the data
+    own = F.col("_pred0")
+    for k in range(1, folds):
+        own = F.when(F.col("fold") == k, F.col(f"_pred{k}")).otherwise(own)
+    e = F.col("label") - own
+    res = scored.groupBy("fold").agg((F.lit(1.0) - F.avg(e * e) / F.var_pop("label")).alias("r2")).collect()
     data.unpersist()
+    rows = sorted((name, int(r["fold"]), None if r["r2"] is None else round(float(r["r2"]), 6)) for r in res)
     # one score per fold: a k-row table
     return df.sparkSession.createDataFrame(rows, "model string, fold int, r2 double")
 
 
 def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Per-class precision, recall, F1, support plus accuracy,
-    macro and weighted averages (sklearn layout; 0 when undefined). Two
-    grouped counts and a full outer join on the class label — all
-    class-sized after the first aggregation."""
-    yt = pred.groupBy(F.col(y).alias("label")).agg(
-        F.count(F.lit(1)).alias("support"), F.sum((F.col(y) == F.col(p)).cast("bigint")).alias("tp"))
-    yp = pred.groupBy(F.col(p).alias("label")).agg(F.count(F.lit(1)).alias("predicted"))
+    macro and weighted averages (sklearn layout; 0 when undefined).
+
+    One pass over the predictions builds the confusion counts (classes²
+    rows, cached); support, true positives and predicted counts are
+    class-sized aggregates of that table, joined with a full outer join."""
+    conf = pred.groupBy(F.col(y).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("c")).cache()
+    yt = conf.groupBy(F.col("t").alias("label")).agg(
+        F.sum("c").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
+    yp = conf.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("predicted"))
     j = yt.join(yp, "label", "full_outer").select(
         F.col("label").cast("string").alias("label"), F.coalesce("support", F.lit(0)).alias("support"),
         F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"))

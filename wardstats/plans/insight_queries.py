@@ -39,7 +39,8 @@ def _test(spark, sf):
 
 
 def _quality(spark, sf):
-    return J.model_quality(_test(spark, sf))
+    # one row per model, read by several branches of a plan: cached once
+    return J.model_quality(_test(spark, sf)).cache()
 
 
 @query("workflow_insights", INS + f""",
@@ -144,8 +145,10 @@ numbered AS (SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY o
 """
 
 
-def _items(spark, sf):
-    return J.action_items(V.importance(spark, sf), _quality(spark, sf), V.visits_gappy(spark, sf))
+def _items(spark, sf, imp=None, quality=None):
+    imp = imp if imp is not None else V.importance(spark, sf)
+    quality = quality if quality is not None else _quality(spark, sf)
+    return J.action_items(imp, quality, V.visits_gappy(spark, sf))
 
 
 @query("action_items", _ITEMS + "SELECT * FROM numbered")
@@ -227,5 +230,6 @@ d AS (SELECT count(*) AS d FROM da)
  UNION ALL SELECT 17 + k * 7 + rank - 1, '• ' || feature || ': ' || {fn('score', 3)} || ' importance score' FROM da, k
 """ + "".join(f" UNION ALL SELECT 17 + k * 7 + d + {i}, {_q(ln)} FROM k, d\n" for i, ln in enumerate(_AR_TAIL)))
 def action_report(spark, sf):
-    items = _items(spark, sf)
-    return J.action_report(_quality(spark, sf), items, V.importance(spark, sf), "wait_min", "a")
+    imp, quality = V.importance(spark, sf), _quality(spark, sf)
+    items = _items(spark, sf, imp, quality).cache()  # a few rows, read by three branches
+    return J.action_report(quality, items, imp, "wait_min", "a")

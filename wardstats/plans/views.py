@@ -184,8 +184,9 @@ def importance(spark: SparkSession, sf_dir: str, scored_df: DataFrame | None = N
     long = wide.selectExpr("model", stack)
     from pyspark.sql import Window
     total = F.sum("raw").over(Window.partitionBy("model"))
+    # models × features rows, usually read by several branches: cached once
     return long.select("model", "feature",
-                       F.round(F.try_divide(F.col("raw"), total), 9).alias("score"))
+                       F.round(F.try_divide(F.col("raw"), total), 9).alias("score")).cache()
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
