@@ -41,14 +41,28 @@ def std1(c: str | Column) -> Column:
     return F.stddev_samp(col(c))
 
 
+PERCENTILE_CONF = "spark.wardstats.percentileAccuracy"
+
+
+def _session_accuracy() -> int | None:
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    v = s.conf.get(PERCENTILE_CONF, None) if s is not None else None
+    return int(v) if v else None
+
+
 def pct(c: str | Column, p, accuracy: int | None = None) -> Column:
     """Linear-interpolation percentile (NumPy default).
 
     ``p`` is a fraction or a list of fractions. Exact by default; the exact
     aggregate keeps one counter per distinct value of the group, so for
-    high-cardinality doubles at cluster scale pass ``accuracy`` (e.g. 10000)
-    to switch to the bounded-memory sketch ``percentile_approx``.
+    high-cardinality doubles at cluster scale pass ``accuracy`` (e.g. 10000),
+    or set ``spark.wardstats.percentileAccuracy`` on the session, to switch
+    every percentile to the bounded-memory sketch ``percentile_approx``.
     """
+    if accuracy is None:
+        accuracy = _session_accuracy()
     if accuracy:
         return F.percentile_approx(col(c), p, accuracy)
     if isinstance(p, (list, tuple)):
