@@ -156,7 +156,7 @@ def engineer(df: DataFrame, target: str | None, roles: Roles, options: PrepOptio
 
 # ---------------------------------------------------------------- type detection
 
-def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset()) -> tuple[list, list, dict]:
+def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset(), with_fences: bool = False):
     """B7 inside the fit → (numeric, categorical, n_distinct).
 
     Pass 1 is one aggregate of fixed-size HyperLogLog sketches (no row
@@ -176,7 +176,15 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset()) -
     row = df.agg(*aggs).first()
     n = row["_n"] or 0
     low = [c for c in cols if row[f"{c}__hll"] < exact_below]
-    exact = df.agg(*[F.count_distinct(c).alias(c) for c in low]).first().asDict() if low else {}
+    # pass 2: exact level counts of the low-cardinality columns (sets of at
+    # most ~exact_below values) and, when asked, the IQR percentiles of every
+    # numeric-typed column, whichever way its level count decides
+    num_typed = [c for c in cols if isinstance(fields[c], (T.IntegerType, T.LongType, T.DoubleType, T.FloatType))
+                 and c not in date_parts] if with_fences else []
+    aggs2 = [F.size(F.collect_set(c)).alias(c) for c in low] + \
+        [pct(F.col(c).cast("double"), [0.25, 0.75], options.accuracy).alias(f"{c}__iqr") for c in num_typed]
+    row2 = df.agg(*aggs2).first() if aggs2 else None
+    exact = {c: row2[c] for c in low} if row2 is not None else {}
     numeric, categorical, nds = [], [], {}
     for c in cols:
         nd = exact[c] if c in exact else row[f"{c}__hll"]
@@ -196,36 +204,42 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset()) -
             continue
         else:
             categorical.append(c)
-    return numeric, categorical, nds
+    fences = {}
+    if with_fences and row2 is not None:
+        for c in numeric:
+            q = row2[f"{c}__iqr"]
+            if q is not None and q[0] is not None:
+                fences[c] = (round(q[0] - 1.5 * (q[1] - q[0]), 9), round(q[1] + 1.5 * (q[1] - q[0]), 9))
+            else:
+                fences[c] = (None, None)
+    return numeric, categorical, nds, fences
 
 
 # ---------------------------------------------------------------- fit
 
-def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode", max_categories: int = 100,
-               nds: dict | None = None, accuracy: int | None = None) -> dict:
-    """One wide aggregate for every parameter: fill value, mean and std₀ of
-    the imputed column, mode and sorted category list (bounded: a column
-    with more than ``max_categories`` distinct values raises before any
-    values are collected)."""
-    if nds:
-        too_many = [c for c in categorical if nds.get(c, 0) > max_categories]
-        if too_many:
-            raise ValueError(f"categorical columns over {max_categories} levels: {too_many}")
-    aggs = [F.count(F.lit(1)).alias("_n")]
+def _param_aggs(numeric, categorical, strategy, accuracy, tag: str, keep: Column | None):
+    """Aggregates of every parameter over the rows where ``keep`` holds."""
+    def w(x):
+        return x if keep is None else F.when(keep, x)
+
+    aggs = [F.count(w(F.lit(1))).alias(f"_n{tag}")]
     for c in numeric:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__nn"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v")]
+        x = w(F.col(c).cast("double"))
+        aggs += [F.count(x).alias(f"{c}__nn{tag}"), F.avg(x).alias(f"{c}__m{tag}"), F.var_pop(x).alias(f"{c}__v{tag}")]
         if strategy.startswith("median"):
-            aggs.append(pct(x, 0.5, accuracy).alias(f"{c}__med"))
+            aggs.append(pct(x, 0.5, accuracy).alias(f"{c}__med{tag}"))
     for c in categorical:
-        aggs += [F.mode(F.col(c), True).alias(f"{c}__mode"),
-                 F.array_sort(F.collect_set(F.col(c))).alias(f"{c}__cats")]
-    row = df.agg(*aggs).first()
-    n = row["_n"]
+        aggs += [F.mode(w(F.col(c)), True).alias(f"{c}__mode{tag}"),
+                 F.array_sort(F.collect_set(w(F.col(c)))).alias(f"{c}__cats{tag}")]
+    return aggs
+
+
+def _params_from(row, numeric, categorical, strategy, tag: str) -> dict:
+    n = row[f"_n{tag}"]
     out = {"num_fill": {}, "num_mean": {}, "num_std": {}, "cat_fill": {}, "categories": {}}
     for c in numeric:
-        nn, m, v = row[f"{c}__nn"], row[f"{c}__m"], row[f"{c}__v"]
-        fill = row[f"{c}__med"] if strategy.startswith("median") else m
+        nn, m, v = row[f"{c}__nn{tag}"], row[f"{c}__m{tag}"], row[f"{c}__v{tag}"]
+        fill = row[f"{c}__med{tag}"] if strategy.startswith("median") else m
         fill = 0.0 if fill is None else float(fill)
         k = n - nn
         # moments of the imputed column from those of the observed values
@@ -234,14 +248,49 @@ def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode",
         out["num_fill"][c], out["num_mean"][c] = fill, mean_i
         out["num_std"][c] = math.sqrt(var_i) if var_i > 0 else 0.0
     for c in categorical:
-        cats = list(row[f"{c}__cats"] or [])
-        mode = row[f"{c}__mode"]
+        cats = list(row[f"{c}__cats{tag}"] or [])
+        mode = row[f"{c}__mode{tag}"]
         if mode is not None and mode not in cats:
             cats = sorted(cats + [mode])
         out["cat_fill"][c], out["categories"][c] = mode, cats
     return out
 
 
+def _check_levels(categorical, nds, max_categories):
+    if nds:
+        too_many = [c for c in categorical if nds.get(c, 0) > max_categories]
+        if too_many:
+            raise ValueError(f"categorical columns over {max_categories} levels: {too_many}")
+
+
+def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode", max_categories: int = 100,
+               nds: dict | None = None, accuracy: int | None = None) -> dict:
+    """One wide aggregate for every parameter: fill value, mean and std₀ of
+    the imputed column, mode and sorted category list (bounded: a column
+    with more than ``max_categories`` distinct values raises before any
+    values are collected)."""
+    _check_levels(categorical, nds, max_categories)
+    row = df.agg(*_param_aggs(numeric, categorical, strategy, accuracy, "", None)).first()
+    return _params_from(row, numeric, categorical, strategy, "")
+
+
+def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strategy: str = "mean/mode",
+                       max_categories: int = 100, nds: dict | None = None, accuracy: int | None = None,
+                       max_share: float = 0.1) -> tuple[dict, bool]:
+    """E3 + F1-F8 in ONE pass: parameters over all rows and over the rows
+    inside the outlier fences, plus the flagged count; the guard (remove
+    only if 0 < flagged < ``max_share`` of rows) then picks one set."""
+    _check_levels(categorical, nds, max_categories)
+    flag = E.fence_flag(fences)
+    aggs = _param_aggs(numeric, categorical, strategy, accuracy, "", None) + \
+        _param_aggs(numeric, categorical, strategy, accuracy, "_k", ~flag) + \
+        [F.sum(flag.cast("bigint")).alias("_nf")]
+    row = df.agg(*aggs).first()
+    nf, n = row["_nf"] or 0, row["_n"] or 0
+    remove = bool(0 < nf < n * max_share)
+    return _params_from(row, numeric, categorical, strategy, "_k" if remove else ""), remove
+
+
 def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOptions(),
         roles: Roles = Roles()) -> PrepModel:
     """C1 → D1-D9 → B7 → E3 → F1-F8 (→ F13), returns the fitted model."""
@@ -263,14 +312,17 @@ def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOpt
     feats = [c for c in work.columns if c != target]
     parts = {f"{c}{s}" for c in D.timestamp_columns(df) for s in DATE_PART_SUFFIXES} \
         if options.feature_engineering else set()
-    numeric, categorical, nds = _detect(work, feats, options, parts)
-    fences, remove = {}, False
-    if options.outlier_detection and numeric:
-        fences, remove = E.fit_guard(work, numeric, 1.5, 0.1, options.accuracy)
-        if remove:
-            work = work.filter(~E.fence_flag(fences))
-    params = fit_params(work, numeric, categorical if options.encode_categorical else [],
-                        options.missing_strategy, options.max_categories, nds, options.accuracy)
+    guard = options.outlier_detection
+    numeric, categorical, nds, fences = _detect(work, feats, options, parts, with_fences=guard)
+    cats = categorical if options.encode_categorical else []
+    remove = False
+    if guard and numeric:
+        params, remove = fit_params_guarded(work, numeric, cats, fences, options.missing_strategy,
+                                            options.max_categories, nds, options.accuracy)
+    else:
+        fences = {}
+        params = fit_params(work, numeric, cats, options.missing_strategy, options.max_categories, nds,
+                            options.accuracy)
     model = PrepModel(target, options, roles, dropped, numeric, categorical, complexity=complexity,
                       fences=fences, remove=remove, **params)
     if not options.encode_categorical:
