@@ -412,7 +412,9 @@ def forward_fill(df: DataFrame, cols, key: str, ts: str, tie: str | None = None,
     carry = summ.select(key, "_bkt", *[F.last(F.col(f"_l_{c}.v"), ignorenulls=True).over(wprev).alias(f"_c_{c}")
                                        for c in cols])
     win = Window.partitionBy(key, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = d.join(carry, [key, "_bkt"], "left")
+    # the summary has one row per (key, bucket): a shuffle join on exactly the
+    # window's partition keys, so the rows are exchanged once for both
+    filled = d.join(carry.hint("shuffle_merge"), [key, "_bkt"], "left")
     return filled.withColumns({c: F.coalesce(F.last(F.col(c), ignorenulls=True).over(win), F.col(f"_c_{c}"))
                                for c in cols}).drop("_bkt", *[f"_c_{c}" for c in cols])
 
