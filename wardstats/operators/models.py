@@ -203,12 +203,23 @@ def train_models(df: DataFrame, features, target: str, names=(RANDOM_FOREST, BOO
     from wardstats.operators.evaluate import comparison
 
     spark = df.sparkSession
-    scored_parts, times, imps = [], [], []
-    for n in names:
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(n):
         try:
-            s, tr = fit_predict(df, features, target, n, id_col, split, options)
+            return n, fit_predict(df, features, target, n, id_col, split, options)
         except Exception:  # noqa: BLE001 - the reference skips a failing model
+            return n, None
+
+    # independent fits are submitted from several driver threads, so their
+    # Spark jobs share the cluster (the reference's n_jobs=-1)
+    with ThreadPoolExecutor(max_workers=max(1, min(options.parallelism, len(names)))) as pool:
+        fitted = list(pool.map(one, names))
+    scored_parts, times, imps = [], [], []
+    for n, res in fitted:
+        if res is None:
             continue
+        s, tr = res
         scored_parts.append(s.withColumn("dataset", F.lit(dataset)))
         times.append((dataset, n, tr.seconds))
         imp = feature_importance(tr, features if n != KERNEL else None)

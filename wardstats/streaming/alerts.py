@@ -65,12 +65,27 @@ def tag_alerts(rows: DataFrame, value: str, thresholds: list[tuple[float, str]],
     return rows.withColumn(out, level_expr(F.col(value), thresholds))
 
 
+def utc_instant(ntz: Column) -> Column:
+    """A ``timestamp_ntz`` wall clock read as UTC, as an event-time
+    ``timestamp`` — independent of the session time zone (a plain cast would
+    read it in the session zone)."""
+    return F.make_timestamp_ltz(F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz), F.minute(ntz),
+                                F.date_part(F.lit("SECOND"), ntz), F.lit("UTC"))
+
+
+def utc_day_text(instant: Column) -> Column:
+    """'yyyy-MM-dd 00:00:00' of a UTC-midnight instant, from epoch micros
+    (no session-zone formatting)."""
+    day = (F.unix_micros(instant) / F.lit(86_400_000_000)).cast("int")
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit(" 00:00:00"))
+
+
 def alert_frequency(rows: DataFrame, ts: str, level: str, levels, window: str = "1 day",
                     watermark: str = "1 hour") -> DataFrame:
     """M2: rows per tumbling window and the count of each alert level (one
     aggregation with conditional counts, state bounded by the watermark).
-    ``timestamp_ntz`` is cast to ``timestamp`` for the watermark."""
-    t = F.col(ts).cast("timestamp")
+    ``timestamp_ntz`` becomes a UTC event time for the watermark."""
+    t = utc_instant(F.col(ts)) if isinstance(rows.schema[ts].dataType, T.TimestampNTZType) else F.col(ts)
     r = rows.withColumn("_ts", t).withWatermark("_ts", watermark)
     return r.groupBy(F.window("_ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
