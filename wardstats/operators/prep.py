@@ -1,10 +1,12 @@
 """Imputation, scaling, encoding, selection and the full preprocess
 (SURVEY §2.6, F1-F15) with a clean fit / apply split.
 
-``fit`` runs a fixed, small number of aggregate jobs over the data (column
-types; then one wide aggregate for every imputation, scaling and category
-parameter) and keeps only those parameters — one row per column — on the
-driver, like a Spark ML ``Model``. ``apply`` is then a single lazy
+``fit`` runs a fixed, small number of aggregate jobs over the data (group
+statistics; two passes of column-type detection that also yield the outlier
+fences; one numeric and one stacked categorical aggregate for every
+imputation, scaling and category parameter) and keeps only those parameters
+— bounded, one row per column or category — on the driver, like a Spark ML
+``Model``. ``apply`` is then a single lazy
 projection built from the parameters: no further job, same code path for
 training data, new batches and streams (the reference recomputes group
 statistics on new data and skips outlier removal at apply time; here both
@@ -162,9 +164,11 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset(), w
     Pass 1 is one aggregate of fixed-size HyperLogLog sketches (no row
     expansion, map-side combined). Only columns the sketch puts below
     ``exact_below`` distinct values — the only ones whose exact count can
-    change a decision (levels < 20, categories ≤ cap) — get an exact
-    ``count_distinct`` in pass 2, which is cheap because low-cardinality
-    values collapse in the map-side aggregation."""
+    change a decision (levels < 20, categories ≤ cap) — get an exact count
+    in pass 2 as the size of a bounded value set (no row expansion); with
+    ``with_fences`` the same pass computes the IQR fences of the numeric
+    columns for the outlier guard. Returns (numeric, categorical,
+    n_distinct, fences)."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     exact_below = max(options.max_levels, options.max_categories) * 2
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -217,8 +221,8 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset(), w
 
 # ---------------------------------------------------------------- fit
 
-def _param_aggs(numeric, categorical, strategy, accuracy, tag: str, keep: Column | None):
-    """Aggregates of every parameter over the rows where ``keep`` holds."""
+def _param_aggs(numeric, strategy, accuracy, tag: str, keep: Column | None):
+    """Numeric parameter aggregates over the rows where ``keep`` holds."""
     def w(x):
         return x if keep is None else F.when(keep, x)
 
@@ -228,15 +232,12 @@ def _param_aggs(numeric, categorical, strategy, accuracy, tag: str, keep: Column
         aggs += [F.count(x).alias(f"{c}__nn{tag}"), F.avg(x).alias(f"{c}__m{tag}"), F.var_pop(x).alias(f"{c}__v{tag}")]
         if strategy.startswith("median"):
             aggs.append(pct(x, 0.5, accuracy).alias(f"{c}__med{tag}"))
-    for c in categorical:
-        aggs += [F.mode(w(F.col(c)), True).alias(f"{c}__mode{tag}"),
-                 F.array_sort(F.collect_set(w(F.col(c)))).alias(f"{c}__cats{tag}")]
     return aggs
 
 
-def _params_from(row, numeric, categorical, strategy, tag: str) -> dict:
+def _numeric_from(row, numeric, strategy, tag: str) -> dict:
     n = row[f"_n{tag}"]
-    out = {"num_fill": {}, "num_mean": {}, "num_std": {}, "cat_fill": {}, "categories": {}}
+    out = {"num_fill": {}, "num_mean": {}, "num_std": {}}
     for c in numeric:
         nn, m, v = row[f"{c}__nn{tag}"], row[f"{c}__m{tag}"], row[f"{c}__v{tag}"]
         fill = row[f"{c}__med{tag}"] if strategy.startswith("median") else m
@@ -247,11 +248,45 @@ def _params_from(row, numeric, categorical, strategy, tag: str) -> dict:
         var_i = ((nn * ((v or 0.0) + ((m or 0.0) - mean_i) ** 2) + k * (fill - mean_i) ** 2) / n) if n else 0.0
         out["num_fill"][c], out["num_mean"][c] = fill, mean_i
         out["num_std"][c] = math.sqrt(var_i) if var_i > 0 else 0.0
-    for c in categorical:
-        cats = list(row[f"{c}__cats{tag}"] or [])
-        mode = row[f"{c}__mode{tag}"]
-        if mode is not None and mode not in cats:
-            cats = sorted(cats + [mode])
+    return out
+
+
+def _typed(v: str, t: T.DataType):
+    if isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return int(v)
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return float(v)
+    if isinstance(t, T.BooleanType):
+        return v == "true"
+    return v
+
+
+def _category_counts(df: DataFrame, categorical, keep: Column | None) -> dict:
+    """Value counts of every categorical column in ONE grouped aggregate:
+    the columns are stacked to (column, value) rows and counted (all rows and
+    rows where ``keep`` holds). The result has at most sum(levels) rows —
+    bounded by the level cap checked before — and is collected."""
+    if not categorical:
+        return {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    stack = "stack({}, {}) as (_col, _val)".format(
+        len(categorical), ", ".join(f"'{c}', cast(`{c}` as string)" for c in categorical))
+    x = df.select(*categorical, (keep if keep is not None else F.lit(True)).alias("_keep"))
+    g = x.selectExpr(stack, "_keep").filter(F.col("_val").isNotNull()).groupBy("_col", "_val").agg(
+        F.count(F.lit(1)).alias("n_all"), F.sum(F.col("_keep").cast("bigint")).alias("n_keep"))
+    out: dict = {c: [] for c in categorical}
+    for r in g.collect():
+        out[r["_col"]].append((_typed(r["_val"], types[r["_col"]]), r["n_all"], r["n_keep"] or 0))
+    return out
+
+
+def _categorical_from(counts: dict, use_keep: bool) -> dict:
+    out = {"cat_fill": {}, "categories": {}}
+    for c, vals in counts.items():
+        present = [(v, nk if use_keep else na) for v, na, nk in vals if (nk if use_keep else na) > 0]
+        cats = sorted(v for v, _ in present)
+        # mode: most frequent, smallest value on ties
+        mode = min(present, key=lambda vc: (-vc[1], vc[0]))[0] if present else None
         out["cat_fill"][c], out["categories"][c] = mode, cats
     return out
 
@@ -265,30 +300,38 @@ def _check_levels(categorical, nds, max_categories):
 
 def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode", max_categories: int = 100,
                nds: dict | None = None, accuracy: int | None = None) -> dict:
-    """One wide aggregate for every parameter: fill value, mean and std₀ of
-    the imputed column, mode and sorted category list (bounded: a column
-    with more than ``max_categories`` distinct values raises before any
-    values are collected)."""
+    """Every parameter in two aggregates: fill value, mean and std₀ of the
+    imputed numeric columns (one global aggregate); mode and sorted
+    category list of the categorical columns (one stacked value count,
+    bounded: a column over ``max_categories`` levels raises first)."""
     _check_levels(categorical, nds, max_categories)
-    row = df.agg(*_param_aggs(numeric, categorical, strategy, accuracy, "", None)).first()
-    return _params_from(row, numeric, categorical, strategy, "")
+    if nds is None and categorical:
+        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in categorical]).first()
+        _check_levels(categorical, {c: nd[c] for c in categorical}, max_categories * 2)
+    row = df.agg(*_param_aggs(numeric, strategy, accuracy, "", None)).first()
+    out = _numeric_from(row, numeric, strategy, "")
+    out.update(_categorical_from(_category_counts(df, categorical, None), False))
+    return out
 
 
 def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strategy: str = "mean/mode",
                        max_categories: int = 100, nds: dict | None = None, accuracy: int | None = None,
                        max_share: float = 0.1) -> tuple[dict, bool]:
-    """E3 + F1-F8 in ONE pass: parameters over all rows and over the rows
-    inside the outlier fences, plus the flagged count; the guard (remove
-    only if 0 < flagged < ``max_share`` of rows) then picks one set."""
+    """E3 + F1-F8 without an extra scan for the guard: numeric parameters
+    over all rows and over the rows inside the outlier fences plus the
+    flagged count in one aggregate, category counts for both variants in
+    one grouped aggregate; the guard (remove only if 0 < flagged <
+    ``max_share`` of rows) then picks one set."""
     _check_levels(categorical, nds, max_categories)
     flag = E.fence_flag(fences)
-    aggs = _param_aggs(numeric, categorical, strategy, accuracy, "", None) + \
-        _param_aggs(numeric, categorical, strategy, accuracy, "_k", ~flag) + \
-        [F.sum(flag.cast("bigint")).alias("_nf")]
+    aggs = _param_aggs(numeric, strategy, accuracy, "", None) + \
+        _param_aggs(numeric, strategy, accuracy, "_k", ~flag) + [F.sum(flag.cast("bigint")).alias("_nf")]
     row = df.agg(*aggs).first()
     nf, n = row["_nf"] or 0, row["_n"] or 0
     remove = bool(0 < nf < n * max_share)
-    return _params_from(row, numeric, categorical, strategy, "_k" if remove else ""), remove
+    out = _numeric_from(row, numeric, strategy, "_k" if remove else "")
+    out.update(_categorical_from(_category_counts(df, categorical, ~flag), remove))
+    return out, remove
 
 
 def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOptions(),
