@@ -32,7 +32,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
     ``memo`` names a small table that is the same for every caller in this
     session (e.g. per-type means of one input folder), so it is computed and
     checked once."""
-    key = (big.sparkSession.sparkContext.applicationId, memo) if memo else None
+    key = (big.sparkSession.conf.get("spark.app.id", ""), id(big.sparkSession), memo) if memo else None
     if key is not None and key in _MEMO:
         small, fits = _MEMO[key]
     else:

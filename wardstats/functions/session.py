@@ -36,17 +36,23 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None,
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+        return sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
+    except Exception:  # noqa: BLE001 - no SparkContext on this client (e.g. Spark Connect)
+        return spark.conf.get(CHECKPOINT_CONF, None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Read ``spark.checkpoint.dir`` from the session; only when it is unset
     (local tests) take a fresh scratch folder. Returns the folder in use."""
-    sc = spark.sparkContext
     path = checkpoint_dir(spark)
     if not path:
         path = tempfile.mkdtemp(prefix="wardstats-ckpt-")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

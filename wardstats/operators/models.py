@@ -16,7 +16,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -350,5 +350,6 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
                       r6("f1_score").alias("f1_score"), F.col("support").cast("bigint").alias("support"))
 
 
-def predictions_array(pred: DataFrame, col: str = "probability") -> Column:
+def class_probabilities(pred: DataFrame, col: str = "probability") -> Column:
+    """Classifier probability vector as an array column (JVM-side)."""
     return vector_to_array(F.col(col))

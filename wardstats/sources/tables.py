@@ -39,9 +39,13 @@ def balance(df: DataFrame) -> DataFrame:
     and this is a no-op. Filters and column pruning still reach the scan
     below it."""
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
+    try:
+        target = spark.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave the scan as is
+        return df
     min_bytes = int(spark.conf.get(BALANCE_CONF, str(BALANCE_MIN_BYTES)))
-    if df.rdd.getNumPartitions() < target:
+    if parts < target:
         size = _size_bytes(df)
         if size is None or size >= min_bytes:
             return df.repartition(target)
