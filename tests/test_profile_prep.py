@@ -87,3 +87,22 @@ def test_forward_fill_within_key(spark):
     df = df.withColumn("ts", F.to_timestamp("ts"))
     got = sorted((r.k, str(r.ts), r.v) for r in P.forward_fill(df, ["v"], "k", "ts").collect())
     assert [g[2] for g in got] == [1.0, 1.0, 1.0, None, 5.0]
+
+
+def test_distributed_rank_equals_window_rank(spark):
+    rows = [(f"v{i % 97:03d}",) for i in range(1000)] + [(None,)]
+    df = spark.createDataFrame(rows, "c string")
+    local = {r.c for r in P.ordinal_encode(df, ["c"]).collect()}
+    dist = P.ordinal_encode(df, ["c"], local_limit=0).collect()
+    assert {r.c for r in dist} == local
+    ranks = P.distributed_rank(df.select("c").where("c is not null").distinct(), "c", partitions=7).collect()
+    assert sorted(r._rank for r in ranks) == list(range(97))
+    assert all(int(r.c[1:]) == r._rank for r in ranks)
+
+
+def test_salted_top_values_equal_plain(spark):
+    rows = [(f"k{i % 50}" if i % 3 else "hot",) for i in range(3000)]
+    df = spark.createDataFrame(rows, "c string")
+    salted = [(r.value, r["count"], r.rank) for r in B.top_values(df, ["c"], k=5, buckets=8).orderBy("rank").collect()]
+    plain = df.groupBy(F.col("c").alias("value")).count().orderBy(F.desc("count"), "value").limit(5).collect()
+    assert salted == [(r.value, r["count"], i + 1) for i, r in enumerate(plain)]

@@ -496,14 +496,41 @@ def one_hot(df: DataFrame, cols, categories: dict | None = None, max_categories:
     return out if keep_source else out.drop(*cols)
 
 
-def ordinal_encode(df: DataFrame, cols) -> DataFrame:
+def distributed_rank(values: DataFrame, c: str, partitions: int | None = None) -> DataFrame:
+    """0-based position of each distinct value of ``values[c]`` in sorted
+    order without a single-partition window: the values are range-partitioned
+    and sorted, each partition numbers its own rows, and a partition-sized
+    table of prefix offsets (one row per partition) turns local numbers into
+    global ones. The ranged values are checkpointed (shared checkpoint
+    folder) so counts and numbers come from the same partitioning."""
+    from wardstats.functions.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(values.sparkSession)
+    n = partitions or values.sparkSession.sparkContext.defaultParallelism
+    ranged = values.repartitionByRange(n, c).sortWithinPartitions(c) \
+        .withColumn("_pid", F.spark_partition_id()).checkpoint()
+    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(c)) - 1)
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: the window runs over `partitions` rows only
+    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    return local.join(F.broadcast(offsets), "_pid").select(c, (F.col("_off") + F.col("_i")).alias("_rank"))
+
+
+def ordinal_encode(df: DataFrame, cols, local_limit: int = 1_000_000) -> DataFrame:
     """category → 0-based position in sorted order, NULL stays NULL.
     The code table is one row per distinct value (an aggregate), joined back
-    with a size-checked broadcast."""
+    with a size-checked broadcast. Up to ``local_limit`` distinct values
+    (estimated) the positions come from one window over the distinct values;
+    above it from :func:`distributed_rank`."""
     out = df
+    est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()  # one HLL pass
     for c in cols:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct()
-        codes = codes.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).cast("double").alias(f"_code_{c}"))
+        values = df.select(c).where(F.col(c).isNotNull()).distinct()
+        if est[c] <= local_limit:
+            codes = values.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).alias("_rank"))
+        else:
+            codes = distributed_rank(values, c)
+        codes = codes.select(c, F.col("_rank").cast("double").alias(f"_code_{c}"))
         out = lookup_join(out, codes, c).withColumn(c, F.col(f"_code_{c}")).drop(f"_code_{c}")
     return out
 

@@ -162,16 +162,25 @@ def head_rows(df: DataFrame, order_by, n: int = 5) -> DataFrame:
     return df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(n)
 
 
-def top_values(df: DataFrame, cols, k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, cols, k: int = 10, buckets: int = 256) -> DataFrame:
     """Top-k values by count per column (ties by value), NULL excluded
-    like ``value_counts``. Counts are aggregated before the ranking window,
-    so the window only sees one row per distinct value."""
+    like ``value_counts``.
+
+    Counts are aggregated first (map-side combined). The ranking is salted
+    in two stages so no task ranks all distinct values of a column: the top
+    k of each (column, hash bucket of the value) survive stage one — the
+    global top k are among them — and stage two ranks at most
+    ``buckets × k`` rows per column."""
     stack = "stack({}, {}) as (column_name, value)".format(
         len(cols), ", ".join(f"'{c}', cast(`{c}` as string)" for c in cols))
     counts = df.selectExpr(stack).filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    order = (F.desc("count"), F.col("value"))
+    salted = counts.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(buckets)))
+    w1 = Window.partitionBy("column_name", "_b").orderBy(*order)
+    cands = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k).drop("_b", "_r")
+    w = Window.partitionBy("column_name").orderBy(*order)
+    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def ordered_counts(df: DataFrame, col: str, categories, where: Column | None = None) -> DataFrame:
