@@ -123,6 +123,16 @@ def group_complexity(spark, sf):
     return out.select("visit_id", "region", F.round("region_complexity", 6).alias("region_complexity"))
 
 
+@query("group_complexity_cost", with_views("facility_visits") + """,
+g AS (SELECT region, coalesce(stddev_samp(cost), 0.0) AS region_complexity FROM facility_visits GROUP BY region)
+SELECT visit_id, region, round(region_complexity, 6) AS region_complexity FROM facility_visits JOIN g USING (region)""")
+def group_complexity_cost(spark, sf):
+    """D9 on the order-derived visits: cost complexity of the customer's region."""
+    v = V.facility_visits(spark, sf).select("visit_id", "region", "cost")
+    out = D.group_complexity(v, "cost", ["region"])
+    return out.select("visit_id", "region", F.round("region_complexity", 6).alias("region_complexity"))
+
+
 @query("staff_features", with_views("staffing") + """
 SELECT staff_id, overtime_hours / (shift_hours + 1e-5::DOUBLE) AS overtime_ratio,
        CASE WHEN years_experience > 0 AND years_experience <= 5 THEN 'Novice'

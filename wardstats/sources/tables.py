@@ -22,7 +22,8 @@ BALANCE_MIN_BYTES = 1 << 20
 def _size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the plan (file sizes for a scan)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())  # py4j may convert BigInt itself
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None
 
