@@ -68,3 +68,24 @@ def test_fixed_point_text_is_half_up(spark):
     got = [r.t for r in df.select(fmt_num("x", 1).alias("t")).collect()]
     assert got == ["34.3", "2.7", "0.0", "0.0", None]
     assert df.select(fmt_pct(F.lit(0.1234)).alias("p")).first().p == "12.3%"
+
+
+def test_date_parts_monday_zero_and_weekend(spark):  # D1
+    df = spark.createDataFrame([("2024-01-01 10:30:00",), ("2024-01-06 23:00:00",)], "s string") \
+        .select(F.to_timestamp("s").cast("timestamp_ntz").alias("ts"))
+    got = sorted(tuple(r) for r in D.date_features(df).collect())
+    assert got == [(10, 0, 1, 1, 0), (23, 5, 1, 1, 1)]
+
+
+def test_dictionary_maps_default_zero_and_urgency_two(spark):  # D7, D8
+    df = spark.createDataFrame([("0 to 17", "F", "Major", "High"), ("unknown", None, None, None)],
+                               "a string, g string, r string, u string")
+    out = sorted(tuple(r) for r in D.urgency_numeric(D.ordinal_maps(df, "a", "g", "r"), "u").collect())
+    assert out == [(0, 0, 0, None, 2), (1, 1, 3, "High", 3)]
+
+
+def test_capacity_uses_first_matching_numeric_column(spark):  # D6
+    df = spark.createDataFrame([(4, 9, 200)], "patient_load int, visit_count int, beds int")
+    assert D.capacity_utilization(df, "beds").first().capacity_utilization == 4 / 200
+    zero = spark.createDataFrame([(4, 0)], "patient_load int, beds int")
+    assert D.capacity_utilization(zero, "beds").first().capacity_utilization is None
