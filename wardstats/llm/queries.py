@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardstats.llm.decontaminate import best_overlaps
 from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.scratch import table
 
@@ -22,3 +23,8 @@ def _query(fn):
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimum_bin_slack(token_pieces(table(spark, sf_dir, "documents"), 2048), 2048)
+
+
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
