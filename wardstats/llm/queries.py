@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardstats.llm.decontaminate import best_overlaps
+from wardstats.llm.licenses import scan
 from wardstats.llm.packing import minimum_bin_slack, token_pieces
+from wardstats.llm.quality import judge_quality
 from wardstats.llm.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +31,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return rows.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
