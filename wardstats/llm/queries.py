@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstats.llm.decontaminate import best_overlaps
+from wardstats.llm.jaccard import near_duplicates
 from wardstats.llm.licenses import scan
 from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.quality import judge_quality
@@ -43,3 +44,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     counts = [F.col(f"_q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
+@_query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 5, 80)
