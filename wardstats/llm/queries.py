@@ -13,6 +13,7 @@ from wardstats.llm.jaccard import near_duplicates
 from wardstats.llm.licenses import scan
 from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.quality import judge_quality
+from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.scratch import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 5, 80)
+
+
+@_query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(repeated_bytes(table(spark, sf_dir, "documents"), 50))
