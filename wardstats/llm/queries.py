@@ -15,6 +15,7 @@ from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.quality import judge_quality
 from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.scratch import table
+from wardstats.llm.toxicity import fit, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,16 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeated_bytes(table(spark, sf_dir, "documents"), 50))
+
+
+def _held_out(parts: int, one: int):
+    """Whether a row's id falls into the part that no fit may see."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts == one
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = fit(docs, labels.where(~_held_out(3, 1)))
+    return toxicity(docs, machine).select(
+        "doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_terms")
