@@ -16,6 +16,7 @@ from wardstats.llm.quality import judge_quality
 from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.scratch import table
 from wardstats.llm.toxicity import fit, toxicity
+from wardstats.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +70,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = fit(docs, labels.where(~_held_out(3, 1)))
     return toxicity(docs, machine).select(
         "doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_terms")
+
+
+@_query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
