@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstats.llm import html
+from wardstats.llm.brown import log_probabilities
 from wardstats.llm.decontaminate import best_overlaps
 from wardstats.llm.jaccard import near_duplicates
 from wardstats.llm.licenses import scan
@@ -82,3 +83,8 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.main_text(pages, html.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_probabilities(table(spark, sf_dir, "documents"), _held_out(7, 2))
