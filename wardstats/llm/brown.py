@@ -172,7 +172,7 @@ def _vocabulary(chunks: DataFrame, kinds: np.ndarray, buckets: int) -> DataFrame
             "chunks": [asked["chunk"].to_numpy().tobytes()], "sizes": [np.array(size, np.int64).tobytes()], "asked": [asked_for]})
 
     asked = chunks.select("chunk", "held", "offsets", "bytes", "data").mapInArrow(ask, "bucket bigint, chunk bigint, word binary, n binary, entries binary, total bigint, kind binary, times binary")
-    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, n binary, contexts binary, times binary, chunks binary, sizes binary, asked binary"), "vocabulary")
+    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, end bigint, n binary, contexts binary, times binary, chunks binary, sizes binary, asked binary"), "vocabulary")
 
 
 def _dense(words_: int, contexts: bytes, times: bytes) -> np.ndarray:
