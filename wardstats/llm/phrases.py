@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -279,8 +280,9 @@ def _strings(chunks: DataFrame, dictionary: DataFrame, buckets: int, length: int
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, spans (array of [start, end) byte runs to
-    remove, maximal and in order), kept (the remaining bytes)."""
+    """Per row: doc_id, n_bytes, crc32 (of the whole text), spans (array of
+    [start, end) byte runs to remove, maximal and in order), kept (the
+    remaining bytes)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = _chunks(docs)
     volume = chunks.agg(F.sum("bytes")).first()[0] or 0
@@ -303,7 +305,6 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING
             _, row, place = _least(h, doc[of]) if len(h) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
             earlier = np.minimum(doc[of][row][place], _told(h, key[kind == _STRING], low[kind == _STRING]))
             single = start[earlier < doc[of]]
-            # a string of this chunk's own repeated phrases may be the earlier one
             covered = np.zeros(len(data) + 1, np.int32)
             for a, b in ((p.first[whole], p.last[whole]), (single, single)):
                 np.add.at(covered, a, 1)
@@ -312,11 +313,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                 mask = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                rows.append((None if ids[i] == _NO_ID else int(ids[i]), int(b - a), edges.reshape(-1, 2).tolist(), data[a:b][~mask].tobytes()))
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(cols[3], pa.binary())})
+                rows.append((None if ids[i] == _NO_ID else int(ids[i]), int(b - a), zlib.crc32(data[a:b]), edges.reshape(-1, 2).tolist(), data[a:b][~mask].tobytes()))
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "crc32": pa.array(cols[2], pa.int64()), "spans": pa.array(cols[3], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(cols[4], pa.binary())})
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, crc32 bigint, spans array<array<bigint>>, kept binary")
 
 
 def digest(cuts: DataFrame) -> DataFrame:
