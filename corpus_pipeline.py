@@ -30,10 +30,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest id. Documents without words link to nothing and stay. Of rows
     that repeat an id and its text one stays."""
     kept = stored(near_duplicates(docs, 5, 80).where("doc_id = component_id OR n_shingles = 0").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    several = kept.where("_rows > 1")
-    of = F.col("doc_id") == F.col("_kept")
-    out = docs.join(sized(kept.where("_rows = 1"), 24), of, "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return out if several.isEmpty() else out.unionByName(docs.join(sized(several, 24), of, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, several = (sized(kept.where(x), 24) for x in ("_rows = 1", "_rows > 1"))
+    out = docs.join(once, docs["doc_id"] == once["_kept"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if several.isEmpty():
+        return out
+    return out.unionByName(docs.join(several, docs["doc_id"] == several["_kept"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = repeated_bytes(docs, 50).where("doc_id IS NOT NULL AND size(spans) > 0")
     cut = stored(cut.select(F.col("doc_id").alias("_id"), F.col("crc32").alias("_crc"), "kept").dropDuplicates(["_id", "_crc"]), "cuts")
     whole = F.expr("coalesce(try_validate_utf8(cast(kept AS string)), replace(make_valid_utf8(cast(kept AS string)), '\uFFFD', ''))")
-    joined = docs.join(cut, (F.col("doc_id") == F.col("_id")) & (F.crc32("text") == F.col("_crc")), "left").withColumn("_text", F.when(F.col("_id").isNotNull(), whole).otherwise(F.col("text")))
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_id").isNotNull(), F.length("_text")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.crc32("text").alias("crc"))
+    joined = rows.join(cut.select("_id", "_crc", whole.alias("left")), (F.col("row.doc_id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
+    changed = {"text": F.col("left"), "n_chars": F.length("left")}
+    return joined.select(*[
+        F.when(F.col("_id").isNotNull(), changed[c]).otherwise(F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"row.`{c}`")
+        for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,5 +193,5 @@ def best_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that overlap an item (rows without an id stay)."""
-    bad = stored(overlaps(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(sized(bad.withColumnRenamed("doc_id", "_bad"), 32), F.col(id_col) == F.col("_bad"), "left_anti")
+    bad = sized(stored(overlaps(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "contaminated"), 32)
+    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")

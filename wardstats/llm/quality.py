@@ -193,14 +193,15 @@ def base_failed(q: str = "_q") -> Column:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with ``_q`` (statistics), ``_base_failed``, ``_rule`` (number
-    of the rejecting rule or null) and ``_kept``."""
+    """Per row: row (all columns of ``docs`` as one struct, so that no name
+    can clash), _q (statistics), _base_failed, _rule (number of the rejecting
+    rule or null) and _kept."""
     rules = fit_rules(docs, labels, text_col=text_col, **options)
-    out = with_statistics(docs, text_col)
+    out = with_statistics(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))).drop("text")
     return out.withColumns({"_base_failed": base_failed(), "_rule": rejected(rules)}).withColumn(
         "_kept", ~F.col("_base_failed") & F.col("_rule").isNull())
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they were."""
-    return judge_quality(docs, labels, **options).where("_kept").select(*docs.columns)
+    return judge_quality(docs, labels, **options).where("_kept").select("row.*")
