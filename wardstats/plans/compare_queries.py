@@ -9,6 +9,7 @@ from wardstats.functions.text import fmt_pct_sql
 from wardstats.operators import compare as K
 from wardstats.operators import evaluate as G
 from wardstats.plans import views as V
+from wardstats.operators.wording import WORDS, sql_word
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import FOLD_SQL, SPLIT_SQL, with_views
 
@@ -185,11 +186,9 @@ def performance_bands(spark, sf):
     return K.performance_bands(V.comparison(spark, sf))
 
 
-_PRIMARY = ("CASE WHEN b.test_r2 > 0.8 THEN 'Deploy ' || b.model || ' for production use - high accuracy (' || "
-            + fmt_pct_sql("b.test_r2") + " || ') indicates reliable predictions' "
-            "WHEN b.test_r2 > 0.6 THEN 'Use ' || b.model || ' for decision support with human oversight - "
-            "moderate accuracy requires validation' "
-            "ELSE 'Improve data collection and feature engineering before deployment' END")
+_PRIMARY = (f"CASE WHEN b.test_r2 > 0.8 THEN {sql_word('rec_deploy1')} || b.model || {sql_word('rec_deploy2')} || "
+            + fmt_pct_sql("b.test_r2") + f" || {sql_word('rec_deploy3')} "
+            f"WHEN b.test_r2 > 0.6 THEN {sql_word('rec_use1')} || b.model || {sql_word('rec_use2')} ELSE {sql_word('rec_wait')} END")
 
 
 @query("model_recommendations", _CMP + f""",
@@ -202,26 +201,26 @@ a AS (SELECT stddev_samp(test_r2) AS sd, count(*) AS n, avg(overfitting) AS ovf,
 cand AS (
   SELECT 'primary' AS section, 1 AS c, {_PRIMARY} AS line FROM b
   UNION ALL SELECT 'primary', 2, CASE WHEN test_r2 > 0.8
-        THEN 'Implement real-time prediction pipeline for operational decision support'
-        WHEN test_r2 > 0.6 THEN 'Focus on data quality improvements to enhance model performance'
-        ELSE 'Consider ensemble methods or alternative modeling approaches' END FROM b
+        THEN {sql_word('rec_high')}
+        WHEN test_r2 > 0.6 THEN {sql_word('rec_mid')}
+        ELSE {sql_word('rec_low')} END FROM b
   UNION ALL SELECT 'primary', 3, CASE model
-        WHEN 'Random Forest' THEN 'Leverage feature importance insights for operational improvements'
-        WHEN 'XGBoost' THEN 'Implement gradient boosting pipeline for complex pattern recognition'
-        WHEN 'Linear Regression' THEN 'Focus on linear relationships and interpretable predictions' END FROM b
+        WHEN 'Random Forest' THEN {sql_word('rec_rf')}
+        WHEN 'XGBoost' THEN {sql_word('rec_xgb')}
+        WHEN 'Linear Regression' THEN {sql_word('rec_lr')} END FROM b
   UNION ALL SELECT 'considerations', 1, CASE WHEN sd > 0.1
-        THEN 'High variability between models suggests data quality or feature engineering issues' END FROM a
-  UNION ALL SELECT 'considerations', 2, CASE WHEN n > 1 THEN 'Consider ensemble of top models: ' || t.names END
+        THEN {sql_word('con_sd')} END FROM a
+  UNION ALL SELECT 'considerations', 2, CASE WHEN n > 1 THEN {sql_word('con_top')} || t.names END
         FROM a, t
   UNION ALL SELECT 'considerations', 3, CASE WHEN ovf > 0.1
-        THEN 'Models show signs of overfitting - implement cross-validation and regularization' END FROM a
+        THEN {sql_word('con_over')} END FROM a
   UNION ALL SELECT 'considerations', 4, CASE WHEN tt > 60
-        THEN 'Some models have long training times - consider computational resources for retraining' END FROM a
-  UNION ALL SELECT 'success_metrics', 1, 'Achieve >85% prediction accuracy' FROM a
-  UNION ALL SELECT 'success_metrics', 2, 'Reduce ' || target || ' by 15-25%' FROM a
-  UNION ALL SELECT 'success_metrics', 3, 'Improve operational efficiency by 20%' FROM a
-  UNION ALL SELECT 'success_metrics', 4, 'Maintain model performance over time' FROM a
-  UNION ALL SELECT 'success_metrics', 5, 'User adoption rate >90%' FROM a)
+        THEN {sql_word('con_time')} END FROM a
+  UNION ALL SELECT 'success_metrics', 1, {sql_word('suc_1')} FROM a
+  UNION ALL SELECT 'success_metrics', 2, {sql_word('suc_2a')} || target || {sql_word('suc_2b')} FROM a
+  UNION ALL SELECT 'success_metrics', 3, {sql_word('suc_3')} FROM a
+  UNION ALL SELECT 'success_metrics', 4, {sql_word('suc_4')} FROM a
+  UNION ALL SELECT 'success_metrics', 5, {sql_word('suc_5')} FROM a)
 SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY c) AS INTEGER) AS pos, line
 FROM cand WHERE line IS NOT NULL""")
 def model_recommendations(spark, sf):

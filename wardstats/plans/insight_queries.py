@@ -9,6 +9,7 @@ from wardstats.functions.text import fmt_num_sql as fn
 from wardstats.functions.text import fmt_pct_sql as fp
 from wardstats.operators import insights as J
 from wardstats.plans import views as V
+from wardstats.operators.wording import WORDS, sql_word
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import with_views
 
@@ -46,33 +47,33 @@ def _quality(spark, sf):
 @query("workflow_insights", INS + f""",
 fr AS (
   SELECT model, rank * 10 AS o, 'operational_insights' AS section, 'Staffing' AS category,
-         feature || ' is a critical performance driver (importance: ' || {fn("score", 3)} || ')' AS title,
-         'Optimize staffing levels and schedules based on demand patterns' AS detail, 'High' AS level,
+         feature || {sql_word('driver_title')} || {fn("score", 3)} || ')' AS title,
+         {sql_word('staff_plan')} AS detail, 'High' AS level,
          '2-4 weeks' AS timeline FROM top WHERE rank <= 5 AND {STAFF}
   UNION ALL SELECT model, rank * 10, 'resource_optimization', 'Human Resources',
-         'Staff allocation optimization via ' || feature, {fn("score * 100", 1)} || '% of performance variation',
+         {sql_word('staff_lever')} || feature, {fn("score * 100", 1)} || {sql_word('staff_share')},
          'Medium', '1-3 months' FROM top WHERE rank <= 5 AND {STAFF}
   UNION ALL SELECT model, rank * 10, 'operational_insights', 'Capacity Management',
-         feature || ' significantly impacts wait_min', 'Implement dynamic capacity allocation and monitoring',
+         feature || {sql_word('cap_title')} || 'wait_min', {sql_word('cap_plan')},
          'Medium', '4-8 weeks' FROM top WHERE rank <= 5 AND NOT {STAFF} AND {CAP}
   UNION ALL SELECT model, rank * 10, 'resource_optimization', 'Physical Resources',
-         'Capacity optimization through ' || feature, {fn("score * 100", 1)} || '% contribution to outcomes',
+         {sql_word('cap_lever')} || feature, {fn("score * 100", 1)} || {sql_word('cap_share')},
          'High', '3-6 months' FROM top WHERE rank <= 5 AND NOT {STAFF} AND {CAP}
   UNION ALL SELECT model, rank * 10, 'operational_insights', 'Process Timing',
-         'Temporal patterns in ' || feature || ' drive performance variations',
-         'Implement time-based workflow optimization', 'High', '1-2 weeks'
+         {sql_word('time_title1')} || feature || {sql_word('time_title2')},
+         {sql_word('time_plan')}, 'High', '1-2 weeks'
          FROM top WHERE rank <= 5 AND NOT {STAFF} AND NOT {CAP} AND {TIMING}
-  UNION ALL SELECT model, 1000, 'quality_improvements', 'Model Accuracy', {fp("test_r2")} || ' accuracy',
-         '>80% accuracy', 'High', NULL FROM quality WHERE test_r2 < 0.8
+  UNION ALL SELECT model, 1000, 'quality_improvements', 'Model Accuracy', {fp("test_r2")} || {sql_word('r2_title')},
+         {sql_word('r2_goal')}, 'High', NULL FROM quality WHERE test_r2 < 0.8
   UNION ALL SELECT model, 1001, 'quality_improvements', 'Prediction Consistency',
-         {fn("high_error_share * 100", 1)} || '% high-error cases', '<5% high-error cases', 'Medium', NULL
+         {fn("high_error_share * 100", 1)} || {sql_word('err_title')}, {sql_word('err_goal')}, 'Medium', NULL
          FROM quality WHERE high_error_share > 0.1
   UNION ALL SELECT model, 1002, 'cost_reduction_opportunities', 'Wait Time Reduction',
-         'Average wait time: ' || {fn("mean_pred", 1)} || ' minutes', '15-25% reduction in operational inefficiencies',
+         {sql_word('wait_title')} || {fn("mean_pred", 1)} || {sql_word('wait_unit')}, {sql_word('wait_goal')},
          'High', NULL FROM quality
   UNION ALL SELECT model, 1003, 'risk_mitigation', 'High-Risk Case Volume',
-         {fn("risk_share * 100", 1)} || '% of cases exceed risk threshold',
-         'Implement early warning systems; Develop escalation protocols; Increase monitoring frequency', 'Critical', NULL
+         {fn("risk_share * 100", 1)} || {sql_word('risk_title')},
+         {sql_word('risk_plan')}, 'Critical', NULL
          FROM quality WHERE risk_share * 100 > 10)
 SELECT model, section, CAST(row_number() OVER (PARTITION BY model, section ORDER BY o, category) AS INTEGER) AS position,
        category, title, detail, level, timeline FROM fr""")
@@ -89,11 +90,11 @@ SELECT model, CAST(rank AS INTEGER) AS rank, feature,
        CASE WHEN {_J2_STAFF} THEN 'Staffing Impact' WHEN {_J2_CAP} THEN 'Capacity Management'
             WHEN {_J2_TIME} THEN 'Timing Factors' WHEN {_J2_PRIO} THEN 'Priority Management' ELSE 'Key Factor' END
            AS category,
-       feature || CASE WHEN {_J2_STAFF} THEN ' is a critical factor (importance: '
-                       WHEN {_J2_CAP} THEN ' significantly affects outcomes (importance: '
-                       WHEN {_J2_TIME} THEN ' shows strong influence (importance: '
-                       WHEN {_J2_PRIO} THEN ' is crucial for optimization (importance: '
-                       ELSE ' significantly impacts performance (importance: ' END || {fn("score", 3)} || ')' AS text
+       feature || CASE WHEN {_J2_STAFF} THEN {sql_word('j2_staff')}
+                       WHEN {_J2_CAP} THEN {sql_word('j2_cap')}
+                       WHEN {_J2_TIME} THEN {sql_word('j2_time')}
+                       WHEN {_J2_PRIO} THEN {sql_word('j2_prio')}
+                       ELSE {sql_word('j2_other')} END || {fn("score", 3)} || ')' AS text
 FROM top WHERE rank <= 5""")
 def driver_insights(spark, sf):
     return J.driver_insights(V.importance(spark, sf))
@@ -105,17 +106,17 @@ SELECT model, CAST(rank AS INTEGER) AS rank, feature,
        CASE WHEN {_J2_STAFF} THEN 'Staffing' WHEN {_J2_CAP} THEN 'Capacity Management'
             WHEN {_J2_TIME} THEN 'Process Timing' END AS category,
        CASE WHEN {_J2_STAFF} THEN 'High' WHEN {_J2_CAP} THEN 'Medium' WHEN {_J2_TIME} THEN 'High' END AS priority,
-       CASE WHEN {_J2_STAFF} THEN 'Optimize ' || feature || ' - shows ' || {fn("score", 3)} || ' importance score'
-            WHEN {_J2_CAP} THEN 'Address ' || feature || ' bottlenecks'
-            WHEN {_J2_TIME} THEN 'Optimize timing patterns in ' || feature END AS recommendation,
-       CASE WHEN {_J2_STAFF} THEN 'Review staffing ratios and implement dynamic scheduling'
-            WHEN {_J2_CAP} THEN 'Implement flexible bed allocation and capacity monitoring'
-            WHEN {_J2_TIME} THEN 'Analyze peak hours and implement load balancing' END AS action,
+       CASE WHEN {_J2_STAFF} THEN {sql_word('j3_staff1')} || feature || {sql_word('j3_staff2')} || {fn("score", 3)} || {sql_word('j3_staff3')}
+            WHEN {_J2_CAP} THEN {sql_word('j3_cap1')} || feature || {sql_word('j3_cap2')}
+            WHEN {_J2_TIME} THEN {sql_word('j3_time1')} || feature END AS recommendation,
+       CASE WHEN {_J2_STAFF} THEN {sql_word('j3_staff_do')}
+            WHEN {_J2_CAP} THEN {sql_word('j3_cap_do')}
+            WHEN {_J2_TIME} THEN {sql_word('j3_time_do')} END AS action,
        CASE WHEN {_J2_STAFF} THEN '2-4 weeks' WHEN {_J2_CAP} THEN '4-8 weeks' WHEN {_J2_TIME} THEN '1-2 weeks' END
            AS timeline,
-       CASE WHEN {_J2_STAFF} THEN 'Feature importance analysis shows ' || {fp("score")} || ' contribution to outcomes'
-            WHEN {_J2_CAP} THEN 'Capacity factors account for ' || {fp("score")} || ' of performance variation'
-            WHEN {_J2_TIME} THEN 'Temporal factors show ' || {fp("score")} || ' impact on outcomes' END AS evidence
+       CASE WHEN {_J2_STAFF} THEN {sql_word('j3_staff_ev1')} || {fp("score")} || {sql_word('j3_staff_ev2')}
+            WHEN {_J2_CAP} THEN {sql_word('j3_cap_ev1')} || {fp("score")} || {sql_word('j3_cap_ev2')}
+            WHEN {_J2_TIME} THEN {sql_word('j3_time_ev1')} || {fp("score")} || {sql_word('j3_time_ev2')} END AS evidence
 FROM top WHERE rank <= 5) WHERE category IS NOT NULL""")
 def clinical_recommendations(spark, sf):
     return J.clinical_recommendations(V.importance(spark, sf))
@@ -129,16 +130,16 @@ _ITEMS = INS + f""",
 miss AS (SELECT ({" + ".join(f"(count(*) - count({c}))" for c in _VG_COLS)}) / (count(*) * {len(_VG_COLS)}) AS m
          FROM visits_gappy),
 items AS (
-  SELECT model, rank AS o, 'High' AS priority, 'Optimize ' || feature AS action,
-         'Address top performance driver (importance: ' || {fn("score", 3)} || ')' AS description,
-         'Operations Manager' AS responsible, '2-4 weeks' AS timeline,
-         '10% improvement in ' || feature || ' metric' AS success_metric, 'Not Started' AS status
+  SELECT model, rank AS o, 'High' AS priority, {sql_word('j3_staff1')} || feature AS action,
+         {sql_word('item_driver')} || {fn("score", 3)} || ')' AS description,
+         {sql_word('item_owner1')} AS responsible, '2-4 weeks' AS timeline,
+         {sql_word('item_goal1')} || feature || {sql_word('item_goal1b')} AS success_metric, 'Not Started' AS status
   FROM top WHERE rank <= 3
-  UNION ALL SELECT model, 100, 'Medium', 'Improve Data Quality', 'Address ' || {fp("m")} || ' missing data rate',
-         'IT Team + Clinical Staff', '4-6 weeks', 'Reduce missing data to <2%', 'Not Started' FROM quality, miss
+  UNION ALL SELECT model, 100, 'Medium', {sql_word('item_data')}, {sql_word('j3_cap1')} || {fp("m")} || {sql_word('item_data2')},
+         {sql_word('item_owner2')}, '4-6 weeks', {sql_word('item_goal2')}, 'Not Started' FROM quality, miss
          WHERE m > 0.05
-  UNION ALL SELECT model, 101, 'Medium', 'Enhance Prediction Model', 'Improve model accuracy from ' || {fp("test_r2")},
-         'Data Science Team', '6-8 weeks', 'Achieve >80% model accuracy', 'Not Started' FROM quality
+  UNION ALL SELECT model, 101, 'Medium', {sql_word('item_model')}, {sql_word('item_model2')} || {fp("test_r2")},
+         {sql_word('item_owner3')}, '6-8 weeks', {sql_word('item_goal3')}, 'Not Started' FROM quality
          WHERE test_r2 < 0.8),
 numbered AS (SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY o) AS INTEGER) AS item, priority, action,
                     description, responsible, timeline, success_metric, status FROM items)
@@ -184,26 +185,26 @@ l AS (SELECT model, dataset, test_rmse FROM c ORDER BY test_rmse, rk LIMIT 1),
 one AS (SELECT a.*, b.model AS bm, b.dataset AS bd, b.test_r2 AS br, l.model AS lm, l.dataset AS ld,
                l.test_rmse AS lr FROM a, b, l)
 """ + _lines_sql([
-    _q("HEALTHCARE WORKFLOW OPTIMIZATION - MODEL COMPARISON REPORT"), _q("=" * 60),
-    "'Total Models Compared: ' || CAST(n AS VARCHAR)", "'Datasets Analyzed: ' || CAST(nd AS VARCHAR)", "''",
-    _q("PERFORMANCE SUMMARY:"), _q("-" * 20),
-    f"'Best R² Score: ' || bm || ' on ' || bd || ' (R² = ' || {fn('br', 3)} || ')'",
-    f"'Lowest RMSE: ' || lm || ' on ' || ld || ' (RMSE = ' || {fn('lr', 3)} || ')'",
-    f"'Average R² Score: ' || {fn('ar', 3)}", f"'Average RMSE: ' || {fn('am', 3)}", "''",
-    _q("DETAILED MODEL PERFORMANCE:"), _q("-" * 30)], 1, "one") + f"""
+    _q(WORDS["rep_title"]), _q("=" * 60),
+    f"{sql_word('rep_models')} || CAST(n AS VARCHAR)", f"{sql_word('rep_sets')} || CAST(nd AS VARCHAR)", "''",
+    _q(WORDS["rep_sum"]), _q("-" * 20),
+    f"{sql_word('rep_best')} || bm || ' on ' || bd || ' (R² = ' || {fn('br', 3)} || ')'",
+    f"{sql_word('rep_low')} || lm || ' on ' || ld || ' (RMSE = ' || {fn('lr', 3)} || ')'",
+    f"{sql_word('rep_avg_r2')} || {fn('ar', 3)}", f"{sql_word('rep_avg_rmse')} || {fn('am', 3)}", "''",
+    _q(WORDS["rep_detail"]), _q("-" * 30)], 1, "one") + f"""
  UNION ALL SELECT 15 + (rk - 1) * 4, 'Model: ' || model || ' | Dataset: ' || dataset || ' | Target: ' || target FROM c
- UNION ALL SELECT 16 + (rk - 1) * 4, '  R² Score: ' || {fn('test_r2', 3)} || ' | RMSE: ' || {fn('test_rmse', 3)}
+ UNION ALL SELECT 16 + (rk - 1) * 4, {sql_word('rep_row_r2')} || {fn('test_r2', 3)} || ' | RMSE: ' || {fn('test_rmse', 3)}
                   || ' | MAE: ' || {fn('test_mae', 3)} FROM c
- UNION ALL SELECT 17 + (rk - 1) * 4, '  CV Score: ' || {fn('cv_score', 3)} || ' ± ' || {fn('cv_std', 3)} FROM c
+ UNION ALL SELECT 17 + (rk - 1) * 4, {sql_word('rep_row_cv')} || {fn('cv_score', 3)} || ' ± ' || {fn('cv_std', 3)} FROM c
  UNION ALL SELECT 18 + (rk - 1) * 4, '' FROM c""")
 def comparison_report(spark, sf):
     return J.comparison_report(V.comparison(spark, sf))
 
 
-_AR_TAIL = ["", "IMPLEMENTATION RECOMMENDATIONS:", "-" * 30, "1. Focus on high-priority actions first",
-            "2. Establish regular monitoring and review cycles", "3. Collect feedback from implementation teams",
-            "4. Track success metrics continuously", "5. Adjust approach based on initial results", "",
-            "For technical support or questions, contact the Data Science Team."]
+_AR_TAIL = ["", WORDS["tail_0"], "-" * 30, WORDS["tail_1"],
+            WORDS["tail_2"], WORDS["tail_3"],
+            WORDS["tail_4"], WORDS["tail_5"], "",
+            WORDS["tail_6"]]
 
 
 @query("action_report", _ITEMS + f""",
@@ -213,21 +214,21 @@ k AS (SELECT count(*) AS k FROM ia),
 da AS (SELECT * FROM top WHERE model = 'a' AND rank <= 5),
 d AS (SELECT count(*) AS d FROM da)
 """ + _lines_sql([
-    _q("HEALTHCARE WORKFLOW OPTIMIZATION - ACTION PLAN"), _q("=" * 50), _q("Target Variable: wait_min"),
-    _q("Model Used: a"), f"'Model Accuracy: ' || {fp('test_r2')}", "''", _q("EXECUTIVE SUMMARY:"), _q("-" * 20),
-    f"'Current Average Performance: ' || {fn('mean_pred', 2)}",
-    f"'Improvement Potential: ' || {fn('greatest(0.0::DOUBLE, (mean_pred - p25) / mean_pred * 100)', 1)} || '%'",
-    f"'Model Reliability: ' || {fp('test_r2')}", "''", _q("ACTION ITEMS:"), _q("-" * 15)], 1, "qa") + """
- UNION ALL SELECT 15 + (item - 1) * 7, CAST(item AS VARCHAR) || '. ' || action || ' [' || priority || ' Priority]' FROM ia
- UNION ALL SELECT 16 + (item - 1) * 7, '   Description: ' || description FROM ia
- UNION ALL SELECT 17 + (item - 1) * 7, '   Responsible: ' || responsible FROM ia
- UNION ALL SELECT 18 + (item - 1) * 7, '   Timeline: ' || timeline FROM ia
- UNION ALL SELECT 19 + (item - 1) * 7, '   Success Metric: ' || success_metric FROM ia
- UNION ALL SELECT 20 + (item - 1) * 7, '   Status: ' || status FROM ia
+    _q(WORDS["act_title"]), _q("=" * 50), _q(WORDS["act_target"] + "wait_min"),
+    _q(WORDS["act_model"] + "a"), f"{sql_word('act_r2')} || {fp('test_r2')}", "''", _q(WORDS["act_sum"]), _q("-" * 20),
+    f"{sql_word('act_now')} || {fn('mean_pred', 2)}",
+    f"{sql_word('act_gain')} || {fn('greatest(0.0::DOUBLE, (mean_pred - p25) / mean_pred * 100)', 1)} || '%'",
+    f"{sql_word('act_rel')} || {fp('test_r2')}", "''", _q(WORDS["act_items"]), _q("-" * 15)], 1, "qa") + f"""
+ UNION ALL SELECT 15 + (item - 1) * 7, CAST(item AS VARCHAR) || '. ' || action || ' [' || priority || {sql_word('act_prio')} FROM ia
+ UNION ALL SELECT 16 + (item - 1) * 7, {sql_word('act_desc')} || description FROM ia
+ UNION ALL SELECT 17 + (item - 1) * 7, {sql_word('act_owner')} || responsible FROM ia
+ UNION ALL SELECT 18 + (item - 1) * 7, {sql_word('act_when')} || timeline FROM ia
+ UNION ALL SELECT 19 + (item - 1) * 7, {sql_word('act_goal')} || success_metric FROM ia
+ UNION ALL SELECT 20 + (item - 1) * 7, {sql_word('act_status')} || status FROM ia
  UNION ALL SELECT 21 + (item - 1) * 7, '' FROM ia
- UNION ALL SELECT 15 + k * 7, 'KEY PERFORMANCE DRIVERS:' FROM k
+ UNION ALL SELECT 15 + k * 7, {sql_word('act_drivers')} FROM k
  UNION ALL SELECT 16 + k * 7, '""" + "-" * 25 + f"""' FROM k
- UNION ALL SELECT 17 + k * 7 + rank - 1, '• ' || feature || ': ' || {fn('score', 3)} || ' importance score' FROM da, k
+ UNION ALL SELECT 17 + k * 7 + rank - 1, '• ' || feature || ': ' || {fn('score', 3)} || {sql_word('j3_staff3')} FROM da, k
 """ + "".join(f" UNION ALL SELECT 17 + k * 7 + d + {i}, {_q(ln)} FROM k, d\n" for i, ln in enumerate(_AR_TAIL)))
 def action_report(spark, sf):
     imp, quality = V.importance(spark, sf), _quality(spark, sf)
