@@ -101,14 +101,14 @@ def _word_rows(rows: DataFrame, key: str) -> DataFrame:
 def best_run(agree: np.ndarray, density: float) -> tuple[int, int]:
     """The longest run [a, b) with at least ``density`` of its words agreeing,
     without disagreeing words at its ends (the first of equally long ones)."""
+    if not agree.any():
+        return 0, 0
     gain = np.concatenate([[0.0], np.cumsum(np.where(agree, 1.0 - density, -density))]).round(9)
-    low = np.minimum.accumulate(gain)
-    begin = np.searchsorted(-low, -gain, side="left")  # the first place not above gain[b]
-    size = np.arange(len(gain)) - begin
-    b = int(np.argmax(size))
-    a = int(begin[b])
-    inside = np.flatnonzero(agree[a:b])
-    return (a + int(inside[0]), a + int(inside[-1]) + 1) if len(inside) else (a, a)
+    low = np.minimum.accumulate(np.where(agree, gain[:-1], np.inf))
+    ends = np.flatnonzero(agree) + 1
+    begin = np.searchsorted(-low, -gain[ends], side="left")  # the first agreeing word not above the end's gain
+    longest = int(np.argmax(ends - begin))
+    return int(begin[longest]), int(ends[longest])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13,
