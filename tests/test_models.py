@@ -39,9 +39,27 @@ def test_cv_scores_every_fold(spark):
 
 
 def test_train_compare_table(spark):
-    _, cmp, imp = G.train_models(model_input(spark, SF_SMALL), MODEL_FEATURES, "wait_min",
-                                 names=(G.LINEAR, "Decision Tree"), dataset="visits")
+    _, cmp, imp, status = G.train_models(model_input(spark, SF_SMALL), MODEL_FEATURES, "wait_min",
+                                         names=(G.LINEAR, "Decision Tree", "no such model"), dataset="visits")
     rows = cmp.collect()
+    assert {r.model: (r.status, r.message is None) for r in status.collect()} == {
+        G.LINEAR: ("ok", True), "Decision Tree": ("ok", True), "no such model": ("failed", False)}
     assert {r.model for r in rows} == {G.LINEAR, "Decision Tree"}
     assert all(r.training_time is not None and r.cv_score >= 1e-5 for r in rows)
     assert {r.model for r in imp.collect()} == {G.LINEAR, "Decision Tree"}
+
+
+def test_cross_validation_refits_on_noise(spark):
+    """A deep tree fits noise on its own rows; refitted per fold it can't."""
+    df = spark.range(400).select(F.col("id"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"),
+                                 (F.xxhash64("id") % 1000 / 1000.0).alias("x"), (F.xxhash64("id", F.lit(1)) % 1000 / 1000.0).alias("y"))
+    cmp = G.train_models(df, ["x"], "y", names=("Decision Tree",)).comparison.first()
+    folds = [r.r2 for r in G.refit_scores(df, ["x"], "y", "Decision Tree").collect()]
+    assert len(folds) == 5 and sum(folds) / 5 < 0 and cmp.cv_score <= 1e-5
+
+
+def test_all_models_failing_is_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="no model could be trained"):
+        G.train_models(model_input(spark, SF_SMALL), MODEL_FEATURES, "wait_min", names=("no such model",))

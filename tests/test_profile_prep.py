@@ -92,14 +92,21 @@ def test_forward_fill_within_key(spark):
 def test_distributed_rank_equals_window_rank(spark):
     rows = [(f"v{i % 97:03d}",) for i in range(1000)] + [(None,)]
     df = spark.createDataFrame(rows, "c string")
-    local = {r.c for r in P.ordinal_encode(df, ["c"]).collect()}
-    dist = P.ordinal_encode(df, ["c"], local_limit=0).collect()
-    assert {r.c for r in dist} == local
+    got = P.ordinal_encode(df.withColumn("v", F.col("c")), ["c"]).collect()
+    assert len(got) == 1001 and all(r.c is None if r.v is None else int(r.v[1:]) == r.c for r in got)
     ranks = P.distributed_rank(df.select("c").where("c is not null").distinct(), "c", partitions=7).collect()
     assert sorted(r._rank for r in ranks) == list(range(97))
     assert all(int(r.c[1:]) == r._rank for r in ranks)
 
 
+def test_sparse_one_hot_has_no_level_limit(spark):
+    rows = [(i, f"h{i % 150:03d}" if i % 10 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, hospital string")
+    cells = {r.id: (r.position, r.value) for r in P.one_hot_sparse(df, "hospital", "id").collect()}
+    levels = sorted({v for _, v in rows if v})
+    assert cells == {i: (levels.index(v) - 1, v) for i, v in rows if v and v != levels[0]}
+
+
 def test_salted_top_values_equal_plain(spark):
     rows = [(f"k{i % 50}" if i % 3 else "hot",) for i in range(3000)]
     df = spark.createDataFrame(rows, "c string")

@@ -5,10 +5,8 @@ with a scalar subquery (`DataFrame.scalar()`), which Catalyst evaluates once
 and folds into the projection; several scalar subqueries over the same
 aggregate are merged into one job by Catalyst's `MergeScalarSubqueries`.
 
-Keyed statistics (one row per group) are joined with :func:`lookup_join`,
-which *checks* the size of the statistics table at run time and broadcasts it
-only under a row bound; above the bound it falls back to a shuffle join that
-AQE can split when a key is skewed.
+Keyed statistics (one row per group) are joined with :func:`lookup_join`; the
+engine decides between broadcast and shuffle from the size it measures.
 """
 
 from __future__ import annotations
@@ -16,33 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest keyed-statistics table that is broadcast (rows).
-BROADCAST_MAX_ROWS = 200_000
-
-
-_MEMO: dict = {}
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
-                max_rows: int = BROADCAST_MAX_ROWS, memo: str | None = None) -> DataFrame:
-    """Join ``small`` (aggregate-sized) to ``big`` (row-sized).
-
-    The small side is cached and counted (bounded by ``max_rows + 1``) before
-    deciding: broadcast hash join when it fits, shuffle join otherwise.
-    ``memo`` names a small table that is the same for every caller in this
-    session (e.g. per-type means of one input folder), so it is computed and
-    checked once."""
-    key = (big.sparkSession.conf.get("spark.app.id", ""), id(big.sparkSession), memo) if memo else None
-    if key is not None and key in _MEMO:
-        small, fits = _MEMO[key]
-    else:
-        small = small.cache()
-        fits = small.limit(max_rows + 1).count() <= max_rows
-        if not fits:
-            small.unpersist()
-        if key is not None:
-            _MEMO[key] = (small, fits)
-    return big.join(F.broadcast(small) if fits else small, on, how)
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``small`` (one row per key) to ``big`` (row-sized) on equal keys,
+    NULL keys being equal to each other. Nothing runs or stays cached here:
+    Spark broadcasts the small side if its measured size allows, and splits
+    skewed partitions of the shuffle join otherwise."""
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = small.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return big.join(renamed, cond, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def with_scalars(df: DataFrame, stats: DataFrame, names=None) -> DataFrame:

@@ -48,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local tests) take a fresh scratch folder. Returns the folder in use."""
     path = checkpoint_dir(spark)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wardstats-ckpt-")
     try:
         sc = spark.sparkContext

@@ -26,8 +26,11 @@ def r6(c: str | Column, digits: int = OUT_DIGITS) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
-def thr(c: str | Column) -> Column:
-    """Round a threshold before it is compared with row values."""
+def thr(c):
+    """Round a threshold (a column or a wanted percentile) before it is
+    compared with row values."""
+    if not isinstance(c, (str, Column)):
+        return c.rounded(THRESHOLD_DIGITS)
     return F.round(col(c), THRESHOLD_DIGITS)
 
 
@@ -41,28 +44,13 @@ def std1(c: str | Column) -> Column:
     return F.stddev_samp(col(c))
 
 
-PERCENTILE_CONF = "spark.wardstats.percentileAccuracy"
-
-
-def _session_accuracy() -> int | None:
-    from pyspark.sql import SparkSession
-
-    s = SparkSession.getActiveSession()
-    v = s.conf.get(PERCENTILE_CONF, None) if s is not None else None
-    return int(v) if v else None
-
-
 def pct(c: str | Column, p, accuracy: int | None = None) -> Column:
-    """Linear-interpolation percentile (NumPy default).
-
-    ``p`` is a fraction or a list of fractions. Exact by default; the exact
-    aggregate keeps one counter per distinct value of the group, so for
-    high-cardinality doubles at cluster scale pass ``accuracy`` (e.g. 10000),
-    or set ``spark.wardstats.percentileAccuracy`` on the session, to switch
-    every percentile to the bounded-memory sketch ``percentile_approx``.
-    """
-    if accuracy is None:
-        accuracy = _session_accuracy()
+    """Linear-interpolation percentile (NumPy default) as a plain aggregate.
+
+    Its buffer holds one counter per distinct value of the group, so it is
+    for small tables and low-cardinality columns; row-sized groups go through
+    :func:`wardstats.functions.percentiles.grouped`. ``p`` is a fraction or a
+    list; ``accuracy`` asks for the sketch ``percentile_approx`` instead."""
     if accuracy:
         return F.percentile_approx(col(c), p, accuracy)
     if isinstance(p, (list, tuple)):
@@ -70,6 +58,14 @@ def pct(c: str | Column, p, accuracy: int | None = None) -> Column:
     return F.percentile(col(c), F.lit(float(p)))
 
 
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation; NULL where either side is constant (``F.corr``
+    divides by zero there)."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def safe_div(a: str | Column, b: str | Column) -> Column:
     """Division that yields NULL instead of raising (ANSI) or inf on zero."""
     return F.try_divide(col(a), col(b))

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstats.functions.joins import lookup_join, with_scalars
-from wardstats.functions.stats import count_if, pct, r6, share, std0, std1, thr
+from wardstats.functions.percentiles import grouped, percentile_of
+from wardstats.functions.stats import corr, count_if, r6, share, std0, std1, thr
 from wardstats.functions.text import fmt_num
 
 INF = float("inf")
@@ -42,8 +43,9 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
 
 
 def group_stats(df: DataFrame, keys, *aggs) -> DataFrame:
-    keys = list(keys)
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    """Aggregates per group; percentiles are exact and no group meets in one
+    task (:mod:`wardstats.functions.percentiles`)."""
+    return grouped(df, keys, *aggs)
 
 
 # --------------------------------------------------------------------------
@@ -51,14 +53,14 @@ def group_stats(df: DataFrame, keys, *aggs) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def care_metrics(scored: DataFrame, target: str, keys=("model",), y: str = "y_true",
-                 p: str = "y_pred", accuracy: int | None = None) -> DataFrame:
+                 p: str = "y_pred") -> DataFrame:
     """MAE, RMSE, R², MAPE, clinical accuracy, critical-case detection,
     resource-planning accuracy, efficiency impact and consistency per group.
 
     ``target`` selects the wait/time variants as in the reference."""
     keys = list(keys)
     base = scored.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"))
-    q = pct("_y", [0.25, 0.5, 0.75, 0.9], accuracy)
+    q = percentile_of("_y", [0.25, 0.5, 0.75, 0.9])
     stats = group_stats(base, keys, q.alias("_q")).select(
         *keys, *[thr(F.col("_q")[i]).alias(n) for i, n in enumerate(("_q1", "_q2", "_q3", "_p90"))])
     j = attach_stats(base, stats, keys)
@@ -109,12 +111,11 @@ def care_metrics(scored: DataFrame, target: str, keys=("model",), y: str = "y_tr
     )
 
 
-def resource_bands(scored: DataFrame, keys=("model",), y: str = "y_true", p: str = "y_pred",
-                   accuracy: int | None = None) -> DataFrame:
+def resource_bands(scored: DataFrame, keys=("model",), y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """H5 detail: one row per y-quartile band with its MAE, mean and score."""
     keys = list(keys)
     base = scored.select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"))
-    stats = group_stats(base, keys, pct("_y", [0.25, 0.5, 0.75], accuracy).alias("_q")).select(
+    stats = group_stats(base, keys, percentile_of("_y", [0.25, 0.5, 0.75]).alias("_q")).select(
         *keys, *[thr(F.col("_q")[i]).alias(f"_q{i + 1}") for i in range(3)])
     j = attach_stats(base, stats, keys)
     yv = F.col("_y")
@@ -171,12 +172,12 @@ def alert_level(pctl) -> "F.Column":
 
 
 def alert_thresholds(scored: DataFrame, target: str, percentiles=(75, 85, 95), keys=("model",),
-                     p: str = "y_pred", accuracy: int | None = None) -> DataFrame:
+                     p: str = "y_pred") -> DataFrame:
     """One row per (group, percentile): threshold, level, expected frequency,
     colour, response time and description."""
     keys = list(keys)
     fr = [x / 100.0 for x in percentiles]
-    g = group_stats(scored, keys, pct(p, fr, accuracy).alias("_t"))
+    g = group_stats(scored, keys, percentile_of(p, fr).alias("_t"))
     pcts = F.array(*[F.lit(int(x)) for x in percentiles])
     ex = g.select(*keys, F.posexplode(F.arrays_zip(pcts.alias("pc"), F.col("_t").alias("t"))).alias("pos", "z"))
     pc, t = F.col("z.pc"), thr(F.col("z.t"))
@@ -191,11 +192,11 @@ def alert_thresholds(scored: DataFrame, target: str, percentiles=(75, 85, 95), k
 
 
 def alert_assign(scored: DataFrame, percentiles=(75, 85, 95), keys=("model",), id_col: str = "id",
-                 p: str = "y_pred", accuracy: int | None = None) -> DataFrame:
+                 p: str = "y_pred") -> DataFrame:
     """Level of each row: the highest threshold its prediction exceeds."""
     keys = list(keys)
     lo, mid, hi = sorted(percentiles)
-    stats = group_stats(scored, keys, pct(p, [lo / 100, mid / 100, hi / 100], accuracy).alias("_t")).select(
+    stats = group_stats(scored, keys, percentile_of(p, [lo / 100, mid / 100, hi / 100]).alias("_t")).select(
         *keys, thr(F.col("_t")[0]).alias("_t1"), thr(F.col("_t")[1]).alias("_t2"), thr(F.col("_t")[2]).alias("_t3"))
     j = attach_stats(scored.select(*keys, id_col, p), stats, keys)
     pv = F.col(p)
@@ -224,10 +225,10 @@ def confidence_bands(scored: DataFrame, keys=("model",), y="y_true", p="y_pred")
 
 
 def risk_assessment(scored: DataFrame, target: str, keys=("model",), p="y_pred",
-                    q: float = 0.9, accuracy: int | None = None) -> DataFrame:
+                    q: float = 0.9) -> DataFrame:
     """Rows whose prediction exceeds the group's p90: count, share, band."""
     keys = list(keys)
-    st = group_stats(scored, keys, thr(pct(p, q, accuracy)).alias("_t"))
+    st = group_stats(scored, keys, thr(percentile_of(p, q)).alias("_t"))
     j = attach_stats(scored.select(*keys, p), st, keys)
     out = group_stats(j, keys, F.first("_t").alias("_t"), count_if(F.col(p) > F.col("_t")).alias("high_risk_count"),
                       F.count(F.lit(1)).alias("n"))
@@ -239,19 +240,18 @@ def risk_assessment(scored: DataFrame, target: str, keys=("model",), p="y_pred",
                       r6(rp).alias("risk_percentage"), band.alias("risk_band"))
 
 
-def improvement_potential(scored: DataFrame, keys=("model",), p="y_pred", accuracy=None) -> DataFrame:
+def improvement_potential(scored: DataFrame, keys=("model",), p="y_pred") -> DataFrame:
     """max(0, (mean − p25) / mean · 100) of the predictions."""
     keys = list(keys)
-    g = group_stats(scored, keys, F.avg(p).alias("_m"), thr(pct(p, 0.25, accuracy)).alias("_q1"))
+    g = group_stats(scored, keys, F.avg(p).alias("_m"), thr(percentile_of(p, 0.25)).alias("_q1"))
     pot = F.greatest(F.lit(0.0), F.try_divide(F.col("_m") - F.col("_q1"), F.col("_m")) * 100)
     return g.select(*keys, r6("_m").alias("mean_pred"), r6("_q1").alias("p25"), r6(pot).alias("improvement_pct"))
 
 
-def performance_quartiles(scored: DataFrame, target: str, keys=("model",), p="y_pred",
-                          accuracy=None) -> DataFrame:
+def performance_quartiles(scored: DataFrame, target: str, keys=("model",), p="y_pred") -> DataFrame:
     """Quartiles of the predictions with the variability / over-target flags."""
     keys = list(keys)
-    g = group_stats(scored, keys, pct(p, [0.25, 0.5, 0.75], accuracy).alias("_q"), F.avg(p).alias("_m"))
+    g = group_stats(scored, keys, percentile_of(p, [0.25, 0.5, 0.75]).alias("_q"), F.avg(p).alias("_m"))
     q1, q2, q3 = (thr(F.col("_q")[i]) for i in range(3))
     timed = _is_timed(target)
     hv = (q3 - q1 > q2) if timed else F.lit(None).cast("boolean")
@@ -260,11 +260,11 @@ def performance_quartiles(scored: DataFrame, target: str, keys=("model",), p="y_
                     hv.alias("high_variability"), ot.alias("over_target"))
 
 
-def high_error_cases(scored: DataFrame, keys=("model",), y="y_true", p="y_pred", accuracy=None) -> DataFrame:
+def high_error_cases(scored: DataFrame, keys=("model",), y="y_true", p="y_pred") -> DataFrame:
     """Share of rows with |e| above the group's p90 of |e| (strict)."""
     keys = list(keys)
     base = scored.select(*keys, F.abs(F.col(y) - F.col(p)).alias("_ae"))
-    st = group_stats(base, keys, thr(pct("_ae", 0.9, accuracy)).alias("_t"))
+    st = group_stats(base, keys, thr(percentile_of("_ae", 0.9)).alias("_t"))
     j = attach_stats(base, st, keys)
     out = group_stats(j, keys, F.first("_t").alias("_t"), count_if(F.col("_ae") > F.col("_t")).alias("n_high"),
                       F.count(F.lit(1)).alias("n"))
@@ -307,7 +307,7 @@ def bottlenecks(dataset: DataFrame, target_col: str, numeric_cols, top: int = 8)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.corr(x, F.col(target_col).cast("double")).alias(f"{c}__r"),
+        aggs += [corr(x, target_col).alias(f"{c}__r"),
                  std1(x).alias(f"{c}__s"), F.avg(x).alias(f"{c}__m")]
     wide = dataset.agg(*aggs)
     stack = "stack({}, {}) as (factor, correlation, sd, mean)".format(

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardstats.functions.joins import with_scalars
-from wardstats.functions.stats import count_if, pct, r6, std0, thr
+from wardstats.functions.percentiles import percentile_of
+from wardstats.functions.stats import count_if, r6, std0, thr
 from wardstats.operators.caremetrics import _is_timed, _is_wait, attach_stats, group_stats
 
 # The improvement scenarios (percent) used by the reference.
@@ -24,15 +25,14 @@ def default_cost_parameters(target: str) -> tuple[float, int]:
 
 
 def cost_baseline(scored: DataFrame, target: str, keys=("model",), p: str = "y_pred",
-                  cost_per_unit: float | None = None, annual_factor: int | None = None,
-                  accuracy: int | None = None) -> DataFrame:
+                  cost_per_unit: float | None = None, annual_factor: int | None = None) -> DataFrame:
     """Baseline cost per case and per year, high-cost cases above
     p80, and the cost drivers (variability std₀/mean, share above p95)."""
     keys = list(keys)
     unit, factor = default_cost_parameters(target)
     unit = cost_per_unit if cost_per_unit is not None else unit
     factor = annual_factor if annual_factor is not None else factor
-    st = group_stats(scored, keys, pct(p, [0.8, 0.95], accuracy).alias("_q")).select(
+    st = group_stats(scored, keys, percentile_of(p, [0.8, 0.95]).alias("_q")).select(
         *keys, thr(F.col("_q")[0]).alias("_p80"), thr(F.col("_q")[1]).alias("_p95"))
     j = attach_stats(scored.select(*keys, p), st, keys)
     pv = F.col(p)
@@ -69,12 +69,12 @@ def cost_scenarios(scored: DataFrame, target: str, keys=("model",), p: str = "y_
 
 
 def cost_dashboard(scored: DataFrame, dataset: DataFrame, target: str, keys=("model",), p: str = "y_pred",
-                   cost_per_unit: float | None = None, accuracy: int | None = None) -> DataFrame:
+                   cost_per_unit: float | None = None) -> DataFrame:
     """Dashboard cost: cases per year = dataset rows × 12, high-cost
     cases above the p90 of the predictions."""
     keys = list(keys)
     unit = cost_per_unit if cost_per_unit is not None else (2.5 if _is_timed(target) else 100.0)
-    st = group_stats(scored, keys, thr(pct(p, 0.9, accuracy)).alias("_p90"))
+    st = group_stats(scored, keys, thr(percentile_of(p, 0.9)).alias("_p90"))
     j = attach_stats(scored.select(*keys, p), st, keys)
     pv = F.col(p)
     g = group_stats(j, keys, F.count(F.lit(1)).alias("n"), F.avg(p).alias("_m"),

@@ -70,7 +70,7 @@ def cv_summary(folds: DataFrame, keys=("dataset", "model")) -> DataFrame:
 
 def comparison(scored: DataFrame, k: int = 5, keys=("dataset", "model"), session: str = "session_1",
                target: str = "wait_min", training_time: DataFrame | None = None,
-               y: str = "y_true", p: str = "y_pred") -> DataFrame:
+               y: str = "y_true", p: str = "y_pred", cv: DataFrame | None = None) -> DataFrame:
     """One row per (dataset, model) with test R²/RMSE/MAE, CV mean and
     std (CV clipped below at 1e-5 as in the comparison page), training time
     and overfitting = train R² − test R². Both splits are scored in one
@@ -82,7 +82,8 @@ def comparison(scored: DataFrame, k: int = 5, keys=("dataset", "model"), session
         F.avg(F.when(te, e * e)).alias("_tmse"), F.avg(F.when(te, F.abs(e))).alias("_tmae"),
         F.var_pop(F.when(te, F.col(y))).alias("_tvy"),
         F.avg(F.when(tr, e * e)).alias("_rmse"), F.var_pop(F.when(tr, F.col(y))).alias("_rvy"))
-    cv = cv_summary(cv_fold_scores(scored, k, keys, y=y, p=p, rounded=False), keys)
+    if cv is None:  # no refitted scores: fold scores of the given predictions
+        cv = cv_summary(cv_fold_scores(scored, k, keys, y=y, p=p, rounded=False), keys)
     j = g.join(cv, keys, "left")
     if training_time is not None:
         j = j.join(training_time, keys, "left")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import time
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -194,46 +195,77 @@ def feature_importance(trained: Trained, original=None) -> DataFrame | None:
                                  "model string, feature string, score double")
 
 
+class TrainResult(NamedTuple):
+    """What :func:`train_models` returns. ``status`` has a row per wanted
+    model: dataset, model, status (ok or failed), message."""
+
+    scored: DataFrame
+    comparison: DataFrame
+    importance: DataFrame
+    status: DataFrame
+
+
+def refit_scores(df: DataFrame, features, target: str, name: str, folds: int = 5, id_col: str = "id",
+                 split: str = "split", options: TrainOptions = TrainOptions(), **params) -> DataFrame:
+    """R² of each held-out fold of the training rows, scored by a model
+    that was fitted on the other folds, scaling and kernel features included
+    (fold, r2)."""
+    train = df.filter(F.col(split) == "train").withColumn("_fold", fold_col(id_col, folds))
+    parts = []
+    for k in range(folds):
+        part = train.withColumn(split, F.when(F.col("_fold") == k, "test").otherwise("train"))
+        scored, _ = fit_predict(part, features, target, name, id_col, split, options, **params)
+        parts.append(scored.filter(F.col(split) == "test").withColumn("fold", F.lit(k)))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    e = F.col("y_true") - F.col("y_pred")
+    return rows.groupBy("fold").agg((F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop("y_true"))).alias("r2"))
+
+
 def train_models(df: DataFrame, features, target: str, names=(RANDOM_FOREST, BOOSTING, LINEAR, KERNEL),
                  id_col: str = "id", split: str = "split", options: TrainOptions = TrainOptions(),
-                 dataset: str = "dataset", session: str = "session_1") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train several models, skipping failures; returns (scored,
-    comparison, importance). The comparison rows follow the comparison
-    page's schema, with measured training time."""
+                 dataset: str = "dataset", session: str = "session_1") -> TrainResult:
+    """Train several models and cross-validate each by refitting it per
+    fold. The comparison rows follow the comparison page's schema, with
+    measured training time. A model that fails has no scored rows; its row in
+    ``status`` says why. ``ValueError`` if all fail."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from wardstats.operators.evaluate import comparison
 
     spark = df.sparkSession
-    from concurrent.futures import ThreadPoolExecutor
 
     def one(n):
         try:
-            return n, fit_predict(df, features, target, n, id_col, split, options)
-        except Exception:  # noqa: BLE001 - the reference skips a failing model
-            return n, None
+            scored, trained = fit_predict(df, features, target, n, id_col, split, options)
+            r2 = [r["r2"] for r in refit_scores(df, features, target, n, options.cv_folds, id_col, split, options).collect() if r["r2"] is not None]
+            mean = sum(r2) / len(r2) if r2 else None
+            spread = math.sqrt(sum((x - mean) ** 2 for x in r2) / len(r2)) if r2 else None
+            return n, scored, trained, (dataset, n, mean, spread, len(r2)), None
+        except Exception as exc:  # noqa: BLE001 - one model's failure is a row of the result
+            return n, None, None, None, f"{type(exc).__name__}: {exc}"[:500]
 
     # independent fits are submitted from several driver threads, so their
     # Spark jobs share the cluster (the reference's n_jobs=-1)
     with ThreadPoolExecutor(max_workers=max(1, min(options.parallelism, len(names)))) as pool:
         fitted = list(pool.map(one, names))
-    scored_parts, times, imps = [], [], []
-    for n, res in fitted:
-        if res is None:
-            continue
-        s, tr = res
-        scored_parts.append(s.withColumn("dataset", F.lit(dataset)))
-        times.append((dataset, n, tr.seconds))
-        imp = feature_importance(tr, features if n != KERNEL else None)
-        if imp is not None and n != KERNEL:
-            imps.append(imp)
-    scored = scored_parts[0]
-    for s in scored_parts[1:]:
-        scored = scored.unionByName(s)
-    tt = spark.createDataFrame(times, "dataset string, model string, training_time double")
-    cmp = comparison(scored, options.cv_folds, session=session, target=target, training_time=tt)
+    status = [(dataset, n, "failed" if error else "ok", error) for n, _, _, _, error in fitted]
+    done = [x for x in fitted if x[4] is None]
+    if not done:
+        raise ValueError("no model could be trained: " + "; ".join(f"{n}: {error}" for _, n, _, error in status))
+    scored = None
+    for _, part, _, _, _ in done:
+        part = part.withColumn("dataset", F.lit(dataset))
+        scored = part if scored is None else scored.unionByName(part)
+    imps = [i for i in (feature_importance(t, features) for n, _, t, _, _ in done if n != KERNEL) if i is not None]
     imp = imps[0] if imps else spark.createDataFrame([], "model string, feature string, score double")
     for i in imps[1:]:
         imp = imp.unionByName(i)
-    return scored, cmp, imp
+    times = spark.createDataFrame([(dataset, n, t.seconds) for n, _, t, _, _ in done], "dataset string, model string, training_time double")
+    cv = spark.createDataFrame([c for _, _, _, c, _ in done], "dataset string, model string, cv_score double, cv_std double, n_folds bigint")
+    cmp = comparison(scored, options.cv_folds, session=session, target=target, training_time=times, cv=cv)
+    return TrainResult(scored, cmp, imp, spark.createDataFrame(status, "dataset string, model string, status string, message string"))
 
 
 def top_features(importance: DataFrame, k: int = 5, keys=("model",)) -> DataFrame:
@@ -315,9 +347,9 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
     macro and weighted averages (sklearn layout; 0 when undefined).
 
     One pass over the predictions builds the confusion counts (classes²
-    rows, cached); support, true positives and predicted counts are
+    rows); support, true positives and predicted counts are
     class-sized aggregates of that table, joined with a full outer join."""
-    conf = pred.groupBy(F.col(y).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("c")).cache()
+    conf = pred.groupBy(F.col(y).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("c"))
     yt = conf.groupBy(F.col("t").alias("label")).agg(
         F.sum("c").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
     yp = conf.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("predicted"))

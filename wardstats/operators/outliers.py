@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardstats.functions.joins import with_scalars
-from wardstats.functions.stats import pct, std1
+from wardstats.functions.percentiles import grouped, percentile_of
+from wardstats.functions.stats import std1
 from wardstats.operators.profile import numeric_columns
 
 
-def _iqr_stats(df: DataFrame, cols, threshold: float, accuracy=None) -> DataFrame:
-    aggs = [pct(F.col(c).cast("double"), [0.25, 0.75], accuracy).alias(f"{c}__q") for c in cols]
-    st = df.agg(*aggs)
+def _iqr_stats(df: DataFrame, cols, threshold: float) -> DataFrame:
+    aggs = [percentile_of(F.col(c).cast("double"), [0.25, 0.75]).alias(f"{c}__q") for c in cols]
+    st = grouped(df, [], *aggs)
     out = []
     for c in cols:
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
@@ -35,7 +36,7 @@ def _z_stats(df: DataFrame, cols) -> DataFrame:
 
 
 def outlier_flag(df: DataFrame, method: str = "iqr", threshold: float = 1.5, cols=None,
-                 fit_df: DataFrame | None = None, name: str = "is_outlier", accuracy=None) -> DataFrame:
+                 fit_df: DataFrame | None = None, name: str = "is_outlier") -> DataFrame:
     """Boolean column, true when any numeric column is outside
     [Q1 − t·IQR, Q3 + t·IQR] (``iqr``) or |z| > t with ddof-1 std
     (``zscore``). NULL values never flag a row. Statistics come from
@@ -43,7 +44,7 @@ def outlier_flag(df: DataFrame, method: str = "iqr", threshold: float = 1.5, col
     cols = cols or numeric_columns(df)
     src = fit_df if fit_df is not None else df
     if method == "iqr":
-        st = _iqr_stats(src, cols, threshold, accuracy)
+        st = _iqr_stats(src, cols, threshold)
         preds = [(F.col(c) < F.col(f"_{c}_lo")) | (F.col(c) > F.col(f"_{c}_hi")) for c in cols]
     elif method == "zscore":
         st = _z_stats(src, cols)
@@ -56,11 +57,11 @@ def outlier_flag(df: DataFrame, method: str = "iqr", threshold: float = 1.5, col
 
 
 def guarded_removal(df: DataFrame, method: str = "iqr", threshold: float = 1.5, cols=None,
-                    max_share: float = 0.1, fit_df: DataFrame | None = None, accuracy=None) -> DataFrame:
+                    max_share: float = 0.1, fit_df: DataFrame | None = None) -> DataFrame:
     """Drop flagged rows only if 0 < flagged < ``max_share`` of rows;
     otherwise keep everything. The decision is a one-row scalar computed in
     the same plan, so the result stays lazy."""
-    flagged = outlier_flag(df, method, threshold, cols, fit_df, "_out", accuracy)
+    flagged = outlier_flag(df, method, threshold, cols, fit_df, "_out")
     share = flagged.agg(F.sum(F.col("_out").cast("bigint")).alias("_nf"), F.count(F.lit(1)).alias("_n"))
     j = with_scalars(flagged, share)
     remove = (F.col("_nf") > 0) & (F.col("_nf") < F.col("_n") * max_share)
@@ -68,22 +69,22 @@ def guarded_removal(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
 
 
 def remove_outliers_train_only(df: DataFrame, split: str = "split", method: str = "iqr",
-                               threshold: float = 1.5, cols=None, accuracy=None) -> DataFrame:
+                               threshold: float = 1.5, cols=None) -> DataFrame:
     """Guarded removal applied to the training rows only (statistics
     from the training rows); test rows pass through untouched."""
     train = df.filter(F.col(split) == "train")
     test = df.filter(F.col(split) != "train")
-    return guarded_removal(train, method, threshold, cols, accuracy=accuracy).unionByName(test)
+    return guarded_removal(train, method, threshold, cols).unionByName(test)
 
 
 def any_flag(preds) -> Column:
     return reduce(lambda a, b: a | b, preds)
 
 
-def fit_fences(df: DataFrame, cols, threshold: float = 1.5, accuracy=None) -> dict:
+def fit_fences(df: DataFrame, cols, threshold: float = 1.5) -> dict:
     """IQR fences of every column from one aggregate (one small row on the
     driver): {col: (low, high)}."""
-    row = _iqr_stats(df, cols, threshold, accuracy).first()
+    row = _iqr_stats(df, cols, threshold).first()
     return {c: (row[f"_{c}_lo"], row[f"_{c}_hi"]) for c in cols}
 
 
@@ -94,10 +95,10 @@ def fence_flag(fences: dict) -> Column:
     return any_flag(preds) if preds else F.lit(False)
 
 
-def fit_guard(df: DataFrame, cols, threshold: float = 1.5, max_share: float = 0.1, accuracy=None) -> tuple[dict, bool]:
+def fit_guard(df: DataFrame, cols, threshold: float = 1.5, max_share: float = 0.1) -> tuple[dict, bool]:
     """E3 as fitted parameters: the fences and whether removal applies
     (0 < flagged < ``max_share`` of rows). Two small aggregates."""
-    fences = fit_fences(df, cols, threshold, accuracy)
+    fences = fit_fences(df, cols, threshold)
     row = df.agg(F.sum(fence_flag(fences).cast("bigint")).alias("nf"), F.count(F.lit(1)).alias("n")).first()
     nf, n = row["nf"] or 0, row["n"] or 0
     return fences, bool(0 < nf < n * max_share)

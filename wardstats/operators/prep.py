@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardstats.functions.joins import lookup_join
-from wardstats.functions.stats import pct, r6, std0
+from wardstats.functions.percentiles import grouped, percentile_of
+from wardstats.functions.stats import corr, r6, std0
 from wardstats.operators import outliers as E
 from wardstats.operators import transform as D
 from wardstats.functions.stats import eps_div
@@ -48,7 +49,6 @@ class PrepOptions:
     max_categories: int = 100
     unique_ratio: float = 0.05
     max_levels: int = 20
-    accuracy: int | None = None                 # percentile_approx accuracy (None = exact)
 
     def with_options(self, **kw) -> "PrepOptions":
         return replace(self, **kw)
@@ -186,8 +186,8 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset(), w
     num_typed = [c for c in cols if isinstance(fields[c], (T.IntegerType, T.LongType, T.DoubleType, T.FloatType))
                  and c not in date_parts] if with_fences else []
     aggs2 = [F.size(F.collect_set(c)).alias(c) for c in low] + \
-        [pct(F.col(c).cast("double"), [0.25, 0.75], options.accuracy).alias(f"{c}__iqr") for c in num_typed]
-    row2 = df.agg(*aggs2).first() if aggs2 else None
+        [percentile_of(F.col(c).cast("double"), [0.25, 0.75]).alias(f"{c}__iqr") for c in num_typed]
+    row2 = grouped(df, [], *aggs2).first() if aggs2 else None
     exact = {c: row2[c] for c in low} if row2 is not None else {}
     numeric, categorical, nds = [], [], {}
     for c in cols:
@@ -221,7 +221,7 @@ def _detect(df: DataFrame, cols, options: PrepOptions, date_parts=frozenset(), w
 
 # ---------------------------------------------------------------- fit
 
-def _param_aggs(numeric, strategy, accuracy, tag: str, keep: Column | None):
+def _param_aggs(numeric, strategy, tag: str, keep: Column | None):
     """Numeric parameter aggregates over the rows where ``keep`` holds."""
     def w(x):
         return x if keep is None else F.when(keep, x)
@@ -231,7 +231,7 @@ def _param_aggs(numeric, strategy, accuracy, tag: str, keep: Column | None):
         x = w(F.col(c).cast("double"))
         aggs += [F.count(x).alias(f"{c}__nn{tag}"), F.avg(x).alias(f"{c}__m{tag}"), F.var_pop(x).alias(f"{c}__v{tag}")]
         if strategy.startswith("median"):
-            aggs.append(pct(x, 0.5, accuracy).alias(f"{c}__med{tag}"))
+            aggs.append(percentile_of(x, 0.5).alias(f"{c}__med{tag}"))
     return aggs
 
 
@@ -299,7 +299,7 @@ def _check_levels(categorical, nds, max_categories):
 
 
 def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode", max_categories: int = 100,
-               nds: dict | None = None, accuracy: int | None = None) -> dict:
+               nds: dict | None = None) -> dict:
     """Every parameter in two aggregates: fill value, mean and std₀ of the
     imputed numeric columns (one global aggregate); mode and sorted
     category list of the categorical columns (one stacked value count,
@@ -308,14 +308,14 @@ def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode",
     if nds is None and categorical:
         nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in categorical]).first()
         _check_levels(categorical, {c: nd[c] for c in categorical}, max_categories * 2)
-    row = df.agg(*_param_aggs(numeric, strategy, accuracy, "", None)).first()
+    row = grouped(df, [], *_param_aggs(numeric, strategy, "", None)).first()
     out = _numeric_from(row, numeric, strategy, "")
     out.update(_categorical_from(_category_counts(df, categorical, None), False))
     return out
 
 
 def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strategy: str = "mean/mode",
-                       max_categories: int = 100, nds: dict | None = None, accuracy: int | None = None,
+                       max_categories: int = 100, nds: dict | None = None,
                        max_share: float = 0.1) -> tuple[dict, bool]:
     """E3 + F1-F8 without an extra scan for the guard: numeric parameters
     over all rows and over the rows inside the outlier fences plus the
@@ -324,9 +324,9 @@ def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strate
     ``max_share`` of rows) then picks one set."""
     _check_levels(categorical, nds, max_categories)
     flag = E.fence_flag(fences)
-    aggs = _param_aggs(numeric, strategy, accuracy, "", None) + \
-        _param_aggs(numeric, strategy, accuracy, "_k", ~flag) + [F.sum(flag.cast("bigint")).alias("_nf")]
-    row = df.agg(*aggs).first()
+    aggs = _param_aggs(numeric, strategy, "", None) + \
+        _param_aggs(numeric, strategy, "_k", ~flag) + [F.sum(flag.cast("bigint")).alias("_nf")]
+    row = grouped(df, [], *aggs).first()
     nf, n = row["_nf"] or 0, row["_n"] or 0
     remove = bool(0 < nf < n * max_share)
     out = _numeric_from(row, numeric, strategy, "_k" if remove else "")
@@ -361,11 +361,10 @@ def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOpt
     remove = False
     if guard and numeric:
         params, remove = fit_params_guarded(work, numeric, cats, fences, options.missing_strategy,
-                                            options.max_categories, nds, options.accuracy)
+                                            options.max_categories, nds)
     else:
         fences = {}
-        params = fit_params(work, numeric, cats, options.missing_strategy, options.max_categories, nds,
-                            options.accuracy)
+        params = fit_params(work, numeric, cats, options.missing_strategy, options.max_categories, nds)
     model = PrepModel(target, options, roles, dropped, numeric, categorical, complexity=complexity,
                       fences=fences, remove=remove, **params)
     if not options.encode_categorical:
@@ -414,7 +413,7 @@ def column_transform(df: DataFrame, numeric, categorical, strategy: str = "mean/
 
 # ---------------------------------------------------------------- single steps
 
-def impute(df: DataFrame, cols, strategy: str = "mean", accuracy: int | None = None) -> DataFrame:
+def impute(df: DataFrame, cols, strategy: str = "mean") -> DataFrame:
     """Fill NULLs with the column mean, median (exact) or mode
     (smallest value on ties). The statistics are one-row scalar subqueries,
     so the result stays a single lazy plan."""
@@ -423,9 +422,14 @@ def impute(df: DataFrame, cols, strategy: str = "mean", accuracy: int | None = N
     if strategy == "mean":
         st = df.agg(*[F.avg(F.col(c)).alias(f"_f_{c}") for c in cols])
     elif strategy == "median":
-        st = df.agg(*[pct(F.col(c), 0.5, accuracy).alias(f"_f_{c}") for c in cols])
+        st = grouped(df, [], *[percentile_of(c, 0.5).alias(f"_f_{c}") for c in cols])
     elif strategy in ("mode", "most_frequent"):
-        st = df.agg(*[F.mode(F.col(c), True).alias(f"_f_{c}") for c in cols])
+        # counts per value first, then the most frequent (the smallest of equal ones): no task holds a column's values
+        st = None
+        for c in cols:
+            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            one = counts.agg(F.min(F.struct(-F.col("_n"), F.col(c).alias("v")))["v"].alias(f"_f_{c}"))
+            st = one if st is None else with_scalars(st, one)
     else:
         raise ValueError(strategy)
     j = with_scalars(df, st)
@@ -516,34 +520,39 @@ def distributed_rank(values: DataFrame, c: str, partitions: int | None = None) -
     return local.join(F.broadcast(offsets), "_pid").select(c, (F.col("_off") + F.col("_i")).alias("_rank"))
 
 
-def ordinal_encode(df: DataFrame, cols, local_limit: int = 1_000_000) -> DataFrame:
-    """category → 0-based position in sorted order, NULL stays NULL.
-    The code table is one row per distinct value (an aggregate), joined back
-    with a size-checked broadcast. Up to ``local_limit`` distinct values
-    (estimated) the positions come from one window over the distinct values;
-    above it from :func:`distributed_rank`."""
+def ordinal_encode(df: DataFrame, cols) -> DataFrame:
+    """category → 0-based position in sorted order, NULL stays NULL. The
+    code table is one row per distinct value, numbered by
+    :func:`distributed_rank` and joined back."""
     out = df
-    est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()  # one HLL pass
     for c in cols:
         values = df.select(c).where(F.col(c).isNotNull()).distinct()
-        if est[c] <= local_limit:
-            codes = values.select(c, (F.dense_rank().over(Window.orderBy(c)) - 1).alias("_rank"))
-        else:
-            codes = distributed_rank(values, c)
-        codes = codes.select(c, F.col("_rank").cast("double").alias(f"_code_{c}"))
+        codes = distributed_rank(values, c).select(c, F.col("_rank").cast("double").alias(f"_code_{c}"))
         out = lookup_join(out, codes, c).withColumn(c, F.col(f"_code_{c}")).drop(f"_code_{c}")
     return out
 
 
+def one_hot_sparse(df: DataFrame, col: str, id_col: str, drop_first: bool = True) -> DataFrame:
+    """F8 for any number of categories: the non-zero cells of the one-hot
+    matrix as rows (id, position, value). Positions are those of the columns
+    that :func:`one_hot` would make (sorted categories, the first dropped);
+    NULLs and the dropped category have no cell."""
+    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    first = 1 if drop_first else 0
+    codes = distributed_rank(values, col).select(col, (F.col("_rank") - first).cast("bigint").alias("position"))
+    cells = lookup_join(df.select(id_col, col), codes.where("position >= 0"), col, how="inner")
+    return cells.select(id_col, "position", F.col(col).alias("value"))
+
+
 def select_k_best(df: DataFrame, target: str, features, k: int | None = None) -> DataFrame:
     """univariate F-test of a linear fit per feature, F = r²/(1−r²)·(n−2)
     (sklearn ``f_regression``); top ``k`` (default min(50, n)) selected."""
     k = k or min(50, len(features))
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.corr(F.col(f).cast("double"), F.col(target).cast("double")).alias(f) for f in features])
+                  *[corr(f, target).alias(f) for f in features])
     stack = "stack({}, {}) as (feature, r)".format(len(features), ", ".join(f"'{f}', `{f}`" for f in features))
     long = wide.selectExpr("_n", stack)
-    fstat = F.round(F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("_n") - 2), 9)
+    fstat = F.round(F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("_n") - 2), 9)
     w = Window.orderBy(F.desc_nulls_last("f_score"), "feature")
     ranked = long.select("feature", r6("r").alias("r"), fstat.alias("f_score")) \
         .withColumn("position", F.row_number().over(w))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardstats.functions.joins import lookup_join, with_scalars
-from wardstats.functions.stats import count_if, pct, r6, std1
+from wardstats.functions.percentiles import grouped, percentile_of
+from wardstats.functions.stats import corr, count_if, r6, std1
 from wardstats.operators.evaluate import hash_bucket
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -79,7 +80,7 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- B2, B5, B7
 
-def describe_numeric(df: DataFrame, cols=None, accuracy: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols=None) -> DataFrame:
     """B2: count, mean, std (ddof 1), min, quartiles, max per numeric column
     (pandas ``describe``), exact quartiles."""
     cols = cols or numeric_columns(df)
@@ -87,9 +88,9 @@ def describe_numeric(df: DataFrame, cols=None, accuracy: int | None = None) -> D
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), std1(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), pct(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
+                 F.min(x).alias(f"{c}__min"), percentile_of(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
                  F.max(x).alias(f"{c}__max")]
-    long = df.agg(*aggs).selectExpr(_stack(cols, "count", "mean", "std", "min", "q", "max"))
+    long = grouped(df, [], *aggs).selectExpr(_stack(cols, "count", "mean", "std", "min", "q", "max"))
     return long.select("column_name", F.col("count").cast("bigint").alias("count"), r6("mean").alias("mean"),
                        r6("std").alias("std"), r6("min").alias("min"), r6(F.col("q")[0]).alias("q25"),
                        r6(F.col("q")[1]).alias("q50"), r6(F.col("q")[2]).alias("q75"), r6("max").alias("max"))
@@ -200,7 +201,7 @@ def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     complete rows as in pandas; all pairs in one aggregate."""
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs],
+    wide = df.agg(*[corr(a, b).alias(f"{a}__{b}") for a, b in pairs],
                   F.lit(1.0).alias("_one"))
     items = [f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs] + [f"'{b}', '{a}', `{a}__{b}`" for a, b in pairs] + \
             [f"'{c}', '{c}', _one" for c in cols]
@@ -291,7 +292,7 @@ def kde_grid(df: DataFrame, col: str, grid: int = 64, bins: int = 4096, keys=())
 
 # ---------------------------------------------------------------- B17, B18
 
-def normalized_box(df: DataFrame, cols=None, max_cols: int = 8, accuracy: int | None = None) -> DataFrame:
+def normalized_box(df: DataFrame, cols=None, max_cols: int = 8) -> DataFrame:
     """Five-number summary of z-scored (ddof 1) columns, first
     ``max_cols`` numeric columns, plus the 1.5·IQR outlier count. z is affine
     in x, so quantiles are taken on x and transformed; a second aggregate
@@ -301,8 +302,8 @@ def normalized_box(df: DataFrame, cols=None, max_cols: int = 8, accuracy: int |
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.avg(x).alias(f"{c}__m"), std1(x).alias(f"{c}__s"), F.min(x).alias(f"{c}__lo"),
-                 pct(x, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"), F.max(x).alias(f"{c}__hi")]
-    st = df.agg(*aggs)
+                 percentile_of(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__hi")]
+    st = grouped(df, [], *aggs)
     fences = []
     for c in cols:
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[2]
@@ -322,14 +323,13 @@ def normalized_box(df: DataFrame, cols=None, max_cols: int = 8, accuracy: int |
                        F.col("o").cast("bigint").alias("n_outliers"))
 
 
-def box_by_group(df: DataFrame, measure: str, group: str, accuracy: int | None = None) -> DataFrame:
+def box_by_group(df: DataFrame, measure: str, group: str) -> DataFrame:
     """Quartiles, 1.5·IQR whisker ends (most extreme value inside the
     fences) and outlier count of ``measure`` per ``group``."""
     x = F.col(measure).cast("double")
     d = df.select(F.col(group).alias("group_value"), x.alias("_x")).filter(F.col("_x").isNotNull())
-    st = d.groupBy("group_value").agg(pct("_x", [0.25, 0.5, 0.75], accuracy).alias("_q"),
-                                      F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
-                                      F.count(F.lit(1)).alias("n"))
+    st = grouped(d, ["group_value"], percentile_of("_x", [0.25, 0.5, 0.75]).alias("_q"),
+                 F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("n"))
     st = st.select("*", F.round(F.col("_q")[0] - 1.5 * (F.col("_q")[2] - F.col("_q")[0]), 9).alias("_f1"),
                    F.round(F.col("_q")[2] + 1.5 * (F.col("_q")[2] - F.col("_q")[0]), 9).alias("_f2"))
     j = lookup_join(d, st.select("group_value", "_f1", "_f2"), ["group_value"])
@@ -337,7 +337,7 @@ def box_by_group(df: DataFrame, measure: str, group: str, accuracy: int | None =
     w = j.groupBy("group_value").agg(F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
                                       F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
                                       count_if(~inside).alias("n_outliers"))
-    out = st.join(w, "group_value")
+    out = lookup_join(st, w, ["group_value"], how="inner")
     return out.select("group_value", "n", r6("_mn").alias("min"), r6(F.col("_q")[0]).alias("q1"),
                       r6(F.col("_q")[1]).alias("median"), r6(F.col("_q")[2]).alias("q3"), r6("_mx").alias("max"),
                       r6("whisker_low").alias("whisker_low"), r6("whisker_high").alias("whisker_high"), "n_outliers")
@@ -354,8 +354,10 @@ def mean_by_time(df: DataFrame, target: str, bucket_cols) -> DataFrame:
         "bucket_column", "bucket", "n", r6("_m").alias("mean_target"))
 
 
-def scatter_sample(df: DataFrame, id_col: str, cols, fraction: float = 0.1, salt: str = "scatter") -> DataFrame:
-    """Deterministic sample (hash of the id) of the plotted columns; the
-    same rows come back on every run and on every engine."""
+def scatter_sample(df: DataFrame, id_col: str, cols, fraction: float = 1.0, salt: str = "scatter") -> DataFrame:
+    """The plotted columns of every row, or on request of a deterministic
+    sample (hash of the id) that is the same on every run and engine."""
+    if fraction >= 1.0:
+        return df.select(id_col, *cols)
     keep = hash_bucket(F.concat(F.lit(salt), F.col(id_col).cast("string")), 10000) < int(round(fraction * 10000))
     return df.filter(keep).select(id_col, *cols)

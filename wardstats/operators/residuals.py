@@ -8,7 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstats.functions.stats import pct, r6
+from wardstats.functions.percentiles import percentile_of
+from wardstats.functions.stats import r6
 from wardstats.operators.caremetrics import attach_stats, group_stats
 
 # Q-Q probability grid: 0.01 ... 0.99 (99 points).
@@ -35,12 +36,12 @@ def residuals(scored: DataFrame, keys=("model",), id_col: str = "id", y: str = "
 
 
 def qq_points(scored: DataFrame, keys=("model",), y: str = "y_true", p: str = "y_pred",
-              probs=QQ_PROBS, accuracy: int | None = None) -> DataFrame:
+              probs=QQ_PROBS) -> DataFrame:
     """L3: normal Q-Q points: residual quantiles at ``probs`` against the
     standard normal quantiles. One percentile aggregate per group replaces the
     global sort of all residuals."""
     keys = list(keys)
-    g = group_stats(scored, keys, pct(F.col(y) - F.col(p), list(probs), accuracy).alias("_q"))
+    g = group_stats(scored, keys, percentile_of(F.col(y) - F.col(p), list(probs)).alias("_q"))
     theo = F.array(*[F.lit(float(t)) for t in normal_quantiles(probs)])
     pr = F.array(*[F.lit(float(q)) for q in probs])
     z = F.arrays_zip(pr.alias("prob"), theo.alias("theoretical"), F.col("_q").alias("sample"))

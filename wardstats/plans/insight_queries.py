@@ -40,8 +40,7 @@ def _test(spark, sf):
 
 
 def _quality(spark, sf):
-    # one row per model, read by several branches of a plan: cached once
-    return J.model_quality(_test(spark, sf)).cache()
+    return J.model_quality(_test(spark, sf))
 
 
 @query("workflow_insights", INS + f""",
@@ -232,5 +231,5 @@ d AS (SELECT count(*) AS d FROM da)
 """ + "".join(f" UNION ALL SELECT 17 + k * 7 + d + {i}, {_q(ln)} FROM k, d\n" for i, ln in enumerate(_AR_TAIL)))
 def action_report(spark, sf):
     imp, quality = V.importance(spark, sf), _quality(spark, sf)
-    items = _items(spark, sf, imp, quality).cache()  # a few rows, read by three branches
+    items = _items(spark, sf, imp, quality)
     return J.action_report(quality, items, imp, "wait_min", "a")

@@ -175,7 +175,7 @@ def rff_predict(spark, sf):
 
 @query("train_compare")
 def train_compare(spark, sf):
-    _, cmp, _ = G.train_models(model_input(spark, sf), MODEL_FEATURES, "wait_min", dataset="visits")
+    cmp = G.train_models(model_input(spark, sf), MODEL_FEATURES, "wait_min", dataset="visits").comparison
     return cmp
 
 

@@ -12,6 +12,7 @@ from wardstats.operators import transform as D
 from wardstats.operators.evaluate import split_assign
 from wardstats.plans import views as V
 from wardstats.plans.registry import query
+from wardstats.sources.tables import read_table
 from wardstats.plans.sqlviews import SPLIT_SQL, with_views
 
 GAPPY = with_views("visits_gappy")
@@ -106,6 +107,16 @@ def one_hot(spark, sf):
     return P.one_hot(v, ["region", "urgency_level"])
 
 
+@query("one_hot_high_card", """
+WITH codes AS (SELECT c_name, dense_rank() OVER (ORDER BY c_name) - 2 AS position FROM (SELECT DISTINCT c_name FROM customer)),
+n AS (SELECT o_orderkey AS id, c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT id, CAST(position AS BIGINT) AS position, value FROM n JOIN codes ON value = c_name WHERE position >= 0""")
+def one_hot_high_card(spark, sf):
+    names = read_table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("value"))
+    rows = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey").join(names, F.col("o_custkey") == F.col("c_custkey"))
+    return P.one_hot_sparse(rows.select("id", "value"), "value", "id")
+
+
 @query("ordinal_encode", with_views("stays") + """
 SELECT stay_id,
        CAST(dense_rank() OVER (ORDER BY admission_type) - 1 AS DOUBLE) AS admission_type,

@@ -19,7 +19,7 @@ VCOLS = [c for c, _ in VISIT_TYPES]
 NUMERIC_VISIT = [c for c, t in VISIT_TYPES if t in ("bigint", "double", "int")]
 BOX_COLS = ["wait_min", "patient_load", "specialist_availability", "facility_beds", "nurse_staff_ratio",
             "triage_time_min", "registration_time_min", "visit_hour"]
-CORR_COLS = ["wait_min", "patient_load", "nurse_staff_ratio", "triage_time_min", "facility_beds"]
+CORR_COLS = NUMERIC_VISIT
 
 GAPPY = with_views("visits_gappy")
 
@@ -286,7 +286,6 @@ def mean_by_time(spark, sf):
 
 
 @query("scatter_sample", with_views("visits") + """
-SELECT visit_id, facility_beds, nurse_staff_ratio, wait_min FROM visits
-WHERE ('0x' || substr(md5('scatter' || CAST(visit_id AS VARCHAR)), 1, 8))::BIGINT % 10000 < 1000""")
+SELECT visit_id, facility_beds, nurse_staff_ratio, wait_min FROM visits""")
 def scatter_sample(spark, sf):
-    return B.scatter_sample(V.visits(spark, sf), "visit_id", ["facility_beds", "nurse_staff_ratio", "wait_min"], 0.1)
+    return B.scatter_sample(V.visits(spark, sf), "visit_id", ["facility_beds", "nurse_staff_ratio", "wait_min"])

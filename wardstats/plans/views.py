@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardstats.functions.stats import corr
 from wardstats.functions.joins import lookup_join
 from wardstats.sources.tables import read_table
 
@@ -151,7 +152,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     its event type, `d` is biased."""
     v = visits(spark, sf_dir)
     type_mean = v.groupBy("event_type").agg(F.avg("wait_min").alias("type_mean"))
-    v = lookup_join(v, type_mean, "event_type", memo=f"type_mean:{sf_dir}")
+    v = lookup_join(v, type_mean, "event_type")
     vid, y = F.col("visit_id"), F.col("wait_min")
     preds = F.array(
         F.struct(F.lit("a").alias("model"), (F.lit(0.85) * y + (vid % 23) - 6).alias("y_pred")),
@@ -177,16 +178,14 @@ def importance(spark: SparkSession, sf_dir: str, scored_df: DataFrame | None = N
     sum 1 within the model. One wide aggregate, then `stack`."""
     s = scored_df if scored_df is not None else scored(spark, sf_dir)
     wide = s.groupBy("model").agg(*[
-        F.coalesce(F.abs(F.corr(F.col(f).cast("double"), "y_pred")), F.lit(0.0)).alias(f)
+        F.coalesce(F.abs(corr(f, "y_pred")), F.lit(0.0)).alias(f)
         for f in VISIT_FEATURES])
     stack = "stack({}, {}) as (feature, raw)".format(
         len(VISIT_FEATURES), ", ".join(f"'{f}', `{f}`" for f in VISIT_FEATURES))
     long = wide.selectExpr("model", stack)
     from pyspark.sql import Window
     total = F.sum("raw").over(Window.partitionBy("model"))
-    # models × features rows, usually read by several branches: cached once
-    return long.select("model", "feature",
-                       F.round(F.try_divide(F.col("raw"), total), 9).alias("score")).cache()
+    return long.select("model", "feature", F.round(F.try_divide(F.col("raw"), total), 9).alias("score"))
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
