@@ -72,7 +72,7 @@ def test_top_models_ordered_by_r2(spark):  # T17
         "session string, dataset string, target string, model string, test_r2 double, test_rmse double, "
         "test_mae double, cv_score double, cv_std double, training_time double, overfitting double")
     lines = [r.line for r in K.model_recommendations(cmp).collect()]
-    assert "Consider ensemble of top models: a, b, m" in lines
+    assert "Average the best ones: a, b, m" in lines
 
 
 def test_consistency_positive_only_for_biased_predictor(spark):  # T24

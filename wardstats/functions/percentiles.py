@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstats.functions.joins import lookup_join
+from wardstats.functions.joins import lookup_join, with_scalars
 
 #: Accuracy of the sketch that brackets percentiles.
 ACCURACY = 10_000
@@ -53,8 +53,6 @@ def grouped(df: DataFrame, keys, *aggs) -> DataFrame:
     keys = list(keys)
     if not wanted:
         return df.groupBy(*keys).agg(*plain) if keys else df.agg(*plain)
-    if not keys:
-        return grouped(df.withColumn("_all", F.lit(1)), ["_all"], *aggs).drop("_all")
     margin = 2.0 / ACCURACY
     rows = df.withColumns({f"_x{i}": w.value.cast("double") for i, w in enumerate(wanted)})
     sketches = []
@@ -64,7 +62,8 @@ def grouped(df: DataFrame, keys, *aggs) -> DataFrame:
     first = rows.groupBy(*keys).agg(*plain, *sketches)
     # every value either by itself (inside a bracket) or with all others of its gap between brackets
     bracket = [F.array(*[F.struct(F.col(f"_s{i}")[2 * j].alias("lo"), F.col(f"_s{i}")[2 * j + 1].alias("hi")) for j in range(len(w.probs))]).alias(f"_s{i}") for i, w in enumerate(wanted)]
-    spread = lookup_join(rows.select(*keys, *[f"_x{i}" for i in range(len(wanted))]), first.select(*keys, *bracket), keys)
+    attach = (lambda big, small: lookup_join(big, small, keys)) if keys else with_scalars
+    spread = attach(rows.select(*keys, *[f"_x{i}" for i in range(len(wanted))]), first.select(*keys, *bracket))
     values = spread.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("x"), F.col(f"_s{i}").alias("b")) for i in range(len(wanted))]))).where("x IS NOT NULL")
     x = F.col("x")
     inside = F.exists("b", lambda s: (s["lo"] <= x) & (x <= s["hi"]))
@@ -89,4 +88,4 @@ def grouped(df: DataFrame, keys, *aggs) -> DataFrame:
     for i, w in enumerate(wanted):
         parts = [F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("value") if w.digits is None else F.round("value", w.digits))) for j in range(len(w.probs))]
         columns.append((parts[0] if w.single else F.array(*parts)).alias(w.name))
-    return lookup_join(first.drop(*[f"_s{i}" for i in range(len(wanted))]), found.groupBy(*keys).agg(*columns), keys)
+    return attach(first.drop(*[f"_s{i}" for i in range(len(wanted))]), found.groupBy(*keys).agg(*columns))
