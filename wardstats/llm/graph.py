@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstats.llm.scratch import sized, stored
+from wardstats.llm.scratch import stored
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -16,18 +16,18 @@ def _digest(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of ``links`` (two long columns) that is not
     itself the root of its component, the root being the smallest node. Every
-    round is a few joins against one minimum per node; rounds grow with the
+    round joins the edges with one minimum per node; rounds grow with the
     logarithm of a component's size. No component meets in one task."""
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while (now := _digest(edges)) != before:
-        before = now
+    before, now = None, _digest(edges)
+    while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "low")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         # larger neighbours of u move to the smallest node around u
-        large = stored(both.where("v > u").join(sized(low, 24), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # u and its smaller neighbours move to the smallest of them
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(sized(least, 24), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, _digest(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

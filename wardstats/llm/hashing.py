@@ -92,10 +92,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             at = to
 
 
-def words(texts: Texts, separator: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: Texts, separator: np.ndarray = SPACE, lower: bool = True, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each word of all texts, and the index
     of each text's first word (one more at the end). A word is a maximal run
-    of bytes outside ``separator`` within one text."""
+    of bytes outside ``separator`` within one text; with ``kinds`` (a number
+    for each byte value) a run also ends where two kinds above 0 meet."""
     data, off = texts.data, texts.offsets
     n = len(data)
     inside = np.zeros(n + 1, bool)
@@ -104,6 +105,9 @@ def words(texts: Texts, separator: np.ndarray = SPACE, lower: bool = True) -> tu
     before[1:] = inside[:-1]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
+    if kinds is not None and n:
+        kind = kinds[data]
+        cut[1:n] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     start = np.flatnonzero(inside & (~before | cut))
     end = np.flatnonzero(before & (~inside | cut))
     up, down = powers(n + 1)
@@ -122,18 +126,26 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: Texts, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Texts, k: int, weigh=None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """The sorted distinct k-word shingles of each text; a text with fewer
-    words has its whole sequence as one, a text without words none."""
+    words has its whole sequence as one, a text without words none. ``weigh``
+    (numbers for word hashes) adds the sum of each shingle's words."""
     h, _, _, first = words(texts)
     g = grams(h, k)
+    if weigh is not None:
+        w = np.concatenate([[0], np.cumsum(weigh(h))])
+        sums = w[k:] - w[:-k]
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= k:
-            yield np.unique(g[a:b - k + 1])
+            if weigh is None:
+                yield np.unique(g[a:b - k + 1]), None
+            else:
+                s, at = np.unique(g[a:b - k + 1], return_index=True)
+                yield s, sums[a + at]
         elif b > a:
-            yield grams(h[a:b], int(b - a)) ^ _U(0x5851F42D4C957F2D)
+            yield grams(h[a:b], int(b - a)) ^ _U(0x5851F42D4C957F2D), None if weigh is None else w[[b]] - w[a]
         else:
-            yield np.zeros(0, _U)
+            yield np.zeros(0, _U), None if weigh is None else np.zeros(0, np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -4,9 +4,10 @@ components of its links.
 The sets are the distinct word shingles of each text. Texts with equal sets
 form a class; links between classes are found like this:
 
-1. A sketch of fixed size (``SLOTS`` counters) of all shingles of all texts
-   gives every shingle an estimated frequency. (frequency, hash) is one order
-   of shingles for all classes: rare ones first.
+1. Sketches of fixed size (``SLOTS`` counters each) of all shingles and all
+   words of all texts put all shingles in one order: first those that are
+   not frequent themselves, by the frequency of their words (shingles of rare
+   words are hardly shared by chance), then frequent ones by frequency.
 2. If two sets x, y reach the threshold, their first |x| - T(x) + l shingles
    (T(x): the least overlap any partner needs) share at least l. Each class
    takes the l of 1 to ``MAX_MATCHES`` with the least estimated cost (list
@@ -21,8 +22,10 @@ form a class; links between classes are found like this:
    its square.
 5. Completing round: classes of *different* components that share l or more
    prefix shingles (l: the smaller of both), and could overlap enough by
-   their sizes and by the place of their first shared shingle, are compared.
-   Pairs inside a component can't change the result.
+   their sizes and by the place of each shared shingle, are compared. Pairs
+   inside a component can't change the result. (Before a shingle at place i
+   of x, x and y can share no more than the r shingles that x shares with
+   anyone, from it on no more than |x| - i.)
 6. Every compared pair is verified on the whole shingle sets.
 
 Shingles are compared by 64-bit hashes; a class is known by a 64-bit hash of
@@ -63,20 +66,22 @@ _U = np.uint64
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles fall into each slot, over all texts."""
+    """How often shingles (row 0) and words (row 1) fall into each slot, over
+    all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(2 * SLOTS, np.int64)
         for batch in slices(batches, "text"):
             h, *_ = words(Texts(batch.column(batch.schema.get_field_index("text"))))
-            total += np.bincount((grams(h, k) & _U(SLOTS - 1)).view(np.int64), minlength=SLOTS)
+            for row, x in enumerate((grams(h, k), h)):
+                total[row * SLOTS:][:SLOTS] += np.bincount((x & _U(SLOTS - 1)).view(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
     rows = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    sketch = np.zeros(SLOTS, np.int64)
+    sketch = np.zeros(2 * SLOTS, np.int64)
     got = rows.toArrow()
     sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return sketch
+    return sketch.reshape(2, SLOTS)
 
 
 def least_overlap(n, percent: int):
@@ -105,18 +110,19 @@ def _chunks(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
+        seen, of_words = shared.value
         usual = float(np.median(seen))
         frequent = usual + 5 * np.sqrt(usual + 1) + 1
+        rarity = (1024 * np.log2(of_words + 1)).astype(np.int64)  # whole numbers: sums don't depend on their order
         for batch in slices(batches, "text"):
             cls, size, own = [], [], {}
-            for s in shingle_sets(Texts(batch.column(1)), k):
+            for s, rank in shingle_sets(Texts(batch.column(1)), k, lambda h: rarity[(h & _U(SLOTS - 1)).view(np.int64)]):
                 c = set_class(s)
                 cls.append(c)
                 size.append(len(s))
                 if len(s) and c not in own:
                     est = seen[(s & _U(SLOTS - 1)).view(np.int64)]
-                    order = np.argsort(est, kind="stable")
+                    order = np.argsort(np.where(est > frequent, est << 20, rank), kind="stable")
                     base = len(s) - least_overlap(len(s), percent) + 1
                     near = order[:base + MAX_MATCHES]
                     entries = np.maximum(est[near] - usual, 0) * (est[near] > frequent) + CHANCE
@@ -138,9 +144,9 @@ def _chunks(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFr
 
 
 def _shared_prefixes(chunks: DataFrame) -> DataFrame:
-    """(token, cls, n, few, at, first, hub): the prefix shingles that at least
-    two classes hold, with the place among the class's prefix (``at``), the
-    place of its first shared one (``first``), and the shingle's hub."""
+    """(token, cls, n, few, before, rest, hub): the prefix shingles that at
+    least two classes hold, with how many such shingles the class has before
+    it, how many shingles it has from there on, and its hub."""
     spark = chunks.sparkSession
     volume = chunks.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * volume // BUCKET_BYTES)
@@ -206,15 +212,15 @@ def _shared_prefixes(chunks: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(known, token), len(known) - 1)
             hit = known[place] == token
             of, at, place, token = of[hit], at[hit], place[hit], token[hit]
-            head = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-            first = np.repeat(at[head], np.diff(np.append(np.flatnonzero(head), len(of))))
-            for x, y in zip(out, (signed(token), signed(own[of]), n[of], few[of].astype(np.int32), at.astype(np.int32), first.astype(np.int32), signed(hubs[place]))):
+            heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[:len(of)])
+            before = np.arange(len(of)) - np.repeat(heads, np.diff(np.append(heads, len(of))))
+            for x, y in zip(out, (signed(token), signed(own[of]), n[of], few[of].astype(np.int32), before.astype(np.int32), (n[of] - at).astype(np.int32), signed(hubs[place]))):
                 x.append(y)
         kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
-        return pa.table({name: np.concatenate(x) if x else np.zeros(0, t) for name, x, t in zip(("token", "cls", "n", "few", "at", "first", "hub"), out, kinds)})
+        return pa.table({name: np.concatenate(x) if x else np.zeros(0, t) for name, x, t in zip(("token", "cls", "n", "few", "before", "rest", "hub"), out, kinds)})
 
     shared = chunks.select("chunk", "own", "n", "few", "length", "prefix").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        tell, "token bigint, cls bigint, n int, few int, at int, first int, hub bigint")
+        tell, "token bigint, cls bigint, n int, few int, before int, rest int, hub bigint")
     return stored(shared.dropDuplicates(["token", "cls"]), "shared")
 
 
@@ -225,7 +231,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         done: set[int] = set()
         for batch in slices(batches, "text"):
             cls, found = [], []
-            for s, c in zip(shingle_sets(Texts(batch.column(0)), k), batch.column(1).to_numpy().view(_U)):
+            for (s, _), c in zip(shingle_sets(Texts(batch.column(0)), k), batch.column(1).to_numpy().view(_U)):
                 if int(c) not in done and set_class(s) == int(c):
                     done.add(int(c))
                     cls.append(int(c.view(np.int64)))
@@ -276,18 +282,21 @@ def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     linked = components(first, "a", "b")
 
     roots = linked.select(F.col("node").alias("cls"), "root")
-    placed = stored(shared.join(sized(roots, 24), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "placed")
-    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    open_rows = stored(placed.join(sized(stored(split, "split"), 16), "token").select("token", "cls", "n", "few", "first", "root"), "open")
-    x = open_rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "few", "first", "root")])
-    y = open_rows.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "few", "first", "root")])
-    reach = F.least(F.col("n_x") - F.col("first_x"), F.col("n_y") - F.col("first_y"))  # no more can be common
+    placed = shared.drop("hub").join(sized(roots, 24), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).where("lo != hi").select("token", "least")
+    enough = lambda common, a, b: (100 + percent) * common >= percent * (a + b)
+    open_rows = placed.join(mixed, "token").where(enough(F.col("before") + F.col("rest"), F.col("n"), F.col("least")))
+    open_rows = stored(open_rows.select("token", "cls", "n", "few", "before", "rest", "root"), "open")
+    x, y = (open_rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "few", "before", "rest", "root")]) for side in "xy")
+    rest = F.least("rest_x", "rest_y")
     together = x.join(y, "token").where(
         (F.col("cls_x") < F.col("cls_y")) & (F.col("root_x") != F.col("root_y"))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y"))))
-    rest = together.groupBy(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).agg(
-        F.count("*").alias("m"), F.min(F.least("few_x", "few_y")).alias("few")).where("m >= few")
+        & enough(F.least("before_x", "before_y") + rest, F.col("n_x"), F.col("n_y")))
+    # a pair that reaches the threshold has all its common prefix shingles here: m, and no more than rest - 1 after the last of them
+    counted = together.groupBy(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).agg(
+        F.count("*").alias("m"), F.min(F.least("few_x", "few_y")).alias("few"), F.min(rest).alias("rest"), F.min("n_x").alias("x"), F.min("n_y").alias("y"))
+    rest = counted.where((F.col("m") >= F.col("few")) & enough(F.col("m") + F.col("rest") - 1, F.col("x"), F.col("y")))
     second = _verified(docs, rest, texts_of, k, percent)
     links = first.unionByName(second)
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
@@ -299,10 +308,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **columns) -
     the texts that links reach, its own included)."""
     members, _, roots = similar_classes(docs, k, percent, **columns)
     classes = (members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-               .join(sized(stored(roots, "roots"), 24), "cls", "left"))
+               .join(roots, "cls", "left"))
     groups = classes.withColumn("group", F.coalesce("root", "cls")).where("copies > 1 OR root IS NOT NULL")
-    groups = stored(groups, "groups")
-    lowest = stored(groups.groupBy("group").agg(F.min("low").alias("component_id")), "lowest")
-    named = stored(groups.join(sized(lowest, 32), "group").select("cls", "component_id"), "named")
+    lowest = groups.groupBy("group").agg(F.min("low").alias("component_id"))
+    named = stored(groups.join(lowest, "group").select("cls", "component_id"), "named")
     return members.join(sized(named, 32), "cls", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
