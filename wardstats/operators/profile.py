@@ -325,9 +325,10 @@ def normalized_box(df: DataFrame, cols=None, max_cols: int = 8) -> DataFrame:
 
 def box_by_group(df: DataFrame, measure: str, group: str) -> DataFrame:
     """Quartiles, 1.5·IQR whisker ends (most extreme value inside the
-    fences) and outlier count of ``measure`` per ``group``."""
+    fences) and outlier count of ``measure`` per ``group``; rows without a
+    group belong to none (pandas' groupby rule)."""
     x = F.col(measure).cast("double")
-    d = df.select(F.col(group).alias("group_value"), x.alias("_x")).filter(F.col("_x").isNotNull())
+    d = df.select(F.col(group).alias("group_value"), x.alias("_x")).filter(F.col("_x").isNotNull() & F.col("group_value").isNotNull())
     st = grouped(d, ["group_value"], percentile_of("_x", [0.25, 0.5, 0.75]).alias("_q"),
                  F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("n"))
     st = st.select("*", F.round(F.col("_q")[0] - 1.5 * (F.col("_q")[2] - F.col("_q")[0]), 9).alias("_f1"),
