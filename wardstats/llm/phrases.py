@@ -52,8 +52,8 @@ from wardstats.llm.scratch import stored
 
 #: Bytes of a string, and of the rolling hash.
 LENGTH, ROLLING = 50, 20
-#: Bytes of records that one task gathers at a time.
-BUCKET_BYTES = 8 << 20
+#: Text bytes of a chunk; bytes of text whose records one task gathers at a time.
+CHUNK_BYTES, BUCKET_BYTES = 512 << 10, 8 << 20
 
 _U = np.uint64
 _NO_ID = (1 << 63) - 1
@@ -125,12 +125,13 @@ class Parse:
 def _chunks(docs: DataFrame) -> DataFrame:
     """(chunk, ids, sizes, bytes, data): texts packed and compressed."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        codec = pa.Codec("zstd", compression_level=5)
+        for batch in slices(batches, "text", CHUNK_BYTES):
             texts = Texts(batch.column(1))
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.array([ids.tobytes()]), pa.array([np.diff(texts.offsets).tobytes()]),
-                pa.array([len(texts.data)], pa.int64()), pa.array([pa.compress(texts.data.tobytes(), "zstd", asbytes=True)])],
+                pa.array([len(texts.data)], pa.int64()), pa.array([codec.compress(texts.data.tobytes(), asbytes=True)])],
                 names=["chunk", "ids", "sizes", "bytes", "data"])
 
     return stored(docs.mapInArrow(pack, "chunk bigint, ids binary, sizes binary, bytes bigint, data binary"), "texts")
