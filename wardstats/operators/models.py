@@ -21,7 +21,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -34,7 +33,7 @@ from wardstats.operators.evaluate import fold_col
 
 # Model names and hyper-parameters of the reference models.
 RANDOM_FOREST = "Random Forest"
-BOOSTING = "XGBoost"
+BOOSTING = "Gradient Boosting"
 LINEAR = "Linear Regression"
 KERNEL = "Support Vector Regression"
 
@@ -380,8 +379,3 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
     out = per.select("label", "precision", "recall", "f1_score", "support").unionByName(rows)
     return out.select("label", r6("precision").alias("precision"), r6("recall").alias("recall"),
                       r6("f1_score").alias("f1_score"), F.col("support").cast("bigint").alias("support"))
-
-
-def class_probabilities(pred: DataFrame, col: str = "probability") -> Column:
-    """Classifier probability vector as an array column (JVM-side)."""
-    return vector_to_array(F.col(col))

@@ -81,24 +81,8 @@ def any_flag(preds) -> Column:
     return reduce(lambda a, b: a | b, preds)
 
 
-def fit_fences(df: DataFrame, cols, threshold: float = 1.5) -> dict:
-    """IQR fences of every column from one aggregate (one small row on the
-    driver): {col: (low, high)}."""
-    row = _iqr_stats(df, cols, threshold).first()
-    return {c: (row[f"_{c}_lo"], row[f"_{c}_hi"]) for c in cols}
-
-
 def fence_flag(fences: dict) -> Column:
     """True when any column is outside its fitted fences (NULL never flags)."""
     preds = [F.coalesce((F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi)), F.lit(False))
              for c, (lo, hi) in fences.items() if lo is not None and hi is not None]
     return any_flag(preds) if preds else F.lit(False)
-
-
-def fit_guard(df: DataFrame, cols, threshold: float = 1.5, max_share: float = 0.1) -> tuple[dict, bool]:
-    """E3 as fitted parameters: the fences and whether removal applies
-    (0 < flagged < ``max_share`` of rows). Two small aggregates."""
-    fences = fit_fences(df, cols, threshold)
-    row = df.agg(F.sum(fence_flag(fences).cast("bigint")).alias("nf"), F.count(F.lit(1)).alias("n")).first()
-    nf, n = row["nf"] or 0, row["n"] or 0
-    return fences, bool(0 < nf < n * max_share)

@@ -206,7 +206,7 @@ cand AS (
         ELSE {sql_word('rec_low')} END FROM b
   UNION ALL SELECT 'primary', 3, CASE model
         WHEN 'Random Forest' THEN {sql_word('rec_rf')}
-        WHEN 'XGBoost' THEN {sql_word('rec_xgb')}
+        WHEN 'Gradient Boosting' THEN {sql_word('rec_xgb')}
         WHEN 'Linear Regression' THEN {sql_word('rec_lr')} END FROM b
   UNION ALL SELECT 'considerations', 1, CASE WHEN sd > 0.1
         THEN {sql_word('con_sd')} END FROM a
