@@ -48,7 +48,7 @@ SIDE, FREQUENT = 16, 12
 #: Counters of the sketch that tells frequent words from others.
 SLOTS = 1 << 16
 #: Text bytes of a chunk; bytes of records that one task gathers at a time.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
 _U = np.uint64
 _END = _U(1)
@@ -87,13 +87,14 @@ def _chunks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=5)
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = Texts(batch.column(1))
             held = np.asarray(batch.column(2).fill_null(False)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                 pa.array([held.tobytes()]), pa.array([texts.offsets.tobytes()]), pa.array([len(texts.data)], pa.int64()),
-                pa.array([pa.compress(texts.data.tobytes(), "zstd", asbytes=True)])], names=["chunk", "ids", "held", "offsets", "bytes", "data"])
+                pa.array([codec.compress(texts.data.tobytes(), asbytes=True)])], names=["chunk", "ids", "held", "offsets", "bytes", "data"])
 
     return stored(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, held binary, offsets binary, bytes bigint, data binary"), "texts")
 
