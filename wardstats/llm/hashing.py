@@ -42,7 +42,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        m = max(n, SLICE_BYTES + 1)
+        m = 1 << max(n, 1 << 16).bit_length()
         for key, b in (("up", _BASE), ("down", _BASE_INV)):
             p = np.full(m, b, _U)
             p[0] = 1

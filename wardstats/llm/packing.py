@@ -22,8 +22,10 @@ id is kept as null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,25 @@ from pyspark.sql import functions as F
 from wardstats.llm.hashing import Texts, slices, words
 from wardstats.llm.scratch import stored
 
-#: Words whose ids a worker remembers; beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+#: Words whose ids a worker remembers (beyond it the memo starts anew), and
+#: text bytes that it takes at a time.
+MEMO_WORDS, SLICE = 400_000, 512 << 10
+
+
+#: ASCII letters and ASCII punctuation (without the apostrophe of contractions).
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = 2
+KINDS[[0x27, *range(0x30, 0x3A)]] = 0
+for _a in (0x41, 0x61):
+    KINDS[_a:_a + 26] = 1
 
 
 class WordIds:
-    """Token ids of whitespace-separated words. The tokenizer removes white
-    space and never looks across it, so the ids of a text are those of its
-    words one after the other; each word is encoded once per worker."""
+    """Token ids of the words of texts, for a tokenizer that lower-cases,
+    removes white space, and never joins characters across white space or
+    between a letter and punctuation: then the ids of a text are those of its
+    words one after the other, and each word is encoded once per worker.
+    Where a special token may stand in a text, only white space parts words."""
 
     def __init__(self, path: str):
         import os
@@ -49,6 +62,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added)) or b"(?!)", re.IGNORECASE)
         self._clear()
 
     def _clear(self) -> None:
@@ -57,10 +72,10 @@ class WordIds:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size, flat = np.zeros(len(texts), np.int64), []
-        for i in range(0, len(texts), 4096):
-            got = [e.ids for e in encode(texts[i:i + 4096], add_special_tokens=False)]
+        for i in range(0, len(texts), 1024):
+            got = [e.ids for e in encode(texts[i:i + 1024], add_special_tokens=False)]
             size[i:i + len(got)] = [len(x) for x in got]
-            flat.append(np.array([y for x in got for y in x], np.uint32))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
         at = len(self.flat) + np.cumsum(size) - size
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = (np.insert(old, where, new) for old, new in ((self.keys, keys), (self.at, at), (self.size, size)))
@@ -68,14 +83,15 @@ class WordIds:
 
     def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin."""
-        h, start, end, first = words(texts, lower=False)
+        raw = texts.data.tobytes()
+        special = self.special.search(raw) is not None
+        h, start, end, first = words(texts, lower=not special, kinds=None if special else KINDS)
         if len(self.keys) > MEMO_WORDS:
             self._clear()
         kinds, example, kind = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, kinds)
         new = np.ones(len(kinds), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != kinds
         if new.any():
-            raw = texts.data.tobytes()
             self._learn(kinds[new], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in example[new]])
             at = np.searchsorted(self.keys, kinds)
         size, place = self.size[at][kind], self.at[at][kind]
@@ -101,7 +117,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None =
 
             path = public_tokenizers.path("word_bpe_49k.json")
         memo = _memos.get(path) or _memos.setdefault(path, WordIds(path))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, bounds = memo.ids(Texts(batch.column(1)))
             rows: list[list] = [[] for _ in schema]
             for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
