@@ -40,15 +40,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; a character
     that a cut divides goes whole, and n_chars counts what is left."""
-    cut = repeated_bytes(docs, 50).where("doc_id IS NOT NULL AND size(spans) > 0")
-    cut = stored(cut.select(F.col("doc_id").alias("_id"), F.col("crc32").alias("_crc"), "kept").dropDuplicates(["_id", "_crc"]), "cuts")
-    whole = F.expr("coalesce(try_validate_utf8(cast(kept AS string)), replace(make_valid_utf8(cast(kept AS string)), '\uFFFD', ''))")
-    rows = docs.select(F.struct("*").alias("row"), F.crc32("text").alias("crc"))
-    joined = rows.join(cut.select("_id", "_crc", whole.alias("left")), (F.col("row.doc_id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left")
-    changed = {"text": F.col("left"), "n_chars": F.length("left")}
-    return joined.select(*[
-        F.when(F.col("_id").isNotNull(), changed[c]).otherwise(F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"row.`{c}`")
-        for c in docs.columns])
+    cut = repeated_bytes(docs, 50, carry=tuple(c for c in docs.columns if c != "text"))
+    left = F.expr("coalesce(try_validate_utf8(cast(kept AS string)), replace(make_valid_utf8(cast(kept AS string)), '\uFFFD', ''))")
+    return cut.withColumn("left", left).select(*[
+        F.when((F.col("n_bytes") > 0) | F.col("row.n_chars").isNotNull(), F.col("left")).alias(c) if c == "text"
+        else F.when(F.size("spans") > 0, F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,18 +122,19 @@ class Parse:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, sizes, bytes, data): texts packed and compressed."""
+    """(chunk, rows, ids, sizes, bytes, data): texts packed and compressed,
+    and what is carried of their rows."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=5)
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = Texts(batch.column(1))
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.array([ids.tobytes()]), pa.array([np.diff(texts.offsets).tobytes()]),
+                pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(2)), pa.array([ids.tobytes()]), pa.array([np.diff(texts.offsets).tobytes()]),
                 pa.array([len(texts.data)], pa.int64()), pa.array([codec.compress(texts.data.tobytes(), asbytes=True)])],
-                names=["chunk", "ids", "sizes", "bytes", "data"])
+                names=["chunk", "rows", "ids", "sizes", "bytes", "data"])
 
-    return stored(docs.mapInArrow(pack, "chunk bigint, ids binary, sizes binary, bytes bigint, data binary"), "texts")
+    return stored(docs.mapInArrow(pack, f"chunk bigint, rows array<{docs.schema['row'].dataType.simpleString()}>, ids binary, sizes binary, bytes bigint, data binary"), "texts")
 
 
 def _unpacked(ids: bytes, sizes: bytes, length: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def _dictionary(chunks: DataFrame, buckets: int, length: int, rolling: int) -> D
         keep = kind > 0
         return _answer_rows(chunk[keep], key[keep], low[keep], kind[keep])
 
-    asked = chunks.mapInArrow(ask, "bucket bigint, chunk bigint, base bigint, phrase binary, rest binary, trigger binary, doc binary")
+    asked = chunks.drop("rows").mapInArrow(ask, "bucket bigint, chunk bigint, base bigint, phrase binary, rest binary, trigger binary, doc binary")
     return stored(asked.groupBy("bucket").applyInArrow(meet, _ANSWER), "phrases")
 
 
@@ -276,15 +276,17 @@ def _strings(chunks: DataFrame, dictionary: DataFrame, buckets: int, length: int
         return _answer_rows(chunk[keep], key[keep], low[keep], np.full(int(keep.sum()), _STRING))
 
     looked = dictionary.where(F.expr(f"instr(hex(kind), '0{_LOOK}') > 0"))
-    asked = chunks.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(ask, "bucket bigint, chunk bigint, base bigint, string binary, doc binary")
+    asked = chunks.drop("rows").groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(ask, "bucket bigint, chunk bigint, base bigint, string binary, doc binary")
     return stored(asked.groupBy("bucket").applyInArrow(meet, _ANSWER), "strings")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, crc32 (of the whole text), spans (array of
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """Per row: row (a struct of the columns named in ``carry``), doc_id,
+    n_bytes, spans (array of
     [start, end) byte runs to remove, maximal and in order), kept (the
     remaining bytes)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("row"))
     chunks = _chunks(docs)
     volume = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
@@ -314,11 +316,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, rolling: int = ROLLING
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                 mask = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                rows.append((None if ids[i] == _NO_ID else int(ids[i]), int(b - a), zlib.crc32(data[a:b]), edges.reshape(-1, 2).tolist(), data[a:b][~mask].tobytes()))
-        cols = list(zip(*rows)) or [()] * 5
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "crc32": pa.array(cols[2], pa.int64()), "spans": pa.array(cols[3], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(cols[4], pa.binary())})
+                rows.append((None if ids[i] == _NO_ID else int(ids[i]), int(b - a), edges.reshape(-1, 2).tolist(), data[a:b][~mask].tobytes()))
+        cols = list(zip(*rows)) or [()] * 4
+        carried = mine["rows"].combine_chunks().flatten() if mine.num_rows else pa.array([], mine.schema.field("rows").type.value_type)
+        return pa.table({"row": carried, "doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "spans": pa.array(cols[2], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(cols[3], pa.binary())})
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, crc32 bigint, spans array<array<bigint>>, kept binary")
+    kind = docs.schema["row"].dataType.simpleString()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, f"row {kind}, doc_id bigint, n_bytes bigint, spans array<array<bigint>>, kept binary")
 
 
 def digest(cuts: DataFrame) -> DataFrame:
