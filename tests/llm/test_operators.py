@@ -221,6 +221,18 @@ def test_language_model_base_and_sum(spark):
     assert log_probabilities(empty(spark), F.lit(False)).count() == 0
 
 
+def test_language_model_learns_nothing_from_held_out_texts(spark):
+    rng = random.Random(11)
+    vocabulary = [a + b for a in WORDS[:20] for b in ("x", "y", "z")]
+    texts = {i: " ".join(rng.choices(vocabulary, range(60, 0, -1), k=80)) for i in range(30)}
+
+    def scores(other):
+        rows = spark.createDataFrame([*texts.items(), (99, other)], "doc_id long, text string")
+        return {r["doc_id"]: r["score"] for r in log_probabilities(rows, F.col("doc_id") >= 25).collect() if r["doc_id"] != 99}
+
+    assert scores(" ".join(vocabulary[-20:] * 200)) == pytest.approx(scores("one"), abs=1e-9)
+
+
 def test_likeliest_takes_the_matching_distribution():
     centers = np.zeros((2, 32))
     centers[0, 0], centers[1, 5] = 50, 50

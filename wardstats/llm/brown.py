@@ -63,7 +63,7 @@ def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_kinds(docs: DataFrame) -> np.ndarray:
-    """The context kind of each sketch slot, from all texts."""
+    """The context kind of each sketch slot, from the training texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in slices(batches, "text"):
@@ -72,7 +72,7 @@ def context_kinds(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
-    got = docs.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.where("NOT held").select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(SLOTS, np.int64)
     n[got["slot"].to_numpy()] = got["n"].to_numpy()
     order = np.lexsort((np.arange(SLOTS), -n))
