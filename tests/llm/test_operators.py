@@ -241,6 +241,14 @@ def test_likeliest_takes_the_matching_distribution():
     assert likeliest(x, centers).tolist() == [1, 0]
 
 
+def test_classes_follow_the_classes_beside_them(spark):
+    rng = random.Random(6)
+    sides = [[f"{x}{i}" for i in range(300)] for x in "abc"]
+    rows = [(i, " ".join(rng.choice(sides[j % 3]) for j in range(300))) for i in range(60)]
+    got = log_probabilities(frame(spark, rows), F.expr("doc_id >= 50"), classes=3, sweeps=6).where("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert got > math.log10(1 / 500)  # 1/300 if all words are told apart, 1/900 if none is
+
+
 # ------------------------------------------------------------- 6 quality
 
 def test_quality_statistics_match_brute_force(spark):

@@ -1,20 +1,23 @@
 """Brown class-based n-grams: P(w | before) = P(class(w) | class(before)) *
 P(w | class(w)).
 
-1. Chunks of texts are written to the shared folder; each asks for its
-   distinct words once, with their counts in training texts and the counts of
-   what stands beside them there (``SIDE`` context kinds on either side: end
-   of text, the most frequent words, frequency bands of the others).
+1. Chunks of texts are written to the shared folder as their distinct words
+   and their tokens' numbers among those; each chunk asks for its words once,
+   with their counts in training texts.
 2. Words meet by their hash. That gives every word's count over the whole
-   corpus and its context counts: the vocabulary table, as large as the
-   corpus makes it, never collected.
+   corpus: the vocabulary table, as large as the corpus makes it, never
+   collected.
 3. Exchange clustering assigns words to ``CLASSES`` classes, in ``SWEEPS``
-   rounds: each word moves to the class under whose context distribution its
-   own contexts are likeliest, which raises the mutual information of classes
-   and contexts; then the distributions (classes x contexts, a fixed size)
-   are summed anew. Classes start from the most frequent words.
-4. Counts and classes go back to the chunks, which count class transitions
-   (a fixed size) in training texts and then score every text.
+   rounds over the class bigrams N(c, d) of the training texts. Each round
+   the chunks learn their words' classes and count N (a fixed size) and, for
+   each word, the classes before and after it; those counts meet the
+   vocabulary, and half of the words (by a bit of their hash, in turn) move
+   to the class under whose bigrams their neighbours' classes are likeliest.
+   The words of a round move at once, by the counts before it, so that a round
+   can lose; of all rounds the classes with the largest sum N(c, d) log N(c, d)
+   - 2 sum N(c) log N(c) are kept. At first the most frequent words are a class
+   each and all others are the last one.
+4. Counts and classes go back to the chunks, which score every text.
 
 Smoothing: transitions are backed by the class unigram (weight ``BACKING``);
 words lose an absolute discount d = n1 / (n1 + 2 n2), which is what an unseen
@@ -43,16 +46,13 @@ from wardstats.llm.hashing import Texts, slices, words
 from wardstats.llm.scratch import stored
 
 CLASSES, SWEEPS, BACKING = 64, 6, 64.0
-#: Context kinds on one side: the end, frequent words, bands.
-SIDE, FREQUENT = 16, 12
-#: Counters of the sketch that tells frequent words from others.
-SLOTS = 1 << 16
 #: Text bytes of a chunk; bytes of records that one task gathers at a time.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Words that are compared with the classes at one time.
+BLOCK = 1024
 
 _U = np.uint64
 _END = _U(1)
-_WIDTH = 2 * SIDE
 
 
 def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -62,25 +62,12 @@ def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], _END), first + np.arange(len(first))
 
 
-def context_kinds(docs: DataFrame) -> np.ndarray:
-    """The context kind of each sketch slot, from the training texts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in slices(batches, "text"):
-            h, *_ = words(Texts(batch.column(0)))
-            total += np.bincount((h & _U(SLOTS - 1)).view(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
 
-    got = docs.where("NOT held").select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(SLOTS, np.int64)
-    n[got["slot"].to_numpy()] = got["n"].to_numpy()
-    order = np.lexsort((np.arange(SLOTS), -n))
-    kind = np.full(SLOTS, SIDE - 1, np.uint8)
-    kind[order[:2048]] = SIDE - 2
-    kind[order[:256]] = SIDE - 3
-    kind[order[:FREQUENT]] = np.arange(1, FREQUENT + 1)
-    return kind
+def _opened(x: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd") if n else b"", kind)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -91,102 +78,76 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = Texts(batch.column(1))
             held = np.asarray(batch.column(2).fill_null(False)).astype(np.uint8)
+            h, begin = token_hashes(texts)
+            known, word = np.unique(h, return_inverse=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
-                pa.array([held.tobytes()]), pa.array([texts.offsets.tobytes()]), pa.array([len(texts.data)], pa.int64()),
-                pa.array([codec.compress(texts.data.tobytes(), asbytes=True)])], names=["chunk", "ids", "held", "offsets", "bytes", "data"])
+                pa.array([held.tobytes()]), pa.array([begin.astype(np.int64).tobytes()]), pa.array([len(texts.data)], pa.int64()),
+                pa.array([codec.compress(word.astype(np.uint32).tobytes(), asbytes=True)]), pa.array([known.tobytes()])], names=["chunk", "ids", "held", "begin", "bytes", "word", "hashes"])
 
-    return stored(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, held binary, offsets binary, bytes bigint, data binary"), "texts")
+    return stored(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, held binary, begin binary, bytes bigint, word binary, hashes binary"), "texts")
 
 
 class Chunk:
     """Tokens of one chunk: ``word`` (index among the distinct words, which
-    are in the order of the buckets that they are asked of), ``begin`` (first
-    token of each text), ``train`` (of each token)."""
-
-    def __init__(self, held: bytes, offsets: bytes, size: int, data: bytes, buckets: int):
-        texts = Texts.__new__(Texts)
-        texts.data = np.frombuffer(pa.decompress(data, size, "zstd") if size else b"", np.uint8)
-        texts.offsets = np.frombuffer(offsets, np.int64)
-        h, self.begin = token_hashes(texts)
+    are in the order of their hashes and so of their buckets), ``begin``
+    (first token of each text), ``train`` (of each token)."""
+
+    def __init__(self, held: bytes, begin: bytes, word: bytes):
+        self.begin = np.frombuffer(begin, np.int64)
+        self.word = _opened(word, int(self.begin[-1]), np.uint32).astype(np.int64)
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.train = np.repeat(~self.held, np.diff(self.begin))
-        kinds, word = np.unique(h, return_inverse=True)
-        bucket = (kinds >> _U(32)) % _U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.hashes, self.bucket, self.word = kinds[order], bucket[order].astype(np.int64), place[word]
-        self.cut = np.flatnonzero(np.diff(self.bucket)) + 1
 
 
-def _vocabulary(chunks: DataFrame, kinds: np.ndarray, buckets: int) -> DataFrame:
-    """A row per bucket: its words, their counts and context counts, and
+def _vocabulary(chunks: DataFrame, classes: int, buckets: int) -> DataFrame:
+    """A row per bucket: its words' counts, the most frequent of them, and
     which words which chunk asked for."""
-    shared = chunks.sparkSession.sparkContext.broadcast(kinds)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_of = shared.value
         for batch in batches:
-            for chunk, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                c = Chunk(*packed, buckets)
-                n = len(c.hashes)
-                if not n:
+            for chunk, held, begin, word, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                c, known = Chunk(held, begin, word), np.frombuffer(hashes, _U)
+                if not len(known):
                     continue
-                own = np.where(c.hashes == _END, 0, kind_of[(c.hashes & _U(SLOTS - 1)).view(np.int64)])[c.word]
-                before = np.empty_like(own)
-                before[1:], before[0] = own[:-1], 0  # the token before a text's first is an end too
-                after = np.append(own[1:], 0)
-                count = np.bincount(c.word[c.train], minlength=n)
-                dense = np.bincount(np.concatenate([c.word[c.train] * _WIDTH + before[c.train], c.word[c.train] * _WIDTH + SIDE + after[c.train]]), minlength=n * _WIDTH)
-                at = np.flatnonzero(dense)
-                entries = np.searchsorted(at, np.append(0, np.arange(1, n + 1) * _WIDTH))
-                heads = np.concatenate([[0], c.cut])
-                tails = np.append(c.cut, n)
-                small = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-                rows = [(c.hashes[a:b].tobytes(), small(count[a:b].astype(np.uint32)), small(np.diff(entries[a:b + 1]).astype(np.uint8)), int(entries[b] - entries[a]),
-                         small((at[entries[a]:entries[b]] % _WIDTH).astype(np.uint8)), small(dense[at[entries[a]:entries[b]]].astype(np.uint32))) for a, b in zip(heads, tails)]
-                cols = list(zip(*rows))
+                count = np.bincount(c.word[c.train], minlength=len(known)).astype(np.uint32)
+                bucket = ((known >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(bucket)) + 1
+                heads, tails = np.append(0, cut), np.append(cut, len(known))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(c.bucket[heads]), pa.array(np.full(len(heads), chunk)), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()),
-                    pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
-                    names=["bucket", "chunk", "word", "n", "entries", "total", "kind", "times"])
+                    pa.array(bucket[heads]), pa.array(np.full(len(heads), chunk)), pa.array([known[a:b].tobytes() for a, b in zip(heads, tails)], pa.binary()),
+                    pa.array([_small(count[a:b]) for a, b in zip(heads, tails)], pa.binary())], names=["bucket", "chunk", "word", "n"])
 
     def meet(asked: pa.Table) -> pa.Table:
         size = [len(x) // 8 for x in asked["word"].to_pylist()]
-        total = asked["total"].to_pylist()
-        word = np.frombuffer(b"".join(asked["word"].to_pylist()), _U)
-
-        def opened(column: str, lengths: list[int], t) -> np.ndarray:
-            return np.concatenate([np.frombuffer(pa.decompress(x, k * np.dtype(t).itemsize, "zstd") if k else b"", t) for x, k in zip(asked[column].to_pylist(), lengths)])
-
-        n, entries = opened("n", size, np.uint32), opened("entries", size, np.uint8)
-        kinds_, place = np.unique(word, return_inverse=True)
-        count = np.bincount(place, n, len(kinds_)).astype(np.int64)
-        key = np.repeat(place, entries) * _WIDTH + opened("kind", total, np.uint8)
-        at, inverse = np.unique(key, return_inverse=True)
-        times = np.bincount(inverse, opened("times", total, np.uint32), len(at)).astype(np.int64)
-        asked_for = pa.compress(place.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+        known, place = np.unique(np.frombuffer(b"".join(asked["word"].to_pylist()), _U), return_inverse=True)
+        n = np.concatenate([_opened(x, k, np.uint32) for x, k in zip(asked["n"].to_pylist(), size)])
+        count = np.bincount(place, n, len(known)).astype(np.int64)
+        best = np.lexsort((known, -count))[:classes + 1]
+        best = best[(count[best] > 0) & (known[best] != _END)]
         return pa.table({
-            "bucket": [asked["bucket"][0].as_py()], "words": [len(kinds_)], "end": [int(np.searchsorted(kinds_, _END)) if _END in kinds_ else -1], "n": [count.tobytes()],
-            "contexts": [at.astype(np.int64).tobytes()], "times": [times.tobytes()],
-            "chunks": [asked["chunk"].to_numpy().tobytes()], "sizes": [np.array(size, np.int64).tobytes()], "asked": [asked_for]})
+            "bucket": [asked["bucket"][0].as_py()], "words": [len(known)], "end": [int(np.searchsorted(known, _END)) if _END in known else -1], "n": [count.tobytes()], "half": [(known >> _U(1) & _U(1)).astype(bool).tobytes()],
+            "top": pa.array([[{"n": int(count[i]), "word": int(known[i].view(np.int64)), "at": int(i)} for i in best]], pa.list_(pa.struct([("n", pa.int64()), ("word", pa.int64()), ("at", pa.int64())]))),
+            "chunks": [asked["chunk"].to_numpy().tobytes()], "sizes": [np.array(size, np.int64).tobytes()], "asked": [_small(place.astype(np.uint32))]})
+
+    asked = chunks.select("chunk", "held", "begin", "word", "hashes").mapInArrow(ask, "bucket bigint, chunk bigint, word binary, n binary")
+    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, end bigint, n binary, half binary, top array<struct<n:bigint,word:bigint,at:bigint>>, chunks binary, sizes binary, asked binary"), "vocabulary")
+
 
-    asked = chunks.select("chunk", "held", "offsets", "bytes", "data").mapInArrow(ask, "bucket bigint, chunk bigint, word binary, n binary, entries binary, total bigint, kind binary, times binary")
-    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, end bigint, n binary, contexts binary, times binary, chunks binary, sizes binary, asked binary"), "vocabulary")
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
 
 
-def _dense(words_: int, contexts: bytes, times: bytes) -> np.ndarray:
-    out = np.zeros(words_ * _WIDTH)
-    out[np.frombuffer(contexts, np.int64)] = np.frombuffer(times, np.int64)
-    return out.reshape(words_, _WIDTH)
+def objective(table: np.ndarray) -> float:
+    """What the exchange raises, of class bigram counts (the end is the last
+    class)."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
 def likeliest(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The class of each context vector: the one under whose distribution it
     is likeliest (the first of equal ones)."""
-    smooth = centers + 0.5
-    halves = [np.log(h / h.sum(1, keepdims=True)) for h in (smooth[:, :SIDE], smooth[:, SIDE:])]
+    smooth, side = centers + 0.5, centers.shape[1] // 2
+    halves = [np.log(h / h.sum(1, keepdims=True)) for h in (smooth[:, :side], smooth[:, side:])]
     return (vectors @ np.concatenate(halves, 1).T).argmax(1)
 
 
@@ -198,32 +159,131 @@ def _summed(frame: DataFrame, emit, cells: int) -> np.ndarray:
     return out
 
 
-def exchange(vocabulary: DataFrame, classes: int, sweeps: int) -> np.ndarray:
-    """The context sums of the final classes (classes x contexts)."""
-    rows = vocabulary.select("words", "n", "contexts", "times")
+def _answers(vocabulary: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Counts and classes of the words that each chunk has asked for."""
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, n, asking, sizes, asked, cls in zip(*(c.to_pylist() for c in batch.columns)):
+                n, cls, sizes = np.frombuffer(n, np.int64), np.frombuffer(cls, np.uint8), np.frombuffer(sizes, np.int64)
+                parts = np.split(_opened(asked, int(sizes.sum()), np.uint32), np.cumsum(sizes)[:-1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(parts), bucket)), pa.array(np.frombuffer(asking, np.int64)), pa.array(sizes),
+                    pa.array([_small(n[p]) for p in parts], pa.binary()), pa.array([_small(cls[p]) for p in parts], pa.binary())], names=["bucket", "chunk", "size", "n", "cls"])
+
+    both = vocabulary.join(assigned, "bucket").select("bucket", "n", "chunks", "sizes", "asked", "cls")
+    return both.mapInArrow(tell, "bucket bigint, chunk bigint, size bigint, n binary, cls binary")
+
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _told(got: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, their numbers of words, and a column of all answers, in the
+    order of a chunk's words."""
+    order = np.argsort(got["bucket"].to_numpy())
+    bucket, size, rows = got["bucket"].to_numpy()[order], got["size"].to_numpy()[order], got[column].to_pylist()
+    return bucket, size, np.concatenate([_opened(rows[i], int(k), kind) for i, k in zip(order, size)])
+
+
+def _contexts(chunks: DataFrame, answers: DataFrame, classes: int, whole: bool) -> DataFrame:
+    """A row per chunk and bucket: context counts of its words (if ``whole``);
+    and one per chunk with its class bigrams, in bucket -1."""
+    k = classes + 1
+    width = 2 * k
+
+    def count(mine: pa.Table, got: pa.Table) -> pa.Table:
+        rows = []
+        if mine.num_rows and got.num_rows:
+            c = Chunk(*(mine[x][0].as_py() for x in ("held", "begin", "word")))
+            bucket, size, cls = _told(got, "cls", np.uint8)
+            of = cls.astype(np.int64)[c.word]
+            before = np.append(classes, of[:-1])  # what stands before a text is an end
+            moves = np.bincount((before * k + of)[c.train], minlength=k * k)
+            rows.append((-1, 0, b"", k * k, b"", _small(moves)))
+            if whole:
+                plain = np.flatnonzero(c.train & (of < classes))  # a word has a token after it
+                key = np.concatenate([c.word[plain] * width + before[plain], c.word[plain] * width + k + of[plain + 1]])
+                at, times = np.unique(key, return_counts=True)
+                bounds = np.searchsorted(at, np.arange(len(cls) + 1) * width)
+                stop = np.cumsum(size)
+                for b, x, y in zip(bucket, stop - size, stop):
+                    e = slice(bounds[x], bounds[y])
+                    rows.append((int(b), int(y - x), _small(np.diff(bounds[x:y + 1]).astype(np.uint16)), int(e.stop - e.start), _small((at[e] % width).astype(np.uint16)), _small(times[e].astype(np.uint32))))
+            rows = [(r[0], mine["chunk"][0].as_py(), *r[1:]) for r in rows]
+        columns = list(zip(*rows)) if rows else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["bucket", "chunk", "size", "entries", "total", "kind", "times"])
+
+    side = chunks.select("chunk", "held", "begin", "word").groupBy("chunk").cogroup(answers.select("bucket", "chunk", "size", "cls").groupBy("chunk"))
+    return stored(side.applyInArrow(count, "bucket bigint, chunk bigint, size bigint, entries binary, total bigint, kind binary, times binary"), "contexts")
+
+
+def exchange(chunks: DataFrame, vocabulary: DataFrame, classes: int, sweeps: int) -> tuple[DataFrame, np.ndarray]:
+    """The words' classes (bucket, cls) and the class bigrams; the end is
+    class ``classes``."""
+    k = classes + 1
+    width = 2 * k
+    top = vocabulary.select("bucket", F.inline("top")).orderBy(F.desc("n"), "word").limit(classes - 1).collect()
+    seeds: dict[int, list[tuple[int, int]]] = {}
+    for c, r in enumerate(top):
+        seeds.setdefault(r["bucket"], []).append((r["at"], c))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, words_, end in zip(*(c.to_pylist() for c in batch.columns)):
+                cls = np.full(words_, classes - 1, np.uint8)
+                for at, c in seeds.get(bucket, ()):
+                    cls[at] = c
+                if end >= 0:
+                    cls[end] = classes
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([cls.tobytes()], pa.binary())], names=["bucket", "cls"])
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
         for batch in batches:
-            for words_, n, contexts, times in zip(*(c.to_pylist() for c in batch.columns)):
-                n, vectors = np.frombuffer(n, np.int64), _dense(words_, contexts, times)
-                best = np.lexsort((np.arange(len(n)), -n))[:classes]
-                yield pa.RecordBatch.from_arrays([pa.array(n[best]), pa.array([v.tobytes() for v in vectors[best]], pa.binary())], names=["n", "vector"])
-
-    seeds = rows.mapInArrow(top, "n bigint, vector binary").orderBy(F.desc("n"), "vector").limit(classes).collect()
-    centers = np.stack([np.frombuffer(r["vector"]) for r in seeds]) if seeds else np.zeros((0, _WIDTH))
-    centers = np.concatenate([centers, np.zeros((classes - len(centers), _WIDTH))])
-    for _ in range(sweeps):
-        def move(batches: Iterator[pa.RecordBatch], centers=centers) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((classes, _WIDTH))
-            for batch in batches:
-                for words_, _, contexts, times in zip(*(c.to_pylist() for c in batch.columns)):
-                    vectors = _dense(words_, contexts, times)
-                    np.add.at(total, likeliest(vectors, centers), vectors)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["cell", "n"])
-
-        centers = _summed(rows, move, classes * _WIDTH).reshape(classes, _WIDTH)
-    return centers
+            for times in batch.column(0).to_pylist():
+                total += _opened(times, k * k, np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    assigned = stored(vocabulary.select("bucket", "words", "end").mapInArrow(start, "bucket bigint, cls binary"), "classes")
+    best = None
+    for sweep in range(sweeps + 1):
+        contexts = _contexts(chunks, _answers(vocabulary, assigned), classes, sweep < sweeps)
+        table = _summed(contexts.where("bucket = -1").select("times"), bigrams, k * k).reshape(k, k)
+        value = objective(table)
+        if best is None or value > best[0]:
+            best = value, assigned, table
+        if sweep == sweeps:
+            break
+        centers = np.concatenate([table[:, :classes].T, table[:classes]], 1)  # of each class: those before it, those after it
+
+        def move(told: pa.Table, mine: pa.Table) -> pa.Table:
+            if not mine.num_rows:
+                return pa.table({"bucket": pa.array([], pa.int64()), "cls": pa.array([], pa.binary())})
+            half, cls, sizes = (np.frombuffer(mine[x][0].as_py(), t) for x, t in (("half", bool), ("cls", np.uint8), ("sizes", np.int64)))
+            cls = cls.copy()
+            parts = np.split(_opened(mine["asked"][0].as_py(), int(sizes.sum()), np.uint32), np.cumsum(sizes)[:-1])
+            place = dict(zip(np.frombuffer(mine["chunks"][0].as_py(), np.int64).tolist(), parts))
+            keys, counts = [], []
+            for chunk, size, entries, total, kind, times in zip(*(told[x].to_pylist() for x in ("chunk", "size", "entries", "total", "kind", "times"))):
+                keys.append(np.repeat(place[chunk].astype(np.int64), _opened(entries, size, np.uint16)) * width + _opened(kind, total, np.uint16))
+                counts.append(_opened(times, total, np.uint32))
+            if keys:
+                at, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                times = np.bincount(inverse, np.concatenate(counts), len(at))
+                word = at // width
+                known = np.unique(word[half[word] == sweep % 2])
+                for a in range(0, len(known), BLOCK):
+                    w = known[a:a + BLOCK]
+                    e = np.arange(*np.searchsorted(word, (w[0], w[-1] + 1)))
+                    row = np.searchsorted(w, word[e])
+                    e, row = e[w[row] == word[e]], row[w[row] == word[e]]
+                    vectors = np.zeros((len(w), width))
+                    vectors[row, at[e] % width] = times[e]
+                    cls[w] = likeliest(vectors, centers)
+            return pa.table({"bucket": mine["bucket"], "cls": pa.array([cls.tobytes()], pa.binary())})
+
+        words_ = vocabulary.join(assigned, "bucket").select("bucket", "half", "chunks", "sizes", "asked", "cls")
+        assigned = stored(contexts.where("bucket >= 0").groupBy("bucket").cogroup(words_.groupBy("bucket")).applyInArrow(move, "bucket bigint, cls binary"), "classes")
+    return best[1], best[2]
 
 
 def log_probabilities(docs: DataFrame, held, classes: int = CLASSES, sweeps: int = SWEEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,65 +296,23 @@ def log_probabilities(docs: DataFrame, held, classes: int = CLASSES, sweeps: int
     chunks = _chunks(docs)
     volume = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
-    vocabulary = _vocabulary(chunks, context_kinds(docs), buckets)
-    centers = exchange(vocabulary, classes, sweeps)
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, words_, _, n, contexts, times, asking, sizes, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.frombuffer(n, np.int64)
-                cls = likeliest(_dense(words_, contexts, times), centers).astype(np.uint8)
-                sizes = np.frombuffer(sizes, np.int64)
-                place = np.frombuffer(pa.decompress(asked, int(sizes.sum()) * 4, "zstd"), np.uint32)
-                parts = np.split(place, np.cumsum(sizes)[:-1])
-                small = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(parts), bucket)), pa.array(np.frombuffer(asking, np.int64)), pa.array(sizes),
-                    pa.array([small(n[p]) for p in parts], pa.binary()), pa.array([small(cls[p]) for p in parts], pa.binary())], names=["bucket", "chunk", "size", "n", "cls"])
+    vocabulary = _vocabulary(chunks, classes, buckets)
+    assigned, moves = exchange(chunks, vocabulary, classes, sweeps)
 
     # tokens, words, words that occur once and twice, and words by class
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4 + classes)
         for batch in batches:
-            for words_, end, n, contexts, times in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.frombuffer(n, np.int64)
-                cls = likeliest(_dense(words_, contexts, times), centers)
+            for end, n, cls in zip(*(c.to_pylist() for c in batch.columns)):
+                n, cls = np.frombuffer(n, np.int64), np.frombuffer(cls, np.uint8)
                 total[:4] += (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())
                 plain = np.arange(len(n)) != end
                 total[4:] += np.bincount(cls[plain], n[plain] > 0, classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "n"])
 
-    total = _summed(vocabulary.select("words", "end", "n", "contexts", "times"), census, 4 + classes)
+    total = _summed(vocabulary.join(assigned, "bucket").select("end", "n", "cls"), census, 4 + classes)
     tokens, kinds, once, twice = total[:4]
-    answers = stored(vocabulary.mapInArrow(tell, "bucket bigint, chunk bigint, size bigint, n binary, cls binary"), "answers")
-    side = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-
-    def told(mine: pa.Table, got: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray]:
-        c = Chunk(*(mine[x][0].as_py() for x in ("held", "offsets", "bytes", "data")), buckets)
-        order = np.argsort(got["bucket"].to_numpy())
-        size = got["size"].to_pylist()
-        opened = lambda column, t: np.concatenate([np.frombuffer(pa.decompress(got[column][int(i)].as_py(), size[i] * np.dtype(t).itemsize, "zstd"), t) for i in order])
-        n, cls = opened("n", np.int64), opened("cls", np.uint8).astype(np.int64)
-        cls[n == 0] = classes + 1  # an unseen word
-        cls[c.hashes == _END] = classes
-        return c, n, cls
-
-    states = classes + 2
-
-    def transitions(mine: pa.Table, got: pa.Table) -> pa.Table:
-        count = np.zeros(0, np.int64)
-        if mine.num_rows and got.num_rows:
-            c, _, cls = told(mine, got)
-            of = cls[c.word]
-            before = np.concatenate([[classes], of[:-1]])  # what stands before a text is an end
-            count = np.bincount((before * states + of)[c.train], minlength=states * states)
-        at = np.flatnonzero(count)
-        return pa.table({"cell": pa.array(at.astype(np.int32)), "n": pa.array(count[at].astype(float))})
-
-    got = side.applyInArrow(transitions, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    moves = np.zeros(states * states)
-    moves[got["cell"].to_numpy()] = got["n"].to_numpy()
-    moves = moves.reshape(states, states)[:, :classes + 1]
+    moves = np.concatenate([moves, np.zeros((1, classes + 1))])  # after an unseen word
     ends = moves[:, classes].sum()
     by_class = moves.sum(0)
     size = np.append(by_class[:classes], ends)
@@ -319,7 +337,9 @@ def log_probabilities(docs: DataFrame, held, classes: int = CLASSES, sweeps: int
         if not mine.num_rows:
             return result.empty_table()
         move, unknown, class_size, d = model.value
-        c, n, cls = told(mine, got)
+        c = Chunk(*(mine[x][0].as_py() for x in ("held", "begin", "word")))
+        n, cls = _told(got, "n", np.int64)[2], _told(got, "cls", np.uint8)[2].astype(np.int64)
+        cls[(n == 0) & (cls < classes)] = classes + 1  # an unseen word
         base = np.log10((n + 1) / (tokens + kinds + 1))[c.word]
         of = cls[c.word]
         before = np.concatenate([[classes], of[:-1]])
@@ -330,4 +350,5 @@ def log_probabilities(docs: DataFrame, held, classes: int = CLASSES, sweeps: int
         columns = (c.held, np.diff(c.begin), add((n > 0)[c.word].astype(np.int64)), np.full(len(c.held), int(tokens)), add(base), add(best))
         return pa.Table.from_arrays([mine["ids"].combine_chunks().flatten(), *map(pa.array, columns)], schema=result)
 
+    side = chunks.select("chunk", "ids", "held", "begin", "word").groupBy("chunk").cogroup(_answers(vocabulary, assigned).groupBy("chunk"))
     return side.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
