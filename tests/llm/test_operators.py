@@ -311,6 +311,16 @@ def test_html_main_text(spark):
     assert html.main_text(df.limit(0), html.Model({})).count() == 0
 
 
+@pytest.mark.parametrize("opening", ['<div id="content" class="post no-sidebar">', '<article class="post has-comments">'])
+def test_html_believes_no_single_boilerplate_name(opening):
+    parts = [prose(random.Random(i), 40) for i in range(4)]
+    page = f"<body><div class=nav><a href=/>Home</a></div>{opening}" + "".join(f"<p>{p}</p>" for p in parts) + opening.replace("<", "</").split()[0] + "></body>"
+    assert html.Model({}).text(page) == "\n".join(parts)
+    assert -8 < html.Model({("named:boiler", 0, 0): 10**6, ("label", 0, 0): 10**6}).unary["named:boiler"] < 0
+    learned = {("named:boiler", 1, 0): 10**6, ("label", 1, 0): 10**6}
+    assert html.Model(learned).unary["named:boiler"] > html.Model({}).unary["named:boiler"]
+
+
 def test_marginals_are_exact():
     nodes, _ = html.parse("<div><p>some words here</p><ul><li><a>x y</a></li></ul></div><div class=ad>buy</div>")
     model = html.Model({})

@@ -8,9 +8,9 @@ marginal of each node; text blocks of nodes with a marginal of ``LEVEL`` or
 more are the main text, in page order.
 
 Names such as "comments" or "footer" are strong evidence, the other features
-weak one (their potentials are bounded), since many paragraphs together must
-not outvote the name of the element that holds them; a name is not believed
-where the element holds most of the page and its marked content.
+weak one (the potentials of both are learned and bounded). An element that
+bears names of both kinds is judged by its other features; a name is not
+believed where the element holds most of the page and its marked content.
 
 Potentials are counted on labelled pages: pages that mark their main text
 themselves with one <article> or <main> (a sample of ``MAX_LABELLED`` such
@@ -72,7 +72,8 @@ class Node:
 
 
 def _named(tag: str, attributes: str, inside_content: bool) -> str:
-    """"boiler", "content" or "" by the names an element bears."""
+    """"boiler", "content" or "" by the names an element bears; "" too if it
+    bears both kinds."""
     names = [tag]
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         low = name.lower()
@@ -82,9 +83,8 @@ def _named(tag: str, attributes: str, inside_content: bool) -> str:
             return "boiler"
     if tag == "header" and inside_content:
         names = names[1:]
-    if any(n in _BOILER for n in names):
-        return "boiler"
-    return "content" if any(n in _CONTENT for n in names) else ""
+    boiler, content = any(n in _BOILER for n in names), any(n in _CONTENT for n in names)
+    return "" if boiler == content else "boiler" if boiler else "content"
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -209,10 +209,10 @@ PRIOR = {"named:boiler": (60.0, 0.5), "named:content": (1.0, 20.0), "links:0": (
 #: (parent, child) counts to start from, by the parent's place and by label.
 PRIOR_PAIRS = {
     "root": ((30.0, 1.0), (15.0, 15.0)), "other": ((30.0, 1.0), (2.0, 30.0)),
-    "content": ((30.0, 1.0), (2.0, 60.0)), "boiler": ((300.0, 0.1), (15.0, 15.0)),
+    "content": ((30.0, 1.0), (2.0, 60.0)), "boiler": ((300.0, 0.1), (15.0, 0.02)),
 }
 #: Bounds of the potentials of a name and of any other feature.
-NAME_BOUND, BOUND = 100.0, 1.2
+NAME_BOUND, BOUND = {"named:boiler": 7.2, "named:content": 3.6}, 1.2
 
 
 def _label_counts(html: str, hide_names: bool) -> Counter:
@@ -257,7 +257,8 @@ class Model:
         for f in names:
             prior = PRIOR.get(f, (1.0, 1.0))
             ratio = math.log((prior[1] + counts.get((f, 1, 0), 0)) / total[1]) - math.log((prior[0] + counts.get((f, 0, 0), 0)) / total[0])
-            self.unary[f] = -NAME_BOUND if f == "named:boiler" else min(max(ratio, -BOUND), BOUND * (3 if f.startswith("named:") else 1))
+            bound = NAME_BOUND.get(f, BOUND)
+            self.unary[f] = min(max(ratio, -bound), bound)
         self.pair = {}
         for where, prior in PRIOR_PAIRS.items():
             rows = [[prior[a][b] + counts.get((f"pair:{where}", a, b), 0) for b in (0, 1)] for a in (0, 1)]
