@@ -321,6 +321,21 @@ def test_html_believes_no_single_boilerplate_name(opening):
     assert html.Model(learned).unary["named:boiler"] > html.Model({}).unary["named:boiler"]
 
 
+def test_html_drops_only_what_it_lists():
+    words = [prose(random.Random(i), 40) for i in range(4)]
+    blocks = lambda h: [t for _, t in html.parse(h)[1]]
+    assert blocks("<p>a <script>x</script><math><mi>b</mi></math> <svg><path d=x></svg><object>c</object> <button>d</button> <label>e</label></p>") == ["a b c d e"]
+    for tag in ("svg", "math", "object", "audio", "video", "canvas", "template"):
+        assert " ".join(blocks(f"<p>one</p><{tag}><p>two</p><p>three</p>")) == "one two three"
+    for tag in ("script", "style", "textarea", "title"):
+        assert blocks(f"<p>one</p><{tag}><p>two</p>") == ["one"]
+    assert blocks("<dialog><p>one</p></dialog><p>two</p>") == ["one", "two"]
+    body = "".join(f"<p>{w}</p>" for w in words)
+    assert html.Model({}).text(f"<body><form action=x>{body}<input name=q></form></body>") == "\n".join(words)
+    assert html.Model({}).text(f"<body><form><main>{body}</main></form></body>") == "\n".join(words)
+    assert blocks(f"<body>{body}<form><p>Name</p><button>Go</button></form></body>") == words
+
+
 def test_marginals_are_exact():
     nodes, _ = html.parse("<div><p>some words here</p><ul><li><a>x y</a></li></ul></div><div class=ad>buy</div>")
     model = html.Model({})

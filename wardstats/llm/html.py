@@ -20,8 +20,10 @@ are hidden from the counts, so that the other features learn to decide alone.
 Counts start from a small stated prior, which decides where no page is
 labelled.
 
-Inline tags don't part blocks; <br> is white space. Scripts, styles, forms,
-comments and the head have no text. Character references are decoded, white
+Inline tags don't part blocks, nor do scripts, pictures, formulas, media with
+their fallback text and form controls; <br> is white space. Scripts, styles,
+text fields, comments and the head have no text, and a form has none unless it
+holds the marked content or most of the page's words. Character references are decoded, white
 space becomes one space, blocks are joined by a newline. Nothing is capped.
 
 Nulls, ties and edge cases: null or empty html, and pages without content,
@@ -47,10 +49,15 @@ MAX_LABELLED, LEVEL = 2_000, 0.5
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_RAW = frozenset("script style textarea title xmp noembed noframes iframe template svg math object canvas audio video".split())
-_NO_TEXT = frozenset("head form button select option input label fieldset noscript dialog".split())
+#: Elements without text; all but the head run to the end of the page if nothing ends them.
+_RAW, _NO_TEXT = frozenset("script style textarea title".split()), frozenset(["head"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img map".split())
+_INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img map
+ button label output meter progress object audio video canvas template noscript iframe picture svg g defs desc symbol use path rect circle ellipse line polyline polygon text tspan textpath
+ lineargradient radialgradient stop clippath mask pattern marker filter foreignobject animate math semantics annotation annotation-xml maction menclose merror mfenced mfrac mglyph mi
+ mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover""".split())
+#: Inline tags that part words.
+_SPACED = frozenset("br select option optgroup datalist".split())
 #: A start tag on the left ends an open element on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPE = frozenset("ul ol dl table body html article section div main aside nav".split())
@@ -127,7 +134,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m.group(2) is None:
             continue
         tag, closing = m.group(2).lower(), m.group(1)
-        if tag == "br":
+        if tag in _SPACED:
             text.append(" ")
         elif tag == "a":
             in_link = not closing
@@ -141,8 +148,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     pop()
                     if last:
                         break
-        elif tag in _RAW or tag in _NO_TEXT and tag not in _VOID:
-            flush()
+        elif tag == "input":
+            continue
+        elif tag in _RAW or tag in _NO_TEXT:
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html) if tag in _RAW else at
@@ -164,7 +172,24 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 content_depth += named == "content"
                 in_link = False
     flush()
-    return nodes, blocks
+    return nodes, _without_forms(nodes, blocks)
+
+
+def _without_forms(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks outside of forms; a form goes with its words unless it holds
+    the page's marked content or most of its words."""
+    if not any(n.tag == "form" for n in nodes):
+        return blocks
+    words, _ = _totals(nodes)
+    holds = [words[i] > 0 and (n.named == "content" or n.tag in ("article", "main")) for i, n in enumerate(nodes)]
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    gone = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        gone[i] = i > 0 and gone[n.parent] or n.tag == "form" and not holds[i] and 2 * words[i] < words[0]
+        if gone[i]:
+            n.words = n.linked = 0
+    return [(i, t) for i, t in blocks if not gone[i]]
 
 
 def _totals(nodes: list[Node]) -> tuple[list[int], list[int]]:
