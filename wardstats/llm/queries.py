@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstats.llm import html, sql
+from wardstats.llm import html, neighbours, sql
 from wardstats.llm.brown import log_probabilities
 from wardstats.llm.decontaminate import best_overlaps
 from wardstats.llm.jaccard import near_duplicates
@@ -17,13 +17,16 @@ from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.quality import judge_quality
 from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.scratch import table
+from wardstats.llm.search import rank_documents
+from wardstats.llm.spelling import variants
 from wardstats.llm.toxicity import fit, toxicity
 from wardstats.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: A row's class model, learned rules, tokens, ranks and learned weights have no
 #: SQL; tests/llm holds those queries against brute force.
-ORACLES: dict[str, str] = {"op1_licenses": sql.licenses(), "op3_jaccard": sql.JACCARD, "op10_repeats": sql.REPEATS}
+ORACLES: dict[str, str] = {"op1_licenses": sql.licenses(), "op3_jaccard": sql.JACCARD, "op10_repeats": sql.REPEATS,
+                           "op11_spelling": sql.SPELLING, "op13_search": sql.SEARCH}
 
 
 def _query(fn):
@@ -90,3 +93,21 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_probabilities(table(spark, sf_dir, "documents"), _held_out(7, 2))
+
+
+@_query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"), 5, 3, slip=97)
+
+
+@_query
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fitted = neighbours.fit(docs, labels.where(~_held_out(3, 1)))
+    return neighbours.judge(docs, fitted).select(
+        "doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)

@@ -47,6 +47,53 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(remove
 FROM d LEFT JOIN told ON told.doc_id = d.doc_id
 """
 
+SPELLING = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, translate(r, '{_UP}', '{_LOW}') AS r, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents) GROUP BY ALL),
+byte AS (
+  SELECT r, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b
+  FROM run),
+bits AS (SELECT r, n, list_transform(range(8 * len(b)), lambda i: CAST((b[i // 8 + 1] >> (i % 8)) & 1 AS BIGINT)) AS b FROM byte),
+crc AS (
+  SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda s, x: xor(s >> 1, 3988292384 * (xor(s, x) & 1)))) AS h FROM bits),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, sum(n) AS n
+  FROM crc GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+gone AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM place),
+pair AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM gone x JOIN gone y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word != y.word
+  UNION SELECT x.word, y.word, y.n FROM gone x JOIN w y ON y.word = x.a || x.z
+  UNION SELECT y.word, x.word, x.n FROM gone x JOIN w y ON y.word = x.a || x.z),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS b FROM pair GROUP BY word),
+told AS (
+  SELECT w.word, CASE WHEN -b[1] >= 2 * w.n THEN b[2] END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * w.n THEN -b[1] END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+chain AS (SELECT word, word AS at FROM told UNION ALL SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.at WHERE told.form IS NOT NULL)
+SELECT t.word, t.form, c.at AS root, CAST(t.n AS BIGINT) AS n, CAST(t.n_near AS BIGINT) AS n_near, CAST(t.form_n AS BIGINT) AS form_n
+FROM told t JOIN chain c ON c.word = t.word JOIN told e ON e.word = c.at AND e.form IS NULL
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+hit AS (
+  SELECT k, doc_id, n, t, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+term AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM hit, s GROUP BY t),
+worth AS (
+  SELECT k, doc_id, hit.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS v
+  FROM hit JOIN term ON term.t = hit.t, s),
+total AS (SELECT item_id, k, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM worth JOIN q ON q.t = worth.t GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM total WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 
 def licenses() -> str:
     quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
