@@ -4,6 +4,7 @@ import random
 
 
 import corpus_pipeline
+from wardstats.llm.decontaminate import without_contaminated
 from tests.llm.test_operators import cuts, prose, sets_of
 
 
@@ -35,7 +36,7 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert frames["quality"] == sorted(good, key=str)
     kept = []
     for (i, s), (_, t) in sorted(zip(sets_of(good), good), key=lambda x: (x[0][0] is None, x[0][0])):
-        if not any(100 * len(s & o) >= 80 * len(s | o) for _, o, _ in kept) or i is None:
+        if not any(100 * len(s & o) >= 80 * len(s | o) for _, o, _ in kept):
             kept.append((i, s, t))
     assert frames["near_duplicates"] == sorted([(i, t) for i, _, t in kept], key=str)
     left = [(i, n - gone) for i, n, gone, _, _ in cuts([(i, t) for i, _, t in kept])]
@@ -46,6 +47,27 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert {r.doc_id for r in frames["packing"]} == {i for i, _ in frames["decontamination"]}
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = b + " tail"
+    columns = "doc_id long, text string, n_chars long"
+    stay = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, spark.createDataFrame([(*x, 1) for x in rows], columns), "").collect()), key=str)
+    assert stay([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
+    assert stay([(5, b), (5, near)]) in ([(5, b)], [(5, near)])
+    assert stay([(None, a), (None, a), (4, a), (None, c)]) == [(4, a), (None, c)]
+    assert stay([(-2, a), (1, a), (7, ""), (8, None), (7, "")]) == sorted([(-2, a), (7, ""), (8, None)], key=str)
+
+
+def test_rows_are_contaminated_by_their_own_text(spark):
+    rng = random.Random(8)
+    item, clean = prose(rng, 40), prose(rng, 60)
+    docs = spark.createDataFrame([(1, clean), (1, item), (None, item), (None, clean)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = without_contaminated(docs, bench).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "None"] and {r.text for r in got} == {clean}
+
+
 def test_empty_documents(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstats.llm.hashing import Texts, slices, words
-from wardstats.llm.scratch import stored
+from wardstats.llm.scratch import scope, stored
 
 CLASSES, SWEEPS, BACKING = 64, 6, 64.0
 #: Text bytes of a chunk; bytes of records that one task gathers at a time.
@@ -62,6 +63,11 @@ def token_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], _END), first + np.arange(len(first))
 
 
+def _half(h: np.ndarray) -> np.ndarray:
+    """Which of two halves of all words, that move in turn, each belongs to."""
+    return (h >> _U(1) & _U(1)).astype(bool)
+
+
 def _small(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -83,9 +89,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([int.from_bytes(os.urandom(8), "little") >> 1]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                 pa.array([held.tobytes()]), pa.array([begin.astype(np.int64).tobytes()]), pa.array([len(texts.data)], pa.int64()),
-                pa.array([codec.compress(word.astype(np.uint32).tobytes(), asbytes=True)]), pa.array([known.tobytes()])], names=["chunk", "ids", "held", "begin", "bytes", "word", "hashes"])
+                pa.array([codec.compress(word.astype(np.uint32).tobytes(), asbytes=True)]), pa.array([known.tobytes()]),
+                pa.array([np.packbits(_half(known)).tobytes()])], names=["chunk", "ids", "held", "begin", "bytes", "word", "hashes", "half"])
 
-    return stored(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, held binary, begin binary, bytes bigint, word binary, hashes binary"), "texts")
+    return stored(docs.mapInArrow(pack, f"chunk bigint, ids array<{kind}>, held binary, begin binary, bytes bigint, word binary, hashes binary, half binary"), "texts")
 
 
 class Chunk:
@@ -125,12 +132,12 @@ def _vocabulary(chunks: DataFrame, classes: int, buckets: int) -> DataFrame:
         best = np.lexsort((known, -count))[:classes + 1]
         best = best[(count[best] > 0) & (known[best] != _END)]
         return pa.table({
-            "bucket": [asked["bucket"][0].as_py()], "words": [len(known)], "end": [int(np.searchsorted(known, _END)) if _END in known else -1], "n": [count.tobytes()], "half": [(known >> _U(1) & _U(1)).astype(bool).tobytes()],
+            "bucket": [asked["bucket"][0].as_py()], "words": [len(known)], "end": [int(np.searchsorted(known, _END)) if _END in known else -1], "n": [count.tobytes()],
             "top": pa.array([[{"n": int(count[i]), "word": int(known[i].view(np.int64)), "at": int(i)} for i in best]], pa.list_(pa.struct([("n", pa.int64()), ("word", pa.int64()), ("at", pa.int64())]))),
             "chunks": [asked["chunk"].to_numpy().tobytes()], "sizes": [np.array(size, np.int64).tobytes()], "asked": [_small(place.astype(np.uint32))]})
 
     asked = chunks.select("chunk", "held", "begin", "word", "hashes").mapInArrow(ask, "bucket bigint, chunk bigint, word binary, n binary")
-    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, end bigint, n binary, half binary, top array<struct<n:bigint,word:bigint,at:bigint>>, chunks binary, sizes binary, asked binary"), "vocabulary")
+    return stored(asked.groupBy("bucket").applyInArrow(meet, "bucket bigint, words bigint, end bigint, n binary, top array<struct<n:bigint,word:bigint,at:bigint>>, chunks binary, sizes binary, asked binary"), "vocabulary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -159,19 +166,23 @@ def _summed(frame: DataFrame, emit, cells: int) -> np.ndarray:
     return out
 
 
-def _answers(vocabulary: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Counts and classes of the words that each chunk has asked for."""
+def _answers(vocabulary: DataFrame, assigned: DataFrame, counts: bool = False) -> DataFrame:
+    """Classes, and counts if asked for, of the words that each chunk has
+    asked for."""
+    columns = ["bucket", "chunks", "sizes", "asked", "cls", *["n"] * counts]
+
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, n, asking, sizes, asked, cls in zip(*(c.to_pylist() for c in batch.columns)):
-                n, cls, sizes = np.frombuffer(n, np.int64), np.frombuffer(cls, np.uint8), np.frombuffer(sizes, np.int64)
+            for bucket, asking, sizes, asked, *facts in zip(*(c.to_pylist() for c in batch.columns)):
+                sizes = np.frombuffer(sizes, np.int64)
                 parts = np.split(_opened(asked, int(sizes.sum()), np.uint32), np.cumsum(sizes)[:-1])
+                facts = [np.frombuffer(x, kind) for x, kind in zip(facts, (np.uint8, np.int64))]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(parts), bucket)), pa.array(np.frombuffer(asking, np.int64)), pa.array(sizes),
-                    pa.array([_small(n[p]) for p in parts], pa.binary()), pa.array([_small(cls[p]) for p in parts], pa.binary())], names=["bucket", "chunk", "size", "n", "cls"])
+                    *(pa.array([_small(x[p]) for p in parts], pa.binary()) for x in facts)], names=["bucket", "chunk", "size", *columns[4:]])
 
-    both = vocabulary.join(assigned, "bucket").select("bucket", "n", "chunks", "sizes", "asked", "cls")
-    return both.mapInArrow(tell, "bucket bigint, chunk bigint, size bigint, n binary, cls binary")
+    both = vocabulary.join(assigned, "bucket").select(*columns)
+    return both.mapInArrow(tell, "bucket bigint, chunk bigint, size bigint, cls binary" + ", n binary" * counts)
 
 
 def _told(got: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,9 +193,9 @@ def _told(got: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray, np.
     return bucket, size, np.concatenate([_opened(rows[i], int(k), kind) for i, k in zip(order, size)])
 
 
-def _contexts(chunks: DataFrame, answers: DataFrame, classes: int, whole: bool) -> DataFrame:
-    """A row per chunk and bucket: context counts of its words (if ``whole``);
-    and one per chunk with its class bigrams, in bucket -1."""
+def _contexts(chunks: DataFrame, answers: DataFrame, classes: int, turn: int | None) -> DataFrame:
+    """A row per chunk and bucket: context counts of its words of half
+    ``turn`` (unless None); and one per chunk with its class bigrams, in bucket -1."""
     k = classes + 1
     width = 2 * k
 
@@ -197,8 +208,9 @@ def _contexts(chunks: DataFrame, answers: DataFrame, classes: int, whole: bool)
             before = np.append(classes, of[:-1])  # what stands before a text is an end
             moves = np.bincount((before * k + of)[c.train], minlength=k * k)
             rows.append((-1, 0, b"", k * k, b"", _small(moves)))
-            if whole:
-                plain = np.flatnonzero(c.train & (of < classes))  # a word has a token after it
+            if turn is not None:
+                moving = np.unpackbits(np.frombuffer(mine["half"][0].as_py(), np.uint8), count=len(cls)) == turn
+                plain = np.flatnonzero(c.train & (of < classes) & moving[c.word])  # a word has a token after it
                 key = np.concatenate([c.word[plain] * width + before[plain], c.word[plain] * width + k + of[plain + 1]])
                 at, times = np.unique(key, return_counts=True)
                 bounds = np.searchsorted(at, np.arange(len(cls) + 1) * width)
@@ -211,7 +223,7 @@ def _contexts(chunks: DataFrame, answers: DataFrame, classes: int, whole: bool)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["bucket", "chunk", "size", "entries", "total", "kind", "times"])
 
-    side = chunks.select("chunk", "held", "begin", "word").groupBy("chunk").cogroup(answers.select("bucket", "chunk", "size", "cls").groupBy("chunk"))
+    side = chunks.select("chunk", "held", "begin", "word", "half").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return stored(side.applyInArrow(count, "bucket bigint, chunk bigint, size bigint, entries binary, total bigint, kind binary, times binary"), "contexts")
 
 
@@ -243,46 +255,44 @@ def exchange(chunks: DataFrame, vocabulary: DataFrame, classes: int, sweeps: int
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
+    def move(told: pa.Table, mine: pa.Table, centers: np.ndarray) -> pa.Table:
+        if not mine.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int64()), "cls": pa.array([], pa.binary())})
+        cls, sizes = (np.frombuffer(mine[x][0].as_py(), t) for x, t in (("cls", np.uint8), ("sizes", np.int64)))
+        cls = cls.copy()
+        parts = np.split(_opened(mine["asked"][0].as_py(), int(sizes.sum()), np.uint32), np.cumsum(sizes)[:-1])
+        place = dict(zip(np.frombuffer(mine["chunks"][0].as_py(), np.int64).tolist(), parts))
+        keys, counts = [], []
+        for chunk, size, entries, total, kind, times in zip(*(told[x].to_pylist() for x in ("chunk", "size", "entries", "total", "kind", "times"))):
+            keys.append(np.repeat(place[chunk].astype(np.int64), _opened(entries, size, np.uint16)) * width + _opened(kind, total, np.uint16))
+            counts.append(_opened(times, total, np.uint32))
+        if keys:
+            at, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            times = np.bincount(inverse, np.concatenate(counts), len(at))
+            word = at // width
+            known = np.unique(word)
+            for a in range(0, len(known), BLOCK):
+                w = known[a:a + BLOCK]
+                e = slice(*np.searchsorted(word, (w[0], w[-1] + 1)))
+                vectors = np.zeros((len(w), width))
+                vectors[np.searchsorted(w, word[e]), at[e] % width] = times[e]
+                cls[w] = likeliest(vectors, centers)
+        return pa.table({"bucket": mine["bucket"], "cls": pa.array([cls.tobytes()], pa.binary())})
+
     assigned = stored(vocabulary.select("bucket", "words", "end").mapInArrow(start, "bucket bigint, cls binary"), "classes")
     best = None
     for sweep in range(sweeps + 1):
-        contexts = _contexts(chunks, _answers(vocabulary, assigned), classes, sweep < sweeps)
-        table = _summed(contexts.where("bucket = -1").select("times"), bigrams, k * k).reshape(k, k)
-        value = objective(table)
-        if best is None or value > best[0]:
-            best = value, assigned, table
-        if sweep == sweeps:
-            break
-        centers = np.concatenate([table[:, :classes].T, table[:classes]], 1)  # of each class: those before it, those after it
-
-        def move(told: pa.Table, mine: pa.Table) -> pa.Table:
-            if not mine.num_rows:
-                return pa.table({"bucket": pa.array([], pa.int64()), "cls": pa.array([], pa.binary())})
-            half, cls, sizes = (np.frombuffer(mine[x][0].as_py(), t) for x, t in (("half", bool), ("cls", np.uint8), ("sizes", np.int64)))
-            cls = cls.copy()
-            parts = np.split(_opened(mine["asked"][0].as_py(), int(sizes.sum()), np.uint32), np.cumsum(sizes)[:-1])
-            place = dict(zip(np.frombuffer(mine["chunks"][0].as_py(), np.int64).tolist(), parts))
-            keys, counts = [], []
-            for chunk, size, entries, total, kind, times in zip(*(told[x].to_pylist() for x in ("chunk", "size", "entries", "total", "kind", "times"))):
-                keys.append(np.repeat(place[chunk].astype(np.int64), _opened(entries, size, np.uint16)) * width + _opened(kind, total, np.uint16))
-                counts.append(_opened(times, total, np.uint32))
-            if keys:
-                at, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                times = np.bincount(inverse, np.concatenate(counts), len(at))
-                word = at // width
-                known = np.unique(word[half[word] == sweep % 2])
-                for a in range(0, len(known), BLOCK):
-                    w = known[a:a + BLOCK]
-                    e = np.arange(*np.searchsorted(word, (w[0], w[-1] + 1)))
-                    row = np.searchsorted(w, word[e])
-                    e, row = e[w[row] == word[e]], row[w[row] == word[e]]
-                    vectors = np.zeros((len(w), width))
-                    vectors[row, at[e] % width] = times[e]
-                    cls[w] = likeliest(vectors, centers)
-            return pa.table({"bucket": mine["bucket"], "cls": pa.array([cls.tobytes()], pa.binary())})
-
-        words_ = vocabulary.join(assigned, "bucket").select("bucket", "half", "chunks", "sizes", "asked", "cls")
-        assigned = stored(contexts.where("bucket >= 0").groupBy("bucket").cogroup(words_.groupBy("bucket")).applyInArrow(move, "bucket bigint, cls binary"), "classes")
+        with scope() as round_:
+            contexts = _contexts(chunks, _answers(vocabulary, assigned), classes, sweep % 2 if sweep < sweeps else None)
+            table = _summed(contexts.where("bucket = -1").select("times"), bigrams, k * k).reshape(k, k)
+            value = objective(table)
+            if best is None or value > best[0]:
+                best = value, assigned, table
+            if sweep < sweeps:
+                centers = np.concatenate([table[:, :classes].T, table[:classes]], 1)  # of each class: those before it, those after it
+                words_ = vocabulary.join(assigned, "bucket").select("bucket", "chunks", "sizes", "asked", "cls")
+                both = contexts.where("bucket >= 0").groupBy("bucket").cogroup(words_.groupBy("bucket"))
+                assigned = round_.keep(stored(both.applyInArrow(partial(move, centers=centers), "bucket bigint, cls binary"), "classes"))
     return best[1], best[2]
 
 
@@ -350,5 +360,5 @@ def log_probabilities(docs: DataFrame, held, classes: int = CLASSES, sweeps: int
         columns = (c.held, np.diff(c.begin), add((n > 0)[c.word].astype(np.int64)), np.full(len(c.held), int(tokens)), add(base), add(best))
         return pa.Table.from_arrays([mine["ids"].combine_chunks().flatten(), *map(pa.array, columns)], schema=result)
 
-    side = chunks.select("chunk", "ids", "held", "begin", "word").groupBy("chunk").cogroup(_answers(vocabulary, assigned).groupBy("chunk"))
+    side = chunks.select("chunk", "ids", "held", "begin", "word").groupBy("chunk").cogroup(_answers(vocabulary, assigned, counts=True).groupBy("chunk"))
     return side.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardstats.llm.hashing import Texts, mix, signed, slices, words
-from wardstats.llm.scratch import sized, stored
+from wardstats.llm.scratch import row_key, scope, sized, stored
 
 #: Which words of a window a seed looks at.
 MASKS = ("111111", "1101111", "11101011", "110110011")
@@ -191,7 +191,10 @@ def best_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that overlap an item (rows without an id stay)."""
-    bad = sized(stored(overlaps(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), "contaminated"), 32)
-    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that overlap an item. Each row is judged by
+    its own text, also where several share an id or have none."""
+    with scope() as inner:
+        keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+        bad = inner.keep(stored(overlaps(keyed, benchmark, id_col="_key", **options).select(F.col("doc_id").alias("_key")).distinct(), "contaminated"))
+    return docs.join(sized(bad, 64), row_key(id_col, text_col) == bad["_key"], "left_anti")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that a task holds expanded at one time (a longer text alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 & ~7 | 5)
@@ -42,7 +42,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n, modulo 2**64."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        m = 1 << max(n, 1 << 16).bit_length()
+        m = ((n >> 17) + 1) << 17  # the tables stay in each worker
         for key, b in (("up", _BASE), ("down", _BASE_INV)):
             p = np.full(m, b, _U)
             p[0] = 1

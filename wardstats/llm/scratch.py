@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: With it Spark removes a query's shuffle files when the query is done.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A writer holds one row group; rows here can be packed arrays of some 100 kB.
+ROW_GROUP_BYTES = 16 << 20
 #: A table is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
 
@@ -26,13 +32,55 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+class Scope:
+    """Paths of the tables stored in it."""
+
+    def __init__(self) -> None:
+        self.made: dict[str, SparkSession] = {}
+
+    def keep(self, table_: DataFrame) -> DataFrame:
+        """``table_``, which the scope's end will not remove."""
+        self.made.pop(table_.stored_path, None)
+        for outer in _scopes[:-1][-1:]:
+            outer.made[table_.stored_path] = table_.sparkSession
+        return table_
+
+
+_scopes: list[Scope] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Tables stored inside are removed at the end, but for those kept. What
+    leaves the scope must be such a table or nothing that reads another."""
+    mine = Scope()
+    _scopes.append(mine)
+    try:
+        yield mine
+    finally:
+        _scopes.pop()
+        for path, spark in mine.made.items():
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends
-    there, so a lost executor costs a reread and no recomputation."""
+    there, so a lost executor costs a reread and no recomputation, and its
+    shuffle files go."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
+    if _scopes:
+        _scopes[-1].made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
 def sized(small: DataFrame, row_bytes: int) -> DataFrame:
@@ -45,3 +93,11 @@ def sized(small: DataFrame, row_bytes: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A string that two rows share only if they have the same id and text
+    (by MD5); integer ids keep their order in it, and no id comes last."""
+    number = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")
+    text = F.col(text_col).cast("string")
+    return F.concat(F.coalesce(number, F.lit("~")), F.when(text.isNull(), ":").otherwise("="), F.md5(F.coalesce(text, F.lit(""))))
