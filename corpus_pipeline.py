@@ -2,10 +2,10 @@
 duplicates, repeated passages, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
-writes it as Parquet in the shared scratch folder and rereads it as the next
-stage's input. All but the last return the columns of ``documents``. Rows are
-dealt with as each operator's docstring says; a document whose id is null
-stays until packing unless a rule rejects its text."""
+writes it as Parquet in the shared scratch folder, rereads it as the next
+stage's input and removes what the stage stored on its way. All but the last return the columns of ``documents``. Rows are
+dealt with as each operator's docstring says; a row is judged by its own
+text, also where several share an id or have none."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from wardstats.llm.jaccard import near_duplicates
 from wardstats.llm.packing import minimum_bin_slack, token_pieces
 from wardstats.llm.phrases import repeated_bytes
 from wardstats.llm.quality import filter_quality
-from wardstats.llm.scratch import sized, stored, table
+from wardstats.llm.scratch import row_key, scope, sized, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the
-    smallest id. Documents without words link to nothing and stay. Of rows
-    that repeat an id and its text one stays."""
-    kept = stored(near_duplicates(docs, 5, 80).where("doc_id = component_id OR n_shingles = 0").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    once, several = (sized(kept.where(x), 24) for x in ("_rows = 1", "_rows > 1"))
-    out = docs.join(once, docs["doc_id"] == once["_kept"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component of near duplicates: the one with the smallest
+    id (rows without an id come last), then of the first text by MD5.
+    Documents without words link to nothing and stay. Of rows that repeat an
+    id and its text one stays."""
+    key = row_key("doc_id", "text")
+    with scope() as inner:
+        rows = near_duplicates(docs.select(key.alias("_row"), "text"), 5, 80, id_col="_row")
+        kept = inner.keep(stored(rows.where("doc_id = component_id OR n_shingles = 0").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept"))
+    once, several = (sized(kept.where(x), 80) for x in ("_rows = 1", "_rows > 1"))
+    out = docs.join(once, key == once["_kept"], "left_semi")
     if several.isEmpty():
         return out
-    return out.unionByName(docs.join(several, docs["doc_id"] == several["_kept"], "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.join(several, key == several["_kept"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope() as made:
+            docs = made.keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
     return docs
 
 
