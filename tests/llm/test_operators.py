@@ -23,7 +23,7 @@ from wardstats.llm.licenses import NOTICES, scan
 from wardstats.llm.packing import combinations, fullest, minimum_bin_slack, token_pieces
 from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.quality import filter_quality, judge_quality, learn
-from wardstats.llm.toxicity import fit, toxicity
+from wardstats.llm.toxicity import fit, pair_gain, toxicity
 from wardstats.llm.urls import RULES, judge_urls
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ré", "tu", "sha", "on") for b in ("n", "st", "ra", "vi", "", "del", "ß")]
@@ -453,3 +453,34 @@ def test_repeats_match_brute_force(spark):
     got = sorted((tuple(r) for r in digest(repeated_bytes(frame(spark, rows))).collect()), key=key)
     assert got == sorted(cuts(rows), key=key)
     assert repeated_bytes(empty(spark)).count() == 0
+
+
+def test_toxicity_learns_pairs_of_which_neither_word_tells_alone(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("aeiourstln") for _ in range(7)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(3_000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(pool) for _ in range(12)] + ["alpha"] * a + ["bravo"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    machine = fit(frame(spark, rows, extra=False), spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity(frame(spark, rows, extra=False), machine).collect()}
+    assert np.mean([got[i] == bool(y) for i, y in labels if i % 3 == 0]) > 0.95
+
+
+def test_pair_gain_by_hand():
+    rng = np.random.default_rng(4)
+    has, label = rng.random((500, 7)) < 0.4, (rng.random(500) < 0.3).astype(float)
+
+    def g(cells):
+        e = label.mean()
+        return sum(2 * (n * math.log(n / (m * p))) for c in cells for m in [c.sum()] for n, p in ((label[c].sum(), e), (m - label[c].sum(), 1 - e)) if n)
+
+    for block, gain in pair_gain(has, label, 3):
+        for i in range(*block.indices(7)):
+            for j in range(7):
+                a, b = has[:, i], has[:, j]
+                want = g([a & b, a & ~b, ~a & b, ~a & ~b]) - g([a, ~a]) - g([b, ~b])
+                assert abs(gain[i - block.start, j] - want) < 1e-3
