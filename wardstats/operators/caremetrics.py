@@ -76,8 +76,8 @@ def care_metrics(scored: DataFrame, target: str, keys=("model",), y: str = "y_tr
     for b in (1, 2, 3, 4):
         inb = band == b
         band_aggs += [F.avg(F.when(inb, ae)).alias(f"_mae{b}"), F.avg(F.when(inb, yv)).alias(f"_mean{b}")]
-    eff = (F.avg(F.greatest(e, F.lit(0.0))) / F.avg(yv) if _is_wait(target)
-           else F.lit(1.0) - F.avg(ae) / F.avg(yv))
+    eff = (F.try_divide(F.avg(F.greatest(e, F.lit(0.0))), F.avg(yv)) if _is_wait(target)
+           else F.lit(1.0) - F.try_divide(F.avg(ae), F.avg(yv)))
     agg = group_stats(
         j, keys,
         F.count(F.lit(1)).alias("n"),

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wardstats.functions.session import ensure_checkpoint_dir
 from wardstats.functions.stats import r6, std0
-from wardstats.operators.evaluate import fold_col
+from wardstats.operators.evaluate import fold_col, hash_bucket
 
 # Model names and hyper-parameters of the reference models.
 RANDOM_FOREST = "Random Forest"
@@ -106,14 +106,11 @@ def scale_columns(df: DataFrame, cols, fit_df: DataFrame) -> DataFrame:
     return j.withColumns(new).drop(*st.columns)
 
 
-def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit_df: DataFrame | None = None):
-    """Random Fourier features for an RBF kernel (Rahimi & Recht, 2007):
-    z_k(x) = sqrt(2/D)·cos(w_k·x + b_k), w ~ N(0, 2γ), b ~ U(0, 2π), with
-    γ = 1/(n_features·Var(X)) (sklearn's 'scale'). The random draws are
-    literals of the plan, so every task computes the same features."""
+def random_draws(src: DataFrame, cols, n_components: int, seed: int) -> tuple[list, list, float]:
+    """Weights, shifts and scale of the random features (see
+    :func:`rff_columns`), with gamma from the moments of ``src``."""
     import random
 
-    src = fit_df if fit_df is not None else df
     # Var(X) over all feature values, from per-column first and second
     # moments of one aggregate (one small row on the driver)
     mom = src.agg(*[F.avg(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -121,19 +118,38 @@ def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit
     n = len(cols)
     ex2 = sum((mom[f"s{i}"] or 0.0) for i in range(n)) / n
     ex = sum((mom[f"m{i}"] or 0.0) for i in range(n)) / n
-    var = max(ex2 - ex * ex, 1e-12)
-    gamma = 1.0 / (n * var)
+    gamma = 1.0 / (n * max(ex2 - ex * ex, 1e-12))
     rng = random.Random(seed)
-    scale = math.sqrt(2.0 / n_components)
+    weights, shifts = [], []
+    for _ in range(n_components):
+        weights.append([rng.gauss(0.0, math.sqrt(2 * gamma)) for _ in cols])
+        shifts.append(rng.uniform(0, 2 * math.pi))
+    return weights, shifts, math.sqrt(2.0 / n_components)
+
+
+def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit_df: DataFrame | None = None):
+    """Random Fourier features for an RBF kernel (Rahimi & Recht, 2007):
+    z_k(x) = sqrt(2/D)·cos(w_k·x + b_k), w ~ N(0, 2γ), b ~ U(0, 2π), with
+    γ = 1/(n_features·Var(X)) (sklearn's 'scale'). The random draws are
+    literals of the plan, so every task computes the same features."""
+    weights, shifts, scale = random_draws(fit_df if fit_df is not None else df, cols, n_components, seed)
     exprs = []
-    for k in range(n_components):
-        w = [rng.gauss(0.0, math.sqrt(2 * gamma)) for _ in cols]
-        b = rng.uniform(0, 2 * math.pi)
-        dot = sum((F.col(c) * F.lit(wi) for c, wi in zip(cols, w)), F.lit(b))
+    for k, (ws, shift) in enumerate(zip(weights, shifts)):
+        dot = sum((F.col(c) * F.lit(wi) for c, wi in zip(cols, ws)), F.lit(shift))
         exprs.append((F.lit(scale) * F.cos(dot)).alias(f"_rff{k}"))
     return df.select("*", *exprs), [f"_rff{k}" for k in range(n_components)]
 
 
+def mean_filled(df: DataFrame, cols, fit_df: DataFrame) -> DataFrame:
+    """NULL and NaN features as the training mean (0 without any value):
+    linear and kernel fits take no gaps."""
+    from wardstats.functions.joins import with_scalars
+
+    seen = {c: F.when(~F.isnan(c), F.col(c)) for c in cols}
+    j = with_scalars(df, fit_df.agg(*[F.avg(x).alias(f"_a_{c}") for c, x in seen.items()]))
+    return j.withColumns({c: F.coalesce(x, F.col(f"_a_{c}"), F.lit(0.0)) for c, x in seen.items()}).drop(*[f"_a_{c}" for c in cols])
+
+
 def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
@@ -157,6 +173,9 @@ def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "
     data = df.select(id_col, split, F.col(target).cast("double").alias("label"),
                      *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
     train = data.filter(F.col(split) == "train")
+    if name in (LINEAR, KERNEL):
+        data = mean_filled(data, feats, train)
+        train = data.filter(F.col(split) == "train")
     if options.scale_features and name in (LINEAR, KERNEL):
         data = scale_columns(data, feats, train)
         train = data.filter(F.col(split) == "train")
@@ -176,6 +195,84 @@ def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "
     return scored, Trained(name, model, feats, secs)
 
 
+# ---------------------------------------------------------------- stored models
+
+def fit_pipeline(train: DataFrame, features, target: str, name: str, options: TrainOptions = TrainOptions(), **params) -> PipelineModel:
+    """Everything that scoring takes as one ``PipelineModel``: filling
+    of gaps, scaling and the kernel's random draws as SQL steps whose fitted
+    numbers are literals, then the assembled vector and the estimator. It can
+    be saved, loaded in another session, and applied to batches and streams."""
+    ensure_checkpoint_dir(train.sparkSession)
+    feats = list(features)
+    data = train.select(F.col(target).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
+    x = {c: F.when(~F.isnan(c), F.col(c)) for c in feats}
+    row = data.agg(*[a for c, v in x.items() for a in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(F.coalesce(v, F.lit(None))).alias(f"s_{c}"), F.count(v).alias(f"n_{c}"))],
+                   F.count(F.lit(1)).alias("_n")).first()
+    stages: list = []
+    inputs = [f"_x{i}" for i in range(len(feats))]
+    plain = name not in (LINEAR, KERNEL)
+    steps = []
+    for i, c in enumerate(feats):
+        m, s, n = row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0, row["_n"] or 1
+        s = s * math.sqrt(row[f"n_{c}"] / n)  # filled rows stand at the mean
+        value = f"CAST(`{c}` AS DOUBLE)"
+        if not plain:
+            value = f"coalesce(CASE WHEN NOT isnan({value}) THEN {value} END, {m!r}D)"
+            if options.scale_features:
+                value = f"({value} - {m!r}D) / {(s or 1.0)!r}D"
+        steps.append(f"{value} AS _x{i}")
+    stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(steps)} FROM __THIS__"))
+    if name == KERNEL:
+        weights, shifts, scale = random_draws(stages[0].transform(data), inputs, options.rff_components, options.random_state)
+        waves = [f"{scale!r}D * cos({shift!r}D + " + " + ".join(f"{w!r}D * _x{i}" for i, w in enumerate(ws)) + f") AS _z{k}"
+                 for k, (ws, shift) in enumerate(zip(weights, shifts))]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(waves)} FROM __THIS__"))
+        inputs = [f"_z{k}" for k in range(len(waves))]
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), estimator(name, seed=options.random_state, **params)]
+    return Pipeline(stages=stages).fit(data)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def score_rows(model: PipelineModel | str, rows: DataFrame, keep) -> DataFrame:
+    """``keep`` and y_pred of new rows (batch or stream) by a fitted or saved
+    model."""
+    fitted = PipelineModel.load(model) if isinstance(model, str) else model
+    return fitted.transform(rows).select(*keep, F.col("prediction").alias("y_pred"))
+
+
+# ---------------------------------------------------------------- stability
+
+def stability_refit(df: DataFrame, features, target: str, name: str, n_runs: int = 5, id_col: str = "id", test_percent: int = 20,
+                    options: TrainOptions = TrainOptions(), **params) -> DataFrame:
+    """``n_runs`` new splits (by the hash of run and id), a new fit on
+    each, submitted in parallel; a row per run: model, run, r2 and rmse of its
+    test rows, and seconds of the fit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(run: int):
+        key = F.concat(F.lit(f"{run}:"), F.col(id_col).cast("string"))
+        part = df.withColumn("_split", F.when(hash_bucket(key, 100) < test_percent, "test").otherwise("train"))
+        scored, trained = fit_predict(part, features, target, name, id_col, "_split", options, **params)
+        e = F.col("y_true") - F.col("y_pred")
+        got = scored.where(F.col("_split") == "test").agg((F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop("y_true"))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse")).first()
+        return name, run, got["r2"], got["rmse"], trained.seconds
+
+    with ThreadPoolExecutor(max_workers=max(1, min(options.parallelism, n_runs))) as pool:
+        runs = list(pool.map(one, range(n_runs)))
+    return df.sparkSession.createDataFrame(runs, "model string, run int, r2 double, rmse double, seconds double")
+
+
+def stability_of_runs(runs: DataFrame, keys=("model",)) -> DataFrame:
+    """Mean and std (ddof 0) of R², RMSE and time over the runs, and
+    consistency 1 - std/mean of R²."""
+    out = runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_runs"), *[a for c in ("r2", "rmse", "seconds") for a in (F.avg(c).alias(f"{c}_mean"), std0(c).alias(f"{c}_std"))])
+    return out.withColumn("consistency_score", F.lit(1.0) - F.try_divide(F.col("r2_std"), F.col("r2_mean")))
+
+
 def feature_importance(trained: Trained, original=None) -> DataFrame | None:
     """Tree importances, or |coefficient| for linear models, as rows
     (model, feature, score). Model-sized: built from the fitted model."""

@@ -30,6 +30,8 @@ from wardstats.operators import transform as D
 from wardstats.functions.stats import eps_div
 from wardstats.operators.profile import numeric_columns
 
+#: How far rounding can keep the r² of a perfect fit from 1.
+PERFECT = 1e-12
 DATE_PART_SUFFIXES = ("_hour", "_day_of_week", "_month", "_quarter", "_is_weekend")
 
 
@@ -82,15 +84,23 @@ class PrepModel:
     fences: dict = field(default_factory=dict)
     remove: bool = False
     selected: list | None = None
+    #: columns over ``max_categories`` levels: their category table (value,
+    #: position) and its number of rows
+    index: dict = field(default_factory=dict)
+    sizes: dict = field(default_factory=dict)
 
     # ------------------------------------------------------------ apply
     def feature_names(self) -> list[str]:
         names = list(self.numeric)
         if self.options.encode_categorical:
             for c in self.categorical:
-                names += [f"{c}_{_py_str(v)}" for v in self.categories[c][1:]]
+                names += [f"{c}_{_py_str(v)}" for v in self.categories.get(c, [])[1:]]
         return names
 
+    def wide(self) -> list[str]:
+        """Encoded columns with more levels than columns are made for."""
+        return [c for c in self.categorical if c in self.index] if self.options.encode_categorical else []
+
     def engineered(self, df: DataFrame) -> DataFrame:
         """Steps before encoding: id drop and feature engineering, using
         the fitted group statistics (literal maps, no join)."""
@@ -107,11 +117,32 @@ class PrepModel:
         if remove_outliers and self.remove:
             # fitted fences and decision: a literal filter, no extra job
             out = out.filter(~E.fence_flag(self.fences))
-        res = out.select(*_projection(self, out, keep))
+        res = _positions(self, out).select(*_projection(self, out, keep))
         if self.selected is not None:
-            res = res.select(*keep, *self.selected, *([self.target] if self.target in res.columns else []))
+            wide = [f"{c}_position" for c in self.wide()]
+            res = res.select(*keep, *self.selected, *wide, *([self.target] if self.target in res.columns else []))
         return res
 
+    def apply_vector(self, df: DataFrame, keep=(), remove_outliers: bool = False, out: str = "features") -> DataFrame:
+        """:meth:`apply` with all features in one vector column: the numeric
+        and 0/1 columns, then a sparse block per wide column, as long as its
+        category table less the first category."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+        res = self.apply(df, keep, remove_outliers)
+        plain = [n for n in self.feature_names() if self.selected is None or n in self.selected]
+        parts = list(plain)
+        for c in self.wide():
+            # no cell (first, unknown category) is the last code, which the encoder drops
+            n = max(self.sizes[c], 2)
+            code = F.when(F.col(f"{c}_position") < 0, F.lit(n - 1)).otherwise(F.col(f"{c}_position")).cast("double")
+            meta = {"ml_attr": {"type": "nominal", "name": c, "num_vals": n}}
+            res = res.withColumn(f"_code_{c}", code.alias(f"_code_{c}", metadata=meta))
+            res = OneHotEncoder(inputCols=[f"_code_{c}"], outputCols=[f"_hot_{c}"], dropLast=True).fit(res).transform(res)
+            parts.append(f"_hot_{c}")
+        target = [self.target] if self.target in res.columns else []
+        return VectorAssembler(inputCols=parts, outputCol=out).transform(res).select(*keep, out, *target)
+
 
 def _py_str(v) -> str:
     """Category label as the reference prints it (``str`` of the value)."""
@@ -145,7 +176,9 @@ def engineer(df: DataFrame, target: str | None, roles: Roles, options: PrepOptio
     regions = [c for c in out.columns if "region" in c.lower()] if not roles.region else list(roles.region)
     if target and regions:
         for g in regions:
-            if complexity is not None and g in complexity:
+            if complexity is not None and isinstance(complexity.get(g), DataFrame):
+                out = lookup_join(out, complexity[g], g)
+            elif complexity is not None and g in complexity:
                 pairs = list(complexity[g].items())
                 m = D.map_lookup(F.col(g), pairs) if pairs else F.lit(None).cast("double")
                 out = out.withColumn(f"{g}_complexity", m.cast("double"))
@@ -291,27 +324,54 @@ def _categorical_from(counts: dict, use_keep: bool) -> dict:
     return out
 
 
-def _check_levels(categorical, nds, max_categories):
-    if nds:
-        too_many = [c for c in categorical if nds.get(c, 0) > max_categories]
-        if too_many:
-            raise ValueError(f"categorical columns over {max_categories} levels: {too_many}")
+def _kept_table(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared checkpoint folder."""
+    from wardstats.functions.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _narrow(categorical, nds, max_categories) -> tuple[list, list]:
+    """Columns that get a 0/1 column per category, and those with more levels
+    than that (``nds``: their counts)."""
+    wide = [c for c in categorical if nds.get(c, 0) > max_categories]
+    return [c for c in categorical if c not in wide], wide
+
+
+def _category_tables(df: DataFrame, wide, keep: Column | None) -> dict:
+    """Mode and category table of columns of any cardinality: values are
+    counted and numbered by distributed jobs, and only the mode (one row) and
+    the number of categories come to the driver."""
+    out: dict = {"cat_fill": {}, "index": {}, "sizes": {}}
+    for c in wide:
+        rows = df.where(F.col(c).isNotNull() if keep is None else F.col(c).isNotNull() & keep)
+        counts = _kept_table(rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")))
+        first = counts.agg(F.min(F.struct((-F.col("_n")).alias("less"), F.col(c).alias("v"))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        out["cat_fill"][c], out["sizes"][c] = first["m"]["v"] if first["m"] else None, first["n"]
+        out["index"][c] = distributed_rank(counts.select(c), c).select(c, (F.col("_rank") - 1).cast("bigint").alias("position"))
+    return out
+
+
+def _with_tables(params: dict, tables: dict) -> dict:
+    params["cat_fill"].update(tables["cat_fill"])
+    return {**params, "index": tables["index"], "sizes": tables["sizes"]}
 
 
 def fit_params(df: DataFrame, numeric, categorical, strategy: str = "mean/mode", max_categories: int = 100,
                nds: dict | None = None) -> dict:
     """Every parameter in two aggregates: fill value, mean and std₀ of the
     imputed numeric columns (one global aggregate); mode and sorted
-    category list of the categorical columns (one stacked value count,
-    bounded: a column over ``max_categories`` levels raises first)."""
-    _check_levels(categorical, nds, max_categories)
+    category list of the categorical columns (one stacked value count;
+    columns over ``max_categories`` levels get a category table instead)."""
     if nds is None and categorical:
-        nd = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in categorical]).first()
-        _check_levels(categorical, {c: nd[c] for c in categorical}, max_categories * 2)
+        nds = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in categorical]).first().asDict()
+        nds = {c: n / 2 for c, n in nds.items()}  # an estimate: only what is clearly over
+    narrow, wide = _narrow(categorical, nds or {}, max_categories)
     row = grouped(df, [], *_param_aggs(numeric, strategy, "", None)).first()
     out = _numeric_from(row, numeric, strategy, "")
-    out.update(_categorical_from(_category_counts(df, categorical, None), False))
-    return out
+    out.update(_categorical_from(_category_counts(df, narrow, None), False))
+    return _with_tables(out, _category_tables(df, wide, None))
 
 
 def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strategy: str = "mean/mode",
@@ -322,7 +382,7 @@ def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strate
     flagged count in one aggregate, category counts for both variants in
     one grouped aggregate; the guard (remove only if 0 < flagged <
     ``max_share`` of rows) then picks one set."""
-    _check_levels(categorical, nds, max_categories)
+    narrow, wide = _narrow(categorical, nds or {}, max_categories)
     flag = E.fence_flag(fences)
     aggs = _param_aggs(numeric, strategy, "", None) + \
         _param_aggs(numeric, strategy, "_k", ~flag) + [F.sum(flag.cast("bigint")).alias("_nf")]
@@ -330,8 +390,8 @@ def fit_params_guarded(df: DataFrame, numeric, categorical, fences: dict, strate
     nf, n = row["_nf"] or 0, row["_n"] or 0
     remove = bool(0 < nf < n * max_share)
     out = _numeric_from(row, numeric, strategy, "_k" if remove else "")
-    out.update(_categorical_from(_category_counts(df, categorical, ~flag), remove))
-    return out, remove
+    out.update(_categorical_from(_category_counts(df, narrow, ~flag), remove))
+    return _with_tables(out, _category_tables(df, wide, ~flag if remove else None)), remove
 
 
 def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOptions(),
@@ -344,13 +404,14 @@ def fit(df: DataFrame, target: str | None = None, options: PrepOptions = PrepOpt
         regions = list(roles.region) or [c for c in work.columns if "region" in c.lower()]
         if target and target in work.columns:
             for g in regions:
-                # one row per group, bounded: at most cap + 1 rows reach the driver
-                cap = options.max_categories * 100
-                st = work.groupBy(g).agg(F.round(F.coalesce(F.stddev_samp(target), F.lit(0.0)), 6).alias("v"))
+                # a literal map of few groups, a joined table of many; at most cap + 1 rows reach the driver
+                cap = options.max_categories
+                st = work.groupBy(g).agg(F.round(F.coalesce(F.stddev_samp(target), F.lit(0.0)), 6).alias(f"{g}_complexity"))
                 rows = st.limit(cap + 1).collect()
                 if len(rows) > cap:
-                    raise ValueError(f"too many groups in {g} for a complexity map")
-                complexity[g] = {r[g]: r["v"] for r in rows if r[g] is not None}
+                    complexity[g] = _kept_table(st.where(F.col(g).isNotNull()))
+                else:
+                    complexity[g] = {r[g]: r[f"{g}_complexity"] for r in rows if r[g] is not None}
         work = engineer(work, target, roles, options, complexity=complexity)
     feats = [c for c in work.columns if c != target]
     parts = {f"{c}{s}" for c in D.timestamp_columns(df) for s in DATE_PART_SUFFIXES} \
@@ -384,6 +445,16 @@ def fit_transform(df: DataFrame, target: str | None = None, options: PrepOptions
     return model.apply(df, keep, remove_outliers=True), model
 
 
+def _positions(model: PrepModel, out: DataFrame) -> DataFrame:
+    """``out`` with the position of each wide column's category among the
+    columns that one-hot encoding would make; -1 has none of them."""
+    for c in model.wide():
+        value = F.coalesce(F.col(c), F.lit(model.cat_fill[c]).cast(out.schema[c].dataType))
+        place = model.index[c].withColumnRenamed("position", f"{c}_position")
+        out = lookup_join(out.withColumn(c, value), place, c)
+    return out
+
+
 def _projection(model: PrepModel, out: DataFrame, keep) -> list[Column]:
     exprs: list[Column] = [F.col(k) for k in keep]
     for c in model.numeric:
@@ -391,7 +462,11 @@ def _projection(model: PrepModel, out: DataFrame, keep) -> list[Column]:
         if model.options.normalize:
             x = (x - F.lit(model.num_mean[c])) / F.lit(model.num_std[c] or 1.0)
         exprs.append(x.alias(c))
+    for c in model.wide():
+        exprs.append(F.coalesce(f"{c}_position", F.lit(-1)).cast("bigint").alias(f"{c}_position"))
     for c in (model.categorical if model.options.encode_categorical else []):
+        if c in model.index:
+            continue
         v = F.coalesce(F.col(c), F.lit(model.cat_fill[c]).cast(out.schema[c].dataType))
         for cat in model.categories[c][1:]:
             exprs.append(F.when(v == F.lit(cat), 1.0).otherwise(0.0).alias(f"{c}_{_py_str(cat)}"))
@@ -408,7 +483,7 @@ def column_transform(df: DataFrame, numeric, categorical, strategy: str = "mean/
     params = fit_params(fit_df if fit_df is not None else df, numeric, categorical, strategy)
     model = PrepModel(target, PrepOptions(normalize=normalize), Roles(), [], list(numeric), list(categorical),
                       **params)
-    return df.select(*_projection(model, df, keep))
+    return _positions(model, df).select(*_projection(model, df, keep))
 
 
 # ---------------------------------------------------------------- single steps
@@ -449,21 +524,21 @@ def forward_fill(df: DataFrame, cols, key: str, ts: str, tie: str | None = None,
     bucket comes from a small per-(key, bucket) summary scanned with a
     window over buckets only."""
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
-    b = F.date_trunc(bucket, F.col(ts)).alias("_bkt")
-    d = df.withColumn("_bkt", b)
+    # one struct as key: a NULL key or time in it is equal to another
+    d = df.withColumn("_k", F.struct(F.col(key).alias("key"), F.date_trunc(bucket, F.col(ts)).alias("bucket")))
     okey = F.struct(*order)
-    summ = d.groupBy(key, "_bkt").agg(*[
+    summ = d.groupBy("_k").agg(*[
         F.max(F.when(F.col(c).isNotNull(), F.struct(okey.alias("o"), F.col(c).alias("v")))).alias(f"_l_{c}")
         for c in cols])
-    wprev = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(key, "_bkt", *[F.last(F.col(f"_l_{c}.v"), ignorenulls=True).over(wprev).alias(f"_c_{c}")
+    wprev = Window.partitionBy("_k.key").orderBy("_k.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select("_k", *[F.last(F.col(f"_l_{c}.v"), ignorenulls=True).over(wprev).alias(f"_c_{c}")
                                        for c in cols])
-    win = Window.partitionBy(key, "_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    win = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # the summary has one row per (key, bucket): a shuffle join on exactly the
     # window's partition keys, so the rows are exchanged once for both
-    filled = d.join(carry.hint("shuffle_merge"), [key, "_bkt"], "left")
+    filled = d.join(carry.hint("shuffle_merge"), "_k", "left")
     return filled.withColumns({c: F.coalesce(F.last(F.col(c), ignorenulls=True).over(win), F.col(f"_c_{c}"))
-                               for c in cols}).drop("_bkt", *[f"_c_{c}" for c in cols])
+                               for c in cols}).drop("_k", *[f"_c_{c}" for c in cols])
 
 
 def standard_scale(df: DataFrame, cols, fit_df: DataFrame | None = None) -> DataFrame:
@@ -482,21 +557,28 @@ def standard_scale(df: DataFrame, cols, fit_df: DataFrame | None = None) -> Data
 def one_hot(df: DataFrame, cols, categories: dict | None = None, max_categories: int = 100,
             drop_first: bool = True, keep_source: bool = False) -> DataFrame:
     """F8: one-hot with sorted categories, first dropped, unknown/NULL → all
-    zeros, names ``{col}_{value}``. Categories are passed in or learned by
-    one bounded aggregate (raises above ``max_categories``)."""
+    zeros, names ``{col}_{value}``. Categories are passed in or learned. A
+    column with more than ``max_categories`` levels becomes ``{col}_position``,
+    the position among those columns (-1: none of them, NULL included)."""
+    wide: list = []
     if categories is None:
         nd = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-        over = [c for c in cols if nd[c] > max_categories]
-        if over:
-            raise ValueError(f"too many categories in {over}")
-        row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-        categories = {c: list(row[c]) for c in cols}
+        wide = [c for c in cols if nd[c] > max_categories]
+        few = [c for c in cols if c not in wide]
+        row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
+        categories = {c: list(row[c]) for c in few}
+    out = df
+    for c in wide:
+        values = df.select(c).where(F.col(c).isNotNull()).distinct()
+        shift = 1 if drop_first else 0
+        place = distributed_rank(values, c).select(c, (F.col("_rank") - shift).cast("bigint").alias(f"{c}_position"))
+        out = lookup_join(out, place, c).withColumn(f"{c}_position", F.coalesce(f"{c}_position", F.lit(-1).cast("bigint")))
     new = {}
     for c in cols:
-        cats = categories[c][1:] if drop_first else categories[c]
-        for v in cats:
+        cats = categories.get(c, [])
+        for v in cats[1:] if drop_first else cats:
             new[f"{c}_{_py_str(v)}"] = F.when(F.col(c) == F.lit(v), 1.0).otherwise(0.0)
-    out = df.withColumns(new)
+    out = out.withColumns(new)
     return out if keep_source else out.drop(*cols)
 
 
@@ -546,13 +628,15 @@ def one_hot_sparse(df: DataFrame, col: str, id_col: str, drop_first: bool = True
 
 def select_k_best(df: DataFrame, target: str, features, k: int | None = None) -> DataFrame:
     """univariate F-test of a linear fit per feature, F = r²/(1−r²)·(n−2)
-    (sklearn ``f_regression``); top ``k`` (default min(50, n)) selected."""
+    (sklearn ``f_regression``), infinite for a perfect fit (r² = 1 but for
+    rounding); top ``k`` (default min(50, n)) selected."""
     k = k or min(50, len(features))
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
                   *[corr(f, target).alias(f) for f in features])
     stack = "stack({}, {}) as (feature, r)".format(len(features), ", ".join(f"'{f}', `{f}`" for f in features))
     long = wide.selectExpr("_n", stack)
-    fstat = F.round(F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("_n") - 2), 9)
+    r2 = F.col("r") * F.col("r")
+    fstat = F.when(r2 >= 1 - PERFECT, F.lit(float("inf"))).otherwise(F.round(r2 / (1 - r2) * (F.col("_n") - 2), 9))
     w = Window.orderBy(F.desc_nulls_last("f_score"), "feature")
     ranked = long.select("feature", r6("r").alias("r"), fstat.alias("f_score")) \
         .withColumn("position", F.row_number().over(w))

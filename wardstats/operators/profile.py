@@ -235,7 +235,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, keys=()) -> DataFrame:
     # (an aggregate) expanded to the bins with explode
     groups = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g")) if keys else st
     grid = with_scalars(groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")), st)
-    out = grid.join(counts, [*keys, "bin"], "left")
+    out = lookup_join(grid, counts, [*keys, "bin"])
     w = (F.col("_mx") - F.col("_mn")) / bins
     return out.select(*keys, "bin", r6(F.col("_mn") + F.col("bin") * w).alias("lower"),
                       r6(F.when(F.col("bin") == bins - 1, F.col("_mx")).otherwise(F.col("_mn") + (F.col("bin") + 1) * w))
@@ -278,11 +278,11 @@ def kde_grid(df: DataFrame, col: str, grid: int = 64, bins: int = 4096, keys=())
     ex = binned.select(*keys, "_c", "_n", h.alias("_h"), centre.alias("_ctr"), "_mn", "_mx",
                        F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     gx = F.col("_mn") + F.col("point") * ((F.col("_mx") - F.col("_mn")) / (grid - 1))
-    u = (gx - F.col("_ctr")) / F.col("_h")
+    u = F.try_divide(gx - F.col("_ctr"), F.col("_h"))  # NULL if all values are equal: no density
     contrib = F.col("_c") * F.exp(-0.5 * u * u)
     g = ex.groupBy(*keys, "point").agg(F.first(gx).alias("_gx"), F.sum(contrib).alias("_s"),
                                       F.first("_n").alias("_n"), F.first("_h").alias("_h"))
-    dens = F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    dens = F.try_divide(F.col("_s"), F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
     return g.select(*keys, "point", r6("_gx").alias("x"), r6(dens).alias("density"))
 
 

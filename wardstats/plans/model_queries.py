@@ -15,6 +15,7 @@ from wardstats.operators.transform import LOS_EDGES, los_bins, map_lookup, repla
 from wardstats.plans import views as V
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import FOLD_SQL, SPLIT_SQL, with_views
+from wardstats.sources.files import scratch_path
 
 LOS_LABELS = LOS_EDGES[1:]
 MODEL_FEATURES = ["nurse_staff_ratio", "specialist_availability", "facility_beds", "triage_time_min",
@@ -64,6 +65,32 @@ def linreg_predict(spark, sf):
     return _preds(s)
 
 
+@query("predict_stored", MI + _OLS2 + """
+SELECT id, round(b0 + b1 * triage_time_min + b2 * patient_load, 6) AS y_pred FROM mi, coef WHERE split = 'test'""")
+def predict_stored(spark, sf):
+    """Fitted and saved on the training rows, loaded and applied to the rest."""
+    rows = model_input(spark, sf)
+    model = G.fit_pipeline(rows.filter(F.col("split") == "train"), ["triage_time_min", "patient_load"], "wait_min", G.LINEAR)
+    path = scratch_path(spark, "model")
+    G.save_model(model, path)
+    return G.score_rows(path, rows.filter(F.col("split") == "test"), ["id"]).select("id", F.round("y_pred", 6).alias("y_pred"))
+
+
+@query("stability_refit", MI + """,
+r AS (SELECT unnest(range(5)) AS run),
+x AS (SELECT run, wait_min AS y, triage_time_min AS x,
+             ('0x' || substr(md5(CAST(run AS VARCHAR) || ':' || CAST(id AS VARCHAR)), 1, 8))::BIGINT % 100 < 20 AS test FROM mi, r),
+fit AS (SELECT run, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM x WHERE NOT test GROUP BY run),
+per AS (SELECT x.run, 1 - avg((y - b0 - b1 * x) * (y - b0 - b1 * x)) / var_pop(y) AS r2, sqrt(avg((y - b0 - b1 * x) * (y - b0 - b1 * x))) AS rmse
+        FROM x JOIN fit ON fit.run = x.run WHERE test GROUP BY x.run)
+SELECT 'Linear Regression' AS model, CAST(count(*) AS BIGINT) AS n_runs, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std,
+       round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std, round(1 - stddev_pop(r2) / avg(r2), 6) AS consistency_score FROM per""")
+def stability_refit(spark, sf):
+    runs = G.stability_refit(model_input(spark, sf), ["triage_time_min"], "wait_min", G.LINEAR)
+    out = G.stability_of_runs(runs).drop("seconds_mean", "seconds_std")  # times differ from run to run
+    return out.select(*[F.round(c, 6).alias(c) if c not in ("model", "n_runs") else c for c in out.columns])
+
+
 _GROUP_MEAN = """,
 gm AS (SELECT is_critical, avg(wait_min) AS m FROM mi WHERE split = 'train' GROUP BY is_critical)
 SELECT id, round(gm.m, 6) AS y_pred FROM mi JOIN gm USING (is_critical) WHERE split = 'test'"""

@@ -145,6 +145,31 @@ def select_k_best(spark, sf):
     return P.select_k_best(V.visits(spark, sf), "wait_min", _KB_FEATS, 3)
 
 
+@query("select_k_best_perfect", with_views("visits") + ", w AS (" + "\n UNION ALL ".join(
+    f"SELECT '{f}' AS feature, corr(CAST({x} AS DOUBLE), wait_min) AS r, count(*) AS n FROM visits"
+    for f, x in (("doubled_wait", "wait_min * 2"), ("patient_load", "patient_load"), ("triage_time_min", "triage_time_min")))
+       + """),
+s AS (SELECT feature, r, CASE WHEN r * r >= 1 - 1e-12 THEN 'infinity'::DOUBLE ELSE r * r / (1 - r * r) * (n - 2) END AS f FROM w)
+SELECT feature, round(r, 6) AS r, round(f, 6) AS f_score, CAST(row_number() OVER (ORDER BY f DESC, feature) AS INTEGER) AS position,
+       row_number() OVER (ORDER BY f DESC, feature) <= 1 AS selected FROM s""")
+def select_k_best_perfect(spark, sf):
+    v = V.visits(spark, sf).withColumn("doubled_wait", F.col("wait_min") * 2)
+    return P.select_k_best(v, "wait_min", ["patient_load", "triage_time_min", "doubled_wait"], 1)
+
+
+_NO_KEY = with_views("visits_gappy", extra="nk AS (SELECT * REPLACE (CASE WHEN patient_id % 5 <> 0 THEN patient_id END AS patient_id) FROM visits_gappy)")
+
+
+@query("forward_fill_null_key", _NO_KEY + """
+SELECT visit_id, patient_id, visit_ts,
+       last_value(wait_min IGNORE NULLS) OVER (PARTITION BY patient_id ORDER BY visit_ts, visit_id
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wait_min
+FROM nk""")
+def forward_fill_null_key(spark, sf):
+    v = V.visits_gappy(spark, sf).select("visit_id", F.when(F.col("patient_id") % 5 != 0, F.col("patient_id")).alias("patient_id"), "visit_ts", "wait_min")
+    return P.forward_fill(v, ["wait_min"], key="patient_id", ts="visit_ts", tie="visit_id")
+
+
 # ---------------------------------------------------------------- column transformer
 
 _ER_NUM = ["nurse_staff_ratio", "specialist_availability", "facility_beds", "triage_time_min",
@@ -268,14 +293,26 @@ lg AS ({long})
 """
 
 
-FULL_FINAL = ("SELECT * EXCLUDE (rid) FROM num JOIN "
-              "(PIVOT (SELECT * FROM lg) ON name USING first(val) GROUP BY rid) piv USING (rid)")
+#: Numeric columns as they are; of the 0/1 columns (whose names depend on the
+#: data) their number and the names of those that are 1.
+FULL_FINAL = """
+SELECT num.* EXCLUDE (rid), CAST((SELECT count(DISTINCT name) FROM lg) AS BIGINT) AS n_columns, coalesce(ones, '') AS ones
+FROM num LEFT JOIN (SELECT rid, string_agg(name, ',' ORDER BY name) AS ones FROM lg WHERE val = 1 GROUP BY rid) o USING (rid)"""
+
+
+def _ones(df: DataFrame, numeric) -> DataFrame:
+    """The 0/1 columns as their number and the names of those that are 1."""
+    hot = [c for c in df.columns if c not in numeric]
+    # cut in runs: one expression of some hundred branches would not compile to one method
+    runs = [F.filter(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in hot[a:a + 50]]), lambda x: x.isNotNull()) for a in range(0, len(hot), 50)]
+    ones = F.concat_ws(",", F.array_sort(F.concat(*runs))) if runs else F.lit("")
+    return df.select(*numeric, F.lit(len(hot)).cast("bigint").alias("n_columns"), ones.alias("ones"))
 
 
 @query("preprocess_full", GAPPY + full_prep_sql("visits_gappy", "visits_gappy", True) + FULL_FINAL)
 def preprocess_full(spark, sf):
     out, _ = P.fit_transform(V.visits_gappy(spark, sf), "wait_min", P.PrepOptions(), ROLES)
-    return round_doubles(out)
+    return _ones(round_doubles(out), [*_FULL_NUM, "wait_min"])
 
 
 _SPLIT_V = f"""sv AS (SELECT *, {SPLIT_SQL.format(id="visit_id")} AS split FROM visits_gappy),
@@ -289,7 +326,30 @@ def preprocess_apply(spark, sf):
     train = v.filter(F.col("split") == "train").drop("split")
     test = v.filter(F.col("split") == "test").drop("split")
     model = P.fit(train, "wait_min", P.PrepOptions(), ROLES)
-    return round_doubles(model.apply(test))
+    return _ones(round_doubles(model.apply(test)), [*_FULL_NUM, "wait_min"])
+
+
+_WIDE_NUM = ["triage_time_min", "registration_time_min"]
+_WIDE = with_views("visits_gappy", extra="""wide AS (
+  SELECT visit_id AS row_no, CASE WHEN visit_id % 11 <> 0 THEN 'P' || CAST(patient_id AS VARCHAR) END AS patient,
+         urgency_level, triage_time_min, registration_time_min, wait_min FROM visits_gappy)""")
+
+
+def wide_visits(spark, sf):
+    """Visits with the patient, of any number, as a category with gaps."""
+    patient = F.when(F.col("visit_id") % 11 != 0, F.concat(F.lit("P"), F.col("patient_id").cast("string")))
+    return V.visits_gappy(spark, sf).select(
+        F.col("visit_id").alias("row_no"), patient.alias("patient"), "urgency_level", *_WIDE_NUM, "wait_min")
+
+
+@query("preprocess_wide", _WIDE + _ct_sql("wide", "row_no", _WIDE_NUM, {"urgency_level": ["Critical", "High", "Low", "Medium"]}, [
+    "(SELECT pos FROM (SELECT patient AS p, row_number() OVER (ORDER BY patient) - 2 AS pos FROM wide WHERE patient IS NOT NULL GROUP BY patient) "
+    "WHERE p = coalesce(patient, (SELECT patient FROM wide WHERE patient IS NOT NULL GROUP BY patient ORDER BY count(*) DESC, patient LIMIT 1))) "
+    "AS patient_position", "wait_min"]))
+def preprocess_wide(spark, sf):
+    v = wide_visits(spark, sf)
+    options = P.PrepOptions(feature_engineering=False, outlier_detection=False)
+    return round_doubles(P.fit(v.drop("row_no"), "wait_min", options).apply(v, keep=["row_no"]))
 
 
 @query("preprocess_summary", GAPPY + full_prep_sql("visits_gappy", "visits_gappy", True) + f"""

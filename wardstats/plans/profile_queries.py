@@ -199,6 +199,19 @@ def histogram_30(spark, sf):
     return B.histogram(V.visits(spark, sf), "wait_min", 30)
 
 
+@query("histogram_null_group", with_views("visits_gappy") + """,
+d AS (SELECT urgency_level, wait_min AS x FROM visits_gappy WHERE wait_min IS NOT NULL),
+st AS (SELECT min(x) AS mn, max(x) AS mx FROM d),
+c AS (SELECT urgency_level, CAST(CASE WHEN mx > mn THEN least(floor((x - mn) / (mx - mn) * 10), 9) ELSE 0 END AS INTEGER) AS bin, count(*) AS n
+      FROM d, st GROUP BY ALL),
+g AS (SELECT urgency_level, CAST(unnest(range(10)) AS INTEGER) AS bin FROM (SELECT DISTINCT urgency_level FROM d))
+SELECT g.urgency_level, g.bin, round(mn + g.bin * ((mx - mn) / 10), 6) AS lower,
+       round(CASE WHEN g.bin = 9 THEN mx ELSE mn + (g.bin + 1) * ((mx - mn) / 10) END, 6) AS upper, coalesce(n, 0) AS count
+FROM st, g LEFT JOIN c ON c.urgency_level IS NOT DISTINCT FROM g.urgency_level AND c.bin = g.bin""")
+def histogram_null_group(spark, sf):
+    return B.histogram(V.visits_gappy(spark, sf), "wait_min", 10, keys=["urgency_level"])
+
+
 @query("histogram_overlay", with_views("scored", extra="""ov AS (
   SELECT 'actual' AS series, y_true AS value FROM scored WHERE split = 'test' AND model = 'a'
   UNION ALL SELECT 'predicted', y_pred FROM scored WHERE split = 'test' AND model = 'a')""") + ","
