@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from wardstats.functions.joins import lookup_join, with_scalars
 from wardstats.functions.percentiles import grouped, percentile_of
-from wardstats.functions.stats import corr, count_if, r6, std1
+from wardstats.functions.stats import count_if, r6, std1
 from wardstats.operators.evaluate import hash_bucket
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -194,15 +194,25 @@ def ordered_counts(df: DataFrame, col: str, categories, where: Column | None = N
 
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Pearson correlation of every ordered pair (long form), pairwise
-    complete rows as in pandas; all pairs in one aggregate."""
-    cols = cols or numeric_columns(df)
+    complete rows as in pandas; NULL where a side is constant. One pass: each
+    row gives its complete pairs, which meet in a running aggregate of three
+    moments per pair inside every task; only one row per pair leaves it."""
+    cols = list(cols or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[corr(a, b).alias(f"{a}__{b}") for a, b in pairs],
-                  F.lit(1.0).alias("_one"))
-    items = [f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs] + [f"'{b}', '{a}', `{a}__{b}`" for a, b in pairs] + \
-            [f"'{c}', '{c}', _one" for c in cols]
-    long = wide.selectExpr(f"stack({len(items)}, {', '.join(items)}) as (col_a, col_b, corr)")
-    return long.select("col_a", "col_b", r6("corr").alias("corr"))
+    told = F.lit(None).cast("map<int,double>")
+    base = df.select(F.lit(1).alias("_one")).limit(1)
+    if pairs:
+        x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+        place = {c: f"_x{i}" for i, c in enumerate(cols)}
+        rows = x.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(place[a]).alias("a"), F.col(place[b]).alias("b")) for k, (a, b) in enumerate(pairs)])))
+        each = rows.where("a IS NOT NULL AND b IS NOT NULL").groupBy("k").agg(
+            F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("corr"))
+        base, told = each.agg(F.map_from_entries(F.collect_list(F.struct("k", "corr"))).alias("_told")), F.col("_told")
+    order = [(a, b, k) for k, (a, b) in enumerate(pairs)] + [(b, a, k) for k, (a, b) in enumerate(pairs)] + [(c, c, -1) for c in cols]
+    names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(k).alias("k")) for a, b, k in order])
+    long = base.select(told.alias("_told"), F.inline(names))
+    corr_ = F.when(F.col("k") < 0, F.lit(1.0)).otherwise(F.try_element_at("_told", "k"))
+    return long.select("col_a", "col_b", r6(corr_).alias("corr"))
 
 
 # Name keywords of outcome-like columns.
