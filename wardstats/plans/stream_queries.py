@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardstats.functions.stats import pct, thr
+from wardstats.functions.percentiles import grouped, percentile_of
+from wardstats.functions.stats import thr
 from wardstats.operators import models as G
 from wardstats.operators import prep as P
 from wardstats.plans import views as V
@@ -26,7 +27,7 @@ def _pred_a(df):
 def fitted_thresholds(spark, sf) -> list[tuple[float, str]]:
     """Batch fit: percentiles of model `a` on the test split (three numbers)."""
     s = V.scored(spark, sf).filter((F.col("split") == "test") & (F.col("model") == "a"))
-    row = s.agg(pct("y_pred", [p / 100 for p, _ in LEVELS]).alias("q")).select(
+    row = grouped(s, [], percentile_of("y_pred", [p / 100 for p, _ in LEVELS]).alias("q")).select(
         *[thr(F.col("q")[i]).alias(f"t{i}") for i in range(len(LEVELS))]).first()
     return [(row[f"t{i}"], lvl) for i, (_, lvl) in enumerate(LEVELS)]
 
