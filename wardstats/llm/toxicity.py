@@ -43,8 +43,8 @@ PREFIXES = (4, 5)
 #: Labelled rows that a fit reads at most; the likelihood ratio a term must
 #: have, and a pair beyond its terms; the share of rows that has a paired term.
 MAX_LABELLED, MIN_RATIO, MIN_PAIR_RATIO, PAIR_SHARE = 20_000, 30.0, 40.0, 0.02
-#: Terms that are paired with all others at one time.
-PAIR_BLOCK = 512
+#: Terms that are paired with all others at one time, rows that are multiplied at one time.
+PAIR_BLOCK, PAIR_ROWS = 128, 1024
 RANK, EPOCHS, BATCH, STEP, SHRINK = 4, 150, 512, 0.05, 2e-5
 
 _U = np.uint64
@@ -121,21 +121,29 @@ def pair_gain(has: np.ndarray, label: np.ndarray, block: int = PAIR_BLOCK) -> It
     """For blocks of the terms (columns of ``has``, rows x terms) and all
     terms: how much more the four cells of a pair tell about the label than
     its two terms do, in G squared."""
-    one, rest = has[label == 1].astype(np.float32), has[label != 1].astype(np.float32)
-    t1, t0 = float(len(one)), float(len(rest))
+    toxic = label == 1
+    t1, t0 = float(toxic.sum()), float((~toxic).sum())
     share = t1 / max(t1 + t0, 1)
 
     def told(n1, n0):
         return 2 * (_part(n1, (n1 + n0) * share) + _part(n0, (n1 + n0) * (1 - share)))
 
-    s1, s0 = one.sum(0, dtype=np.float64), rest.sum(0, dtype=np.float64)
+    s1, s0 = (has[x].sum(0, dtype=np.int64).astype(np.float64) for x in (toxic, ~toxic))
     alone = told(s1, s0) + told(t1 - s1, t0 - s0)
     for at in range(0, has.shape[1], block):
         mine = slice(at, at + block)
-        b1, b0 = (one[:, mine].T @ one).astype(np.float64), (rest[:, mine].T @ rest).astype(np.float64)
+        both = np.zeros((2, len(s1[mine]), len(s1)), np.float32)  # counts of rows: exact
+        for rows in (slice(r, r + PAIR_ROWS) for r in range(0, len(has), PAIR_ROWS)):
+            x = has[rows].astype(np.float32)
+            for k, which in enumerate((toxic[rows], ~toxic[rows])):
+                both[k] += x[which, mine].T @ x[which]
+        b1, b0 = both.astype(np.float64)
         a1, a0 = s1[mine, None], s0[mine, None]
-        cells = told(b1, b0) + told(a1 - b1, a0 - b0) + told(s1 - b1, s0 - b0) + told(t1 - a1 - s1 + b1, t0 - a0 - s0 + b0)
-        yield mine, cells - alone[mine, None] - alone
+        gain = told(b1, b0)
+        gain += told(a1 - b1, a0 - b0)
+        gain += told(s1 - b1, s0 - b0)
+        gain += told(t1 - a1 - s1 + b1, t0 - a0 - s0 + b0)
+        yield mine, gain - alone[mine, None] - alone
 
 
 def _telling(terms: DataFrame, among: np.ndarray | None, min_ratio: float, share: float) -> tuple[np.ndarray, np.ndarray]:
