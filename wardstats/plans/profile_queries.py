@@ -199,6 +199,13 @@ def histogram_30(spark, sf):
     return B.histogram(V.visits(spark, sf), "wait_min", 30)
 
 
+@query("residual_histogram", with_views("scored", extra="rs AS (SELECT model, y_true - y_pred AS residual FROM scored)") + ","
+       + _hist_sql("rs", "residual", ["model"]))
+def residual_histogram(spark, sf):
+    s = V.scored(spark, sf).select("model", (F.col("y_true") - F.col("y_pred")).alias("residual"))
+    return B.histogram(s, "residual", 30, keys=["model"])
+
+
 @query("histogram_null_group", with_views("visits_gappy") + """,
 d AS (SELECT urgency_level, wait_min AS x FROM visits_gappy WHERE wait_min IS NOT NULL),
 st AS (SELECT min(x) AS mn, max(x) AS mx FROM d),
