@@ -44,7 +44,7 @@ PREFIXES = (4, 5)
 #: have, and a pair beyond its terms; the share of rows that has a paired term.
 MAX_LABELLED, MIN_RATIO, MIN_PAIR_RATIO, PAIR_SHARE = 20_000, 30.0, 40.0, 0.02
 #: Terms that are paired with all others at one time, rows that are multiplied at one time.
-PAIR_BLOCK, PAIR_ROWS = 128, 1024
+PAIR_BLOCK, PAIR_ROWS = 256, 1024
 RANK, EPOCHS, BATCH, STEP, SHRINK = 4, 150, 512, 0.05, 2e-5
 
 _U = np.uint64
@@ -89,61 +89,68 @@ def train(rows: int, of: np.ndarray, term: np.ndarray, label: np.ndarray, slots:
     if not 0 < toxic < 1:
         return Machine(slots, float(np.clip(np.log(max(toxic, 1e-12) / max(1 - toxic, 1e-12)), -30, 30)), np.zeros(len(slots)), np.zeros((len(slots), RANK)))
     rng = np.random.default_rng(7)
-    bias, w, v = float(np.log(toxic / (1 - toxic))), np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), RANK))
-    seen_b, seen_w, seen_v = 1e-6, np.full(len(slots), 1e-6), np.full((len(slots), RANK), 1e-6)
+    bias, w, v = float(np.log(toxic / (1 - toxic))), np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), RANK)).T.copy()
+    seen_b, seen_w, seen_v = 1e-6, np.full(len(slots), 1e-6), np.full((RANK, len(slots)), 1e-6)
     begin = np.searchsorted(of, np.arange(rows + 1))
     for _ in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, rows, BATCH):
             batch = order[at:at + BATCH]
             count = begin[batch + 1] - begin[batch]
-            r = np.repeat(np.arange(len(batch)), count)
-            t = term[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[batch], count)]
-            sums = np.stack([np.bincount(r, v[t, k], len(batch)) for k in range(RANK)], 1)
-            squares = np.bincount(r, (v[t] ** 2).sum(1), len(batch))
-            logit = bias + np.bincount(r, w[t], len(batch)) + 0.5 * ((sums ** 2).sum(1) - squares)
+            first = np.cumsum(count) - count
+            t = term[np.arange(count.sum()) + np.repeat(begin[batch] - first, count)]
+            full = np.flatnonzero(count)
+
+            def by_row(value):
+                out = np.zeros(len(batch))
+                if len(full):
+                    out[full] = np.add.reduceat(value[t], first[full])
+                return out
+
+            sums = [by_row(x) for x in v]
+            logit = bias + by_row(w) + 0.5 * (sum(x * x for x in sums) - by_row((v ** 2).sum(0)))
             error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[batch]
+            by_term = [np.bincount(t, np.repeat(x, count), len(w)) for x in (error, *(error * x for x in sums))]
             gb = error.sum()
-            gw = np.bincount(t, error[r], len(w)) + SHRINK * len(batch) * w
-            gv = np.stack([np.bincount(t, error[r] * (sums[r, k] - v[t, k]), len(w)) for k in range(RANK)], 1) + SHRINK * len(batch) * v
+            gw = by_term[0] + SHRINK * len(batch) * w
+            gv = np.stack(by_term[1:]) - by_term[0] * v + SHRINK * len(batch) * v
             seen_b, seen_w, seen_v = seen_b + gb * gb, seen_w + gw * gw, seen_v + gv * gv
             bias -= STEP * 4 * gb / np.sqrt(seen_b)
             w -= STEP * 8 * gw / np.sqrt(seen_w)
             v -= STEP * gv / np.sqrt(seen_v)
-    return Machine(slots, bias, w, v)
-
-
-def _part(n, e):
-    return np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(e, 1e-9)), 0)
+    return Machine(slots, bias, w, v.T.copy())
 
 
 def pair_gain(has: np.ndarray, label: np.ndarray, block: int = PAIR_BLOCK) -> Iterator[tuple[slice, np.ndarray]]:
     """For blocks of the terms (columns of ``has``, rows x terms) and all
     terms: how much more the four cells of a pair tell about the label than
-    its two terms do, in G squared."""
-    toxic = label == 1
-    t1, t0 = float(toxic.sum()), float((~toxic).sum())
-    share = t1 / max(t1 + t0, 1)
-
-    def told(n1, n0):
-        return 2 * (_part(n1, (n1 + n0) * share) + _part(n0, (n1 + n0) * (1 - share)))
-
-    s1, s0 = (has[x].sum(0, dtype=np.int64).astype(np.float64) for x in (toxic, ~toxic))
-    alone = told(s1, s0) + told(t1 - s1, t0 - s0)
+    its two terms do, in G squared. With n log n of all counts in a table, a
+    cell's part is three look-ups; what depends on the totals cancels out."""
+    kinds = [has[label == 1], has[label != 1]]
+    t1, t0 = (len(x) for x in kinds)
+    n = np.arange(t1 + t0 + 1)
+    table = n * np.log(np.maximum(n, 1))
+
+    def cell(n1, n0):
+        return table[n1] + table[n0] - table[n1 + n0]
+
+    s1, s0 = (x.sum(0, dtype=np.int32) for x in kinds)
+    alone = cell(s1, s0) + cell(t1 - s1, t0 - s0)
     for at in range(0, has.shape[1], block):
         mine = slice(at, at + block)
-        both = np.zeros((2, len(s1[mine]), len(s1)), np.float32)  # counts of rows: exact
-        for rows in (slice(r, r + PAIR_ROWS) for r in range(0, len(has), PAIR_ROWS)):
-            x = has[rows].astype(np.float32)
-            for k, which in enumerate((toxic[rows], ~toxic[rows])):
-                both[k] += x[which, mine].T @ x[which]
-        b1, b0 = both.astype(np.float64)
+        both = []
+        for x in kinds:
+            count = np.zeros((len(s1[mine]), len(s1)), np.float32)  # counts of rows: exact
+            for rows in (x[r:r + PAIR_ROWS].astype(np.float32) for r in range(0, len(x), PAIR_ROWS)):
+                count += rows[:, mine].T @ rows
+            both.append(count.astype(np.int32))
+        b1, b0 = both
         a1, a0 = s1[mine, None], s0[mine, None]
-        gain = told(b1, b0)
-        gain += told(a1 - b1, a0 - b0)
-        gain += told(s1 - b1, s0 - b0)
-        gain += told(t1 - a1 - s1 + b1, t0 - a0 - s0 + b0)
-        yield mine, gain - alone[mine, None] - alone
+        gain = cell(b1, b0)
+        gain += cell(a1 - b1, a0 - b0)
+        gain += cell(s1 - b1, s0 - b0)
+        gain += cell(t1 - a1 - s1 + b1, t0 - a0 - s0 + b0)
+        yield mine, 2 * (gain - alone[mine, None] - alone + cell(t1, t0))
 
 
 def _telling(terms: DataFrame, among: np.ndarray | None, min_ratio: float, share: float) -> tuple[np.ndarray, np.ndarray]:
