@@ -22,7 +22,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+                                   LinearRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,10 +67,7 @@ def estimator(name: str, features: str = "features", label: str = "label", seed:
         p.update(kw)
         return LinearRegression(featuresCol=features, labelCol=label, **p)
     if name == KERNEL:
-        # re-aimed: a robust linear fit on random Fourier features (see rff_columns)
-        p = dict(loss="huber", regParam=1.0 / 8000, maxIter=100)
-        p.update(kw)
-        return LinearRegression(featuresCol=features, labelCol=label, **p)
+        raise ValueError("the kernel model is fitted by insensitive_fit on random Fourier features")
     if name == "Decision Tree":
         p = dict(maxDepth=10)
         p.update(kw)
@@ -106,9 +103,10 @@ def scale_columns(df: DataFrame, cols, fit_df: DataFrame) -> DataFrame:
     return j.withColumns(new).drop(*st.columns)
 
 
-def random_draws(src: DataFrame, cols, n_components: int, seed: int) -> tuple[list, list, float]:
+def random_draws(src: DataFrame, cols, n_components: int, seed: int, gamma: float | str = "scale") -> tuple[list, list, float]:
     """Weights, shifts and scale of the random features (see
-    :func:`rff_columns`), with gamma from the moments of ``src``."""
+    :func:`rff_columns`); gamma 'scale' comes from the moments of ``src``,
+    'auto' is 1 / number of features."""
     import random
 
     # Var(X) over all feature values, from per-column first and second
@@ -118,7 +116,10 @@ def random_draws(src: DataFrame, cols, n_components: int, seed: int) -> tuple[li
     n = len(cols)
     ex2 = sum((mom[f"s{i}"] or 0.0) for i in range(n)) / n
     ex = sum((mom[f"m{i}"] or 0.0) for i in range(n)) / n
-    gamma = 1.0 / (n * max(ex2 - ex * ex, 1e-12))
+    if gamma == "scale":
+        gamma = 1.0 / (n * max(ex2 - ex * ex, 1e-12))
+    elif gamma == "auto":
+        gamma = 1.0 / n
     rng = random.Random(seed)
     weights, shifts = [], []
     for _ in range(n_components):
@@ -127,12 +128,12 @@ def random_draws(src: DataFrame, cols, n_components: int, seed: int) -> tuple[li
     return weights, shifts, math.sqrt(2.0 / n_components)
 
 
-def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit_df: DataFrame | None = None):
+def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit_df: DataFrame | None = None, gamma: float | str = "scale"):
     """Random Fourier features for an RBF kernel (Rahimi & Recht, 2007):
     z_k(x) = sqrt(2/D)·cos(w_k·x + b_k), w ~ N(0, 2γ), b ~ U(0, 2π), with
     γ = 1/(n_features·Var(X)) (sklearn's 'scale'). The random draws are
     literals of the plan, so every task computes the same features."""
-    weights, shifts, scale = random_draws(fit_df if fit_df is not None else df, cols, n_components, seed)
+    weights, shifts, scale = random_draws(fit_df if fit_df is not None else df, cols, n_components, seed, gamma)
     exprs = []
     for k, (ws, shift) in enumerate(zip(weights, shifts)):
         dot = sum((F.col(c) * F.lit(wi) for c, wi in zip(cols, ws)), F.lit(shift))
@@ -154,8 +155,58 @@ def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
+# ---------------------------------------------------------------- epsilon-insensitive fit
+
+def insensitive_fit(rows: DataFrame, c: float = 1.0, epsilon: float = 0.1, features: str = "features", label: str = "label",
+                    max_iter: int = 40, tol: float = 1e-3) -> LinearRegressionModel:
+    """The linear model of ½|w|² + C · sum of max(0, |y - w·x - b| - epsilon)
+    (support vector regression) by weighted least squares. With the residual r
+    the loss is ½(|r - epsilon| + |r + epsilon|) - epsilon; each absolute value
+    lies under the parabola that touches it at the last residual, so a ridge
+    fit with row weights C/2 · (1/|r - epsilon| + 1/|r + epsilon|) never raises
+    the loss. A step is two aggregates over the rows (loss and the weighted
+    label's spread; the Gram matrix); it stops when the loss falls by less than
+    ``tol`` of itself, or after ``max_iter`` steps."""
+    y = F.col(label)
+    first = rows.agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
+    if not first["n"]:
+        raise ValueError("no labelled rows")
+    floor = max(1e-4 * (first["s"] or 0.0), 1e-9)
+    model, last = None, math.inf
+    best = None
+    for step in range(max_iter + 1):
+        if model is None:
+            at, norm = rows.withColumn("_f", F.lit(float(first["m"]))), 0.0
+        else:
+            at, norm = model.setPredictionCol("_f").transform(rows), float(sum(v * v for v in model.coefficients.toArray()))
+        r = y - F.col("_f")
+        low, high = (F.lit(1.0) / F.greatest(F.abs(r + F.lit(e)), F.lit(floor)) for e in (-float(epsilon), float(epsilon)))
+        at = at.select(features, (y - F.lit(float(epsilon)) * (low - high) / (low + high)).alias("_y"),
+                       (F.lit(c / 2) * (low + high)).alias("_w"), F.greatest(F.lit(0.0), F.abs(r) - F.lit(float(epsilon))).alias("_l"))
+        moved = F.col("_y") - F.lit(float(first["m"]))
+        sums = at.agg(F.sum("_w").alias("w"), F.sum("_l").alias("l"), F.sum(F.col("_w") * moved).alias("y"), F.sum(F.col("_w") * moved * moved).alias("yy")).first()
+        loss = 0.5 * norm + c * sums["l"]
+        if best is None or loss < best[0]:
+            best = (loss, model)
+        if step == max_iter or last - loss <= tol * max(abs(loss), 1e-12):
+            if model is not None:
+                break
+        last = loss
+        # Spark divides the penalty by the weighted label's spread: give it times that
+        spread = math.sqrt(max(sums["yy"] / sums["w"] - (sums["y"] / sums["w"]) ** 2, 0.0))
+        model = LinearRegression(featuresCol=features, labelCol="_y", weightCol="_w", solver="normal", standardization=False,
+                                 elasticNetParam=0.0, regParam=(spread or 1.0) / sums["w"]).fit(at)
+    return (best[1] or model).setPredictionCol("prediction")
+
+
 # ---------------------------------------------------------------- train / predict
 
+def _insensitive(params: dict) -> dict:
+    """Keyword arguments of :func:`insensitive_fit` from the kernel model's
+    parameters (C, epsilon, and its own max_iter and tol)."""
+    return {("c" if k == "C" else k): v for k, v in params.items()}
+
+
 @dataclass
 class Trained:
     name: str
@@ -180,13 +231,12 @@ def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "
         data = scale_columns(data, feats, train)
         train = data.filter(F.col(split) == "train")
     if name == KERNEL:
-        data, feats = rff_columns(data, feats, options.rff_components, options.random_state, train)
+        data, feats = rff_columns(data, feats, options.rff_components, options.random_state, train, params.pop("gamma", "scale"))
         train = data.filter(F.col(split) == "train")
     data = assemble(data, feats)
     train = data.filter(F.col(split) == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    est = estimator(name, seed=options.random_state, **params)
     t0 = time.time()
-    model = est.fit(train)
+    model = insensitive_fit(train, **_insensitive(params)) if name == KERNEL else estimator(name, seed=options.random_state, **params).fit(train)
     secs = time.time() - t0
     train.unpersist()
     pred = model.transform(data)
@@ -223,13 +273,19 @@ def fit_pipeline(train: DataFrame, features, target: str, name: str, options: Tr
         steps.append(f"{value} AS _x{i}")
     stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(steps)} FROM __THIS__"))
     if name == KERNEL:
-        weights, shifts, scale = random_draws(stages[0].transform(data), inputs, options.rff_components, options.random_state)
+        weights, shifts, scale = random_draws(stages[0].transform(data), inputs, options.rff_components, options.random_state, params.pop("gamma", "scale"))
         waves = [f"{scale!r}D * cos({shift!r}D + " + " + ".join(f"{w!r}D * _x{i}" for i, w in enumerate(ws)) + f") AS _z{k}"
                  for k, (ws, shift) in enumerate(zip(weights, shifts))]
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(waves)} FROM __THIS__"))
         inputs = [f"_z{k}" for k in range(len(waves))]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"), estimator(name, seed=options.random_state, **params)]
-    return Pipeline(stages=stages).fit(data)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    if name == KERNEL:
+        rows = PipelineModel(stages).transform(data).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return PipelineModel([*stages, insensitive_fit(rows, **_insensitive(params))])
+        finally:
+            rows.unpersist()
+    return Pipeline(stages=[*stages, estimator(name, seed=options.random_state, **params)]).fit(data)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -321,9 +377,10 @@ def refit_scores(df: DataFrame, features, target: str, name: str, folds: int = 5
 
 def train_models(df: DataFrame, features, target: str, names=(RANDOM_FOREST, BOOSTING, LINEAR, KERNEL),
                  id_col: str = "id", split: str = "split", options: TrainOptions = TrainOptions(),
-                 dataset: str = "dataset", session: str = "session_1") -> TrainResult:
+                 dataset: str = "dataset", session: str = "session_1", grids: dict | None = None) -> TrainResult:
     """Train several models and cross-validate each by refitting it per
-    fold. The comparison rows follow the comparison page's schema, with
+    fold. ``enable_tuning`` first searches each model's grid (``grids`` by
+    model, else the reference's) and takes its best point. The comparison rows follow the comparison page's schema, with
     measured training time. A model that fails has no scored rows; its row in
     ``status`` says why. ``ValueError`` if all fail."""
     from concurrent.futures import ThreadPoolExecutor
@@ -334,8 +391,13 @@ def train_models(df: DataFrame, features, target: str, names=(RANDOM_FOREST, BOO
 
     def one(n):
         try:
-            scored, trained = fit_predict(df, features, target, n, id_col, split, options)
-            r2 = [r["r2"] for r in refit_scores(df, features, target, n, options.cv_folds, id_col, split, options).collect() if r["r2"] is not None]
+            params = {}
+            if options.enable_tuning:
+                from wardstats.operators.tuning import best_params
+
+                params = best_params(df, features, target, n, (grids or {}).get(n), options.cv_folds, id_col, split, options)
+            scored, trained = fit_predict(df, features, target, n, id_col, split, options, **params)
+            r2 = [r["r2"] for r in refit_scores(df, features, target, n, options.cv_folds, id_col, split, options, **params).collect() if r["r2"] is not None]
             mean = sum(r2) / len(r2) if r2 else None
             spread = math.sqrt(sum((x - mean) ** 2 for x in r2) / len(r2)) if r2 else None
             return n, scored, trained, (dataset, n, mean, spread, len(r2)), None
