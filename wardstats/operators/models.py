@@ -158,7 +158,7 @@ def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 # ---------------------------------------------------------------- epsilon-insensitive fit
 
 def insensitive_fit(rows: DataFrame, c: float = 1.0, epsilon: float = 0.1, features: str = "features", label: str = "label",
-                    max_iter: int = 40, tol: float = 1e-3) -> LinearRegressionModel:
+                    max_iter: int = 15, tol: float = 1e-3) -> LinearRegressionModel:
     """The linear model of ½|w|² + C · sum of max(0, |y - w·x - b| - epsilon)
     (support vector regression) by weighted least squares. With the residual r
     the loss is ½(|r - epsilon| + |r + epsilon|) - epsilon; each absolute value

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wardstats.plans import views as V
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import with_views
@@ -33,3 +35,29 @@ SELECT visit_id, coalesce(event_type, 'nan') AS event_type, coalesce(urgency_lev
        coalesce(region, 'nan') AS region FROM visits_gappy""")
 def stringify_nulls(spark, sf):
     return A.stringify_nulls(V.visits_gappy(spark, sf).select("visit_id", "event_type", "urgency_level", "region"))
+
+
+def _visits_csv(spark, sf):
+    """The visits as CSV text in which every 50th row's wait is no number
+    (bad rows derived from the table, as the driver's files hold none)."""
+    v = V.visits(spark, sf).select("visit_id", "event_type", "wait_min", "patient_load", "region")
+    v = v.withColumn("wait_min", F.when(F.col("visit_id") % 50 == 7, "n/a").otherwise(F.col("wait_min").cast("string")))
+    return A.write_csv(v, A.scratch_path(spark, "visits-csv"))
+
+
+@query("csv_inferred", with_views("visits") + "SELECT visit_id, event_type, wait_min, patient_load, region FROM visits WHERE visit_id % 50 <> 7")
+def csv_inferred(spark, sf):
+    return A.read_csv_checked(spark, _visits_csv(spark, sf))[0]
+
+
+@query("csv_rejects", with_views("visits") + "SELECT CAST(visit_id AS VARCHAR) AS visit_id, 'wait_min' AS bad_columns FROM visits WHERE visit_id % 50 = 7")
+def csv_rejects(spark, sf):
+    bad = A.read_csv_checked(spark, _visits_csv(spark, sf))[1]
+    return bad.select(F.split(A.REJECT, ",")[0].alias("visit_id"), F.array_join("_columns", ",").alias("bad_columns"))
+
+
+@query("published_visits", with_views("visits") + "SELECT region, CAST(count(*) AS BIGINT) AS n_visits FROM visits GROUP BY region")
+def published_visits(spark, sf):
+    path = A.scratch_path(spark, "published")
+    A.publish(V.visits(spark, sf).groupBy("region").agg(F.count(F.lit(1)).alias("n_visits")), path)
+    return A.read_published(spark, path)
