@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from wardstats.functions.session import ensure_checkpoint_dir
 from wardstats.functions.stats import r6, std0
 from wardstats.operators.evaluate import fold_col, hash_bucket
+from wardstats.sources.files import stored_rows
 
 # Model names and hyper-parameters of the reference models.
 RANDOM_FOREST = "Random Forest"
@@ -234,11 +235,16 @@ def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "
         data, feats = rff_columns(data, feats, options.rff_components, options.random_state, train, params.pop("gamma", "scale"))
         train = data.filter(F.col(split) == "train")
     data = assemble(data, feats)
-    train = data.filter(F.col(split) == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    train = data.filter(F.col(split) == "train")
     t0 = time.time()
-    model = insensitive_fit(train, **_insensitive(params)) if name == KERNEL else estimator(name, seed=options.random_state, **params).fit(train)
+    if name == KERNEL:
+        with stored_rows(train.select("features", "label"), "kernel-rows") as rows:
+            model = insensitive_fit(rows, **_insensitive(params))
+    else:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        model = estimator(name, seed=options.random_state, **params).fit(train)
+        train.unpersist()
     secs = time.time() - t0
-    train.unpersist()
     pred = model.transform(data)
     scored = pred.select(id_col, F.lit(name).alias("model"), split, F.col("label").alias("y_true"),
                          F.col("prediction").alias("y_pred"))
@@ -280,11 +286,8 @@ def fit_pipeline(train: DataFrame, features, target: str, name: str, options: Tr
         inputs = [f"_z{k}" for k in range(len(waves))]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     if name == KERNEL:
-        rows = PipelineModel(stages).transform(data).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with stored_rows(PipelineModel(stages).transform(data).select("features", "label"), "kernel-rows") as rows:
             return PipelineModel([*stages, insensitive_fit(rows, **_insensitive(params))])
-        finally:
-            rows.unpersist()
     return Pipeline(stages=[*stages, estimator(name, seed=options.random_state, **params)]).fit(data)
 
 

@@ -11,7 +11,10 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "wardstats", f"{name}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def stored_rows(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared scratch folder and read back for the time
+    of a ``with``, cached (memory and disk): for iterative fits, whose many
+    jobs then plan a bare scan instead of everything ``df`` was made by. The
+    folder goes at the end; a lost executor's blocks are read again from it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # Timestamps keep microseconds in CSV text (Spark's default writes millis).
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TS_OPTIONS = {"timestampFormat": TS_FORMAT + "XXX", "timestampNTZFormat": TS_FORMAT}
