@@ -63,3 +63,23 @@ def test_all_models_failing_is_an_error(spark):
 
     with pytest.raises(ValueError, match="no model could be trained"):
         G.train_models(model_input(spark, SF_SMALL), MODEL_FEATURES, "wait_min", names=("no such model",))
+
+
+def test_outlier_handling_inside_training(spark):
+    """A line with two wild training rows: taken away, the fit is exact; test
+    rows are scored whatever they are; a tenth or more outliers stay."""
+    line = [(i, "train" if i % 5 else "test", float(i % 20), 2.0 * (i % 20) + 1) for i in range(100)]
+    wild = [(200, "train", 500.0, 0.0), (201, "train", -400.0, 90.0), (202, "test", 300.0, 0.0)]
+    df = spark.createDataFrame(line + wild, "id int, split string, x double, y double")
+    options = G.TrainOptions(handle_outliers=True, scale_features=False)
+    scored, trained = G.fit_predict(df, ["x"], "y", G.LINEAR, options=options)
+    assert abs(trained.model.coefficients[0] - 2.0) < 1e-6 and abs(trained.model.intercept - 1.0) < 1e-6
+    ids = {r.id for r in scored.collect()}
+    assert 202 in ids and not ids & {200, 201}
+    stored = G.fit_pipeline(df.filter("split = 'train'"), ["x"], "y", G.LINEAR, options)
+    assert abs(stored.stages[-1].coefficients[0] - 2.0) < 1e-6
+    plain, _ = G.fit_predict(df, ["x"], "y", G.LINEAR, options=G.TrainOptions(scale_features=False))
+    assert {200, 201} <= {r.id for r in plain.collect()}
+    many = spark.createDataFrame(line + [(300 + i, "train", 900.0 + i, 0.0) for i in range(20)], df.schema)
+    kept, _ = G.fit_predict(many, ["x"], "y", G.LINEAR, options=options)
+    assert kept.filter("id >= 300").count() == 20

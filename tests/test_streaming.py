@@ -41,3 +41,29 @@ def test_stream_tagging_equals_batch(spark):
 def test_scratch_output_under_checkpoint_dir(spark):
     root = checkpoint_dir(spark)
     assert root and scratch_path(spark, "x").replace("file:", "").startswith(root.replace("file:", ""))
+
+
+def test_counts_add_up_over_batches_and_late_rows_are_kept(spark):
+    """Two files, two micro-batches: the second holds a row of a day that the
+    first has closed, one of an open day, one of a new day, and one without a
+    time."""
+    folder = scratch_path(spark, "two-files")
+    first = [(1, "2024-01-01 10:00:00", 50.0), (2, "2024-01-03 10:00:00", 200.0), (3, "2024-01-03 11:00:00", 1.0)]
+    second = [(4, "2024-01-01 12:00:00", 90.0), (5, "2024-01-03 09:00:00", 90.0), (6, "2024-01-04 01:00:00", 10.0), (7, None, 10.0)]
+    for part in (first, second):
+        df = spark.createDataFrame(part, "visit_id int, ts string, v double").withColumn("visit_ts", F.col("ts").cast("timestamp_ntz"))
+        df.drop("ts").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("visit_id int, v double, visit_ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(folder)
+    counts, late = M.run_counts(M.tag_alerts(stream, "v", THRESHOLDS), "two_batches", "visit_ts", "alert_level", LEVELS)
+    got = {str(r.day)[:10]: (r.n, r.n_information, r.n_warning, r.n_critical)
+           for r in counts.select(M.utc_day_text(F.col("w.start")).alias("day"), "*").collect()}
+    assert got == {"2024-01-01": (1, 1, 0, 0), "2024-01-03": (3, 0, 1, 1), "2024-01-04": (1, 0, 0, 0)}
+    assert [(r.visit_id, r.alert_level, r.epoch) for r in late.collect()] == [(4, "Warning", 1)]
+
+
+def test_counts_of_one_batch_equal_the_windowed_aggregate(spark):
+    stream = V.visits_from(M.event_stream(spark, SF_SMALL))
+    counts, late = M.run_counts(_tagged(stream), "one_batch", "visit_ts", "alert_level", LEVELS)
+    batch = M.alert_frequency(_tagged(V.visits(spark, SF_SMALL)), "visit_ts", "alert_level", LEVELS)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, batch.collect()))
+    assert late.count() == 0

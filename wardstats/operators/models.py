@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from wardstats.functions.session import ensure_checkpoint_dir
 from wardstats.functions.stats import r6, std0
 from wardstats.operators.evaluate import fold_col, hash_bucket
+from wardstats.operators.outliers import fence_flag, removal_fences
 from wardstats.sources.files import stored_rows
 
 # Model names and hyper-parameters of the reference models.
@@ -219,11 +220,15 @@ class Trained:
 def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "id", split: str = "split",
                 options: TrainOptions = TrainOptions(), **params) -> tuple[DataFrame, Trained]:
     """Fit model ``name`` on the training rows and score every row.
-    Returns the long scored rows (id, model, split, y_true, y_pred)."""
+    ``handle_outliers`` first takes training rows outside the features' fences
+    away, if they are fewer than a tenth (they are not scored either). Returns the long scored rows (id, model, split, y_true, y_pred)."""
     ensure_checkpoint_dir(df.sparkSession)
     feats = list(features)
     data = df.select(id_col, split, F.col(target).cast("double").alias("label"),
                      *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
+    if options.handle_outliers:
+        fences = removal_fences(data.filter(F.col(split) == "train"), feats)
+        data = data.filter((F.col(split) != "train") | ~fence_flag(fences))
     train = data.filter(F.col(split) == "train")
     if name in (LINEAR, KERNEL):
         data = mean_filled(data, feats, train)
@@ -261,6 +266,8 @@ def fit_pipeline(train: DataFrame, features, target: str, name: str, options: Tr
     ensure_checkpoint_dir(train.sparkSession)
     feats = list(features)
     data = train.select(F.col(target).cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
+    if options.handle_outliers:
+        data = data.filter(~fence_flag(removal_fences(data, feats)))
     x = {c: F.when(~F.isnan(c), F.col(c)) for c in feats}
     row = data.agg(*[a for c, v in x.items() for a in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(F.coalesce(v, F.lit(None))).alias(f"s_{c}"), F.count(v).alias(f"n_{c}"))],
                    F.count(F.lit(1)).alias("_n")).first()

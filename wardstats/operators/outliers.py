@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardstats.functions.joins import with_scalars
 from wardstats.functions.percentiles import grouped, percentile_of
-from wardstats.functions.stats import std1
+from wardstats.functions.stats import count_if, std1
 from wardstats.operators.profile import numeric_columns
 
 
@@ -77,6 +77,16 @@ def remove_outliers_train_only(df: DataFrame, split: str = "split", method: str
     return guarded_removal(train, method, threshold, cols).unionByName(test)
 
 
+def removal_fences(train: DataFrame, cols, threshold: float = 1.5, max_share: float = 0.1) -> dict:
+    """E4 for eager fits: the IQR fences of ``cols`` as numbers (for
+    :func:`fence_flag`), or none if no row or ``max_share`` or more of the
+    rows lie outside. Two aggregates; two rows reach the driver."""
+    row = _iqr_stats(train, cols, threshold).first()
+    fences = {c: (row[f"_{c}_lo"], row[f"_{c}_hi"]) for c in cols}
+    seen = train.agg(count_if(fence_flag(fences)).alias("out"), F.count(F.lit(1)).alias("n")).first()
+    return fences if 0 < (seen["out"] or 0) < seen["n"] * max_share else {}
+
+
 def any_flag(preds) -> Column:
     return reduce(lambda a, b: a | b, preds)
 

@@ -25,6 +25,10 @@ WORDS = {
     "wait_goal": "cut idle steps by 15-25%",
     "risk_title": "% of rows above the risk line",
     "risk_plan": "Warn early; name who is called next; look more often",
+    "r2_do": "More rows; new features; several models together",
+    "err_do": "Look at the rows far off; mend the data; a model for odd cases",
+    "wait_save": "High: shorter waits cost less and please more",
+    "wait_do": "Leaner steps; slots booked ahead; staff where they are needed",
     "j2_staff": " weighs on staffing (weight ",
     "j2_cap": " limits the room there is (weight ",
     "j2_time": " follows the clock (weight ",

@@ -11,6 +11,7 @@ from wardstats.operators import evaluate as G
 from wardstats.plans import views as V
 from wardstats.operators.wording import WORDS, sql_word
 from wardstats.plans.registry import query
+from wardstats.sources.files import publish, read_published, scratch_path
 from wardstats.plans.sqlviews import FOLD_SQL, SPLIT_SQL, with_views
 
 
@@ -69,6 +70,14 @@ def model_comparison(spark, sf):
     return cmp.withColumn("bubble_size", F.greatest(F.abs("cv_score"), F.lit(0.1)))
 
 
+@query("published_comparison", _CMP + f"SELECT {_CMP_COLS} FROM comparison")
+def published_comparison(spark, sf):
+    """The comparison table written as a published version and read back."""
+    path = scratch_path(spark, "comparison")
+    publish(V.comparison(spark, sf), path)
+    return read_published(spark, path)
+
+
 @query("best_models", _CMP + """,
 b AS (SELECT dataset, model, test_r2, row_number() OVER (PARTITION BY dataset ORDER BY test_r2 DESC, model DESC) AS rb,
              count(*) OVER (PARTITION BY dataset) AS n FROM comparison),

@@ -12,6 +12,7 @@ from wardstats.plans import views as V
 from wardstats.operators.wording import WORDS, sql_word
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import with_views
+from wardstats.sources.files import publish, read_published, scratch_path
 
 _BASE = """scored_test AS (SELECT * FROM scored WHERE split = 'test'),
 qst AS (SELECT model, round(quantile_cont(abs(y_true - y_pred), 0.9), 9) AS t,
@@ -75,7 +76,10 @@ fr AS (
          {sql_word('risk_plan')}, 'Critical', NULL
          FROM quality WHERE risk_share * 100 > 10)
 SELECT model, section, CAST(row_number() OVER (PARTITION BY model, section ORDER BY o, category) AS INTEGER) AS position,
-       category, title, detail, level, timeline FROM fr""")
+       category, title, detail, level, timeline,
+       CASE category WHEN 'Model Accuracy' THEN {sql_word('r2_do')} WHEN 'Prediction Consistency' THEN {sql_word('err_do')} END AS actions,
+       CASE category WHEN 'Wait Time Reduction' THEN {sql_word('wait_save')} END AS savings_potential,
+       CASE category WHEN 'Wait Time Reduction' THEN {sql_word('wait_do')} END AS implementation FROM fr""")
 def workflow_insights(spark, sf):
     return J.workflow_insights(V.importance(spark, sf), _quality(spark, sf), "wait_min")
 
@@ -156,6 +160,14 @@ def action_items(spark, sf):
     return _items(spark, sf)
 
 
+@query("published_actions", _ITEMS + "SELECT * FROM numbered")
+def published_actions(spark, sf):
+    """The action table written as a published version and read back."""
+    path = scratch_path(spark, "actions")
+    publish(_items(spark, sf), path)
+    return read_published(spark, path)
+
+
 @query("action_progress", _ITEMS + """
 SELECT model, CAST(count(*) AS BIGINT) AS total_actions,
        CAST(sum(CASE WHEN status = 'Not Started' THEN 1 ELSE 0 END) AS BIGINT) AS not_started,

@@ -65,6 +65,21 @@ def linreg_predict(spark, sf):
     return _preds(s)
 
 
+@query("linreg_clean", MI + """,
+tr AS (SELECT * FROM mi WHERE split = 'train'),
+q AS (SELECT quantile_cont(patient_load, 0.25) AS q1, quantile_cont(patient_load, 0.75) AS q3 FROM tr),
+fl AS (SELECT tr.*, patient_load < round(q1 - 1.5 * (q3 - q1), 9) OR patient_load > round(q3 + 1.5 * (q3 - q1), 9) AS o FROM tr, q),
+s AS (SELECT sum(CASE WHEN o THEN 1 ELSE 0 END) AS nf, count(*) AS n FROM fl),
+fit AS (SELECT regr_slope(wait_min, patient_load) AS b1, regr_intercept(wait_min, patient_load) AS b0
+        FROM fl, s WHERE NOT (nf > 0 AND nf < n * 0.1 AND o))
+SELECT id, round(b0 + b1 * patient_load, 6) AS y_pred FROM mi, fit WHERE split = 'test'""")
+def linreg_clean(spark, sf):
+    """Outlier handling inside training: guarded, on the training rows only."""
+    s, _ = G.fit_predict(model_input(spark, sf), ["patient_load"], "wait_min", G.LINEAR,
+                         options=G.TrainOptions(handle_outliers=True))
+    return _preds(s)
+
+
 @query("predict_stored", MI + _OLS2 + """
 SELECT id, round(b0 + b1 * triage_time_min + b2 * patient_load, 6) AS y_pred FROM mi, coef WHERE split = 'test'""")
 def predict_stored(spark, sf):

@@ -8,7 +8,7 @@ from wardstats.plans import views as V
 from wardstats.plans.registry import query
 from wardstats.plans.sqlviews import with_views
 from wardstats.sources import files as A
-from wardstats.sources.tables import read_table
+from wardstats.sources.tables import table_path
 
 _RT_COLS = ["visit_id", "visit_ts", "event_type", "wait_min", "patient_load", "region", "nurse_staff_ratio"]
 
@@ -18,16 +18,18 @@ def csv_roundtrip(spark, sf):
     return A.csv_roundtrip(V.visits(spark, sf).select(*_RT_COLS), "visits")
 
 
-# table -> (columns, numeric, text, datetime), from the driver's schemas
+# what the SQL expects: table -> (columns, numeric, text, datetime); Spark reads the files' schemas
 _CATALOG = {"region": (2, 1, 1, 0), "nation": (3, 2, 1, 0), "customer": (5, 3, 2, 0), "supplier": (4, 3, 1, 0),
-            "part": (6, 3, 3, 0), "orders": (6, 3, 2, 1), "lineitem": (11, 8, 2, 1), "events": (6, 3, 2, 1)}
+            "part": (6, 3, 3, 0), "orders": (6, 3, 2, 1), "lineitem": (11, 8, 2, 1), "events": (6, 3, 2, 1),
+            "documents": (5, 2, 3, 0), "embeddings": (3, 2, 0, 0), "pages": (3, 1, 2, 0), "benchmark": (2, 1, 1, 0),
+            "labels": (3, 3, 0, 0), "conversations": (4, 2, 2, 0)}
 
 
 @query("catalog_summary", "SELECT *, CAST(sum(n_rows) OVER () AS BIGINT) AS total_records FROM (" + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, {c} AS n_columns, {n} AS n_numeric, "
     f"{x} AS n_text, {d} AS n_datetime FROM {t}" for t, (c, n, x, d) in _CATALOG.items()) + ")")
 def catalog_summary(spark, sf):
-    return A.catalog_summary({t: read_table(spark, sf, t) for t in _CATALOG})
+    return A.catalog_summary(A.load_catalog(spark, [table_path(sf, t) for t in _CATALOG]))
 
 
 @query("stringify_nulls", with_views("visits_gappy") + """

@@ -66,8 +66,7 @@ def stream_alert_frequency(spark, sf):
     rows = V.visits_from(M.event_stream(spark, sf)).select("visit_ts", _pred_a(None).alias("y_pred"),
                                                            "visit_id")
     tagged = M.tag_alerts(rows, "y_pred", th)
-    counts = M.alert_frequency(tagged, "visit_ts", "alert_level", [lv for _, lv in LEVELS])
-    out = M.run_to_table(counts, "stream_alert_frequency", output_mode="complete")
+    out, _ = M.run_counts(tagged, "stream_alert_frequency", "visit_ts", "alert_level", [lv for _, lv in LEVELS])
     ws = M.utc_day_text(F.col("w.start"))
     ni, nw, nc = F.col("n_information"), F.col("n_warning"), F.col("n_critical")
     recs = F.array(*[F.struct(F.lit(lv).alias("alert_level"), cnt.alias("k"), F.lit((100 - p) / 100).alias("e"))

@@ -60,6 +60,46 @@ def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "append") -
     return spark.read.schema(stream_df.schema).parquet(out)
 
 
+def run_counts(rows: DataFrame, name: str, ts: str, level: str, levels, window: str = "1 day",
+               allowed: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """M2: (counts, late rows) of a stream with at least one file, without a state store. Counts add
+    up, so each micro-batch writes only its own count per window, to the
+    folder of its epoch; a batch that is run again overwrites that folder, and
+    a reader adds the epochs (columns as in :func:`alert_frequency`). A row is
+    late if its window had ended ``allowed`` before the latest event time of
+    earlier epochs; late rows are not counted but kept, whole, in the second
+    frame, with their ``epoch``. What a batch knows of earlier ones is one
+    number per epoch. Rows without a time are in neither frame. Runs over all
+    available input."""
+    spark = rows.sparkSession
+    root, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    t = utc_instant(F.col(ts)) if isinstance(rows.schema[ts].dataType, T.TimestampNTZType) else F.col(ts)
+    timed = rows.withColumn("_ts", t).filter(F.col("_ts").isNotNull())
+    names = [f"n_{lv.lower()}" for lv in levels]
+
+    def put(df: DataFrame, kind: str, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/{kind}/epoch={epoch}")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        known = s.read.schema("mark bigint, epoch bigint").parquet(f"{root}/marks").filter(F.col("epoch") < epoch).agg(F.max("mark")).first()[0] if epoch else None
+        batch = batch.withColumn("w", F.window("_ts", window)).persist()
+        try:
+            closed = F.lit(False) if known is None else F.col("w.end") <= F.timestamp_micros(F.lit(known)) - F.expr(f"INTERVAL {allowed}")
+            put(batch.filter(~closed).groupBy("w").agg(
+                F.count(F.lit(1)).alias("n"), *[F.sum((F.col(level) == lv).cast("bigint")).alias(c) for lv, c in zip(levels, names)]), "counts", epoch)
+            put(batch.filter(closed).select(*rows.columns), "late", epoch)
+            put(batch.agg(F.greatest(F.max(F.unix_micros("_ts")), F.lit(known).cast("bigint")).alias("mark")), "marks", epoch)
+        finally:
+            batch.unpersist()
+
+    q = (timed.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    counted = "w struct<start timestamp, end timestamp>, " + ", ".join(f"{c} bigint" for c in ("n", *names))
+    counts = spark.read.schema(counted).parquet(f"{root}/counts").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    return counts, spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("epoch", T.LongType())])).parquet(f"{root}/late")
+
+
 def tag_alerts(rows: DataFrame, value: str, thresholds: list[tuple[float, str]], out: str = "alert_level") -> DataFrame:
     """M1: stateless tagging of each row with its alert level."""
     return rows.withColumn(out, level_expr(F.col(value), thresholds))
