@@ -19,7 +19,7 @@ from wardstats.llm.brown import likeliest, log_probabilities
 from wardstats.llm.decontaminate import best_overlaps, best_run, without_contaminated
 from wardstats.llm.graph import components
 from wardstats.llm.jaccard import choose_matches, near_duplicates
-from wardstats.llm.licenses import NOTICES, scan
+from wardstats.llm.licenses import NOTICES, scan, scan_spans
 from wardstats.llm.packing import combinations, fullest, minimum_bin_slack, token_pieces
 from wardstats.llm.phrases import digest, repeated_bytes
 from wardstats.llm.quality import filter_quality, judge_quality, learn
@@ -89,6 +89,18 @@ def test_licenses_match_brute_force(spark):
     assert scan(empty(spark)).count() == 0
 
 
+def test_license_notices_are_told_apart(spark):
+    text = {label: t for t, label in NOTICES}
+    pieces = text["gpl"].split()
+    scattered = " ".join(" ".join(pieces[i:i + 3]) + " foreign words" for i in range(0, len(pieces), 3))
+    rows = [(1, text["gpl"]), (2, text["lgpl"]), (3, scattered), (4, text["gpl"] + " " + text["lgpl"]), (5, text["mit"] + " " + text["isc"]),
+            (6, text["lgpl"].replace("modify it", "then modify it")), (7, " ".join([text["gpl"]] * 3)), (8, text["apache"].replace("version 2 0", "version two"))]
+    got = {k: r.labels for k, r in by_id(scan(frame(spark, rows))).items()}
+    assert got == {1: "gpl", 2: "lgpl", 3: "", 4: "gpl,lgpl", 5: "isc,mit", 6: "lgpl", 7: "gpl", 8: "apache"}
+    spans = scan_spans(frame(spark, rows[6:7])).where("kind = 'notice'").orderBy("first_word").collect()
+    assert [(r.label, r.first_word) for r in spans] == [("gpl", i * len(pieces)) for i in range(3)]
+
+
 # ------------------------------------------------------- 2 decontamination
 
 def test_decontamination_finds_substituted_passages_only(spark):

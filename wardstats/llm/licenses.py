@@ -4,9 +4,12 @@ Every rolling word k-gram of a text (three words; two for two-word phrases)
 is joined to the positions at which templates hold it. A hit votes for the
 offset diagonal (word in the text minus word in the template). Votes are
 counted per (text, template, diagonal), neighbouring diagonals are merged (a
-word put in or left out moves the rest by one), and a merged span is kept if
-it covers enough of the template. Phrases and names must be covered whole on
-one diagonal; license notices to ``COVERAGE``.
+word put in or left out moves the rest by one) up to ``DRIFT`` on either side
+of each, and a merged span is kept if it covers enough of the template.
+Phrases and names must be covered whole on one diagonal; license notices to
+``COVERAGE``. Notices share wordings: of those found at one place (middles at
+most ``REACH`` words apart) the best covered stays, by share and then by
+words, and ties stay together.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z as a-z.
 The joined rows compare the words themselves, so a hit is never a hash
@@ -55,8 +58,12 @@ NOTICES = (
 )
 #: Share of a notice's words that a merged span must cover.
 COVERAGE = 0.7
-#: Diagonals this far apart are merged, as a share of the notice's words.
+#: A diagonal takes in others up to this far off, as a share of the notice's words.
 DRIFT = 0.1
+#: Notices whose middles are at most this many words apart compete.
+REACH = 8
+#: The drift in whole numbers.
+STEP = 1_000_000
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,7 +86,7 @@ def _lower(word: Column) -> Column:
 
 
 def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, names=NAMES,
-               notices=NOTICES, coverage: float = COVERAGE, drift: float = DRIFT) -> DataFrame:
+               notices=NOTICES, coverage: float = COVERAGE, drift: float = DRIFT, reach: int = REACH) -> DataFrame:
     """One row per found span and one marker row (template null) per text:
     row (number of the text's row), doc_id, n_words, template, label, kind,
     first_word, last_word, score (share of the template's words)."""
@@ -104,17 +111,25 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "kind", "size")],
                   F.when(F.first("c").isNull(), 2).otherwise(3).alias("k"),
                   F.collect_set("at").alias("ats"), F.min("i").alias("i0"), F.max("i").alias("i1")))
-    # merge diagonals no further apart than the drift (none for phrases)
-    w = Window.partitionBy("row", "template").orderBy("diagonal")
+    # each diagonal takes in those within the drift on both sides (none for phrases), so a
+    # span is at most twice the drift longer than its template; orders are whole numbers
+    # in which the drift is STEP, as a range frame takes one width for all templates
     gap = F.when(F.col("kind") == "notice", F.floor(F.col("size") * drift)).otherwise(0)
-    merged = (votes.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > gap).cast("int"), F.lit(1)))
-              .withColumn("span", F.sum("new").over(w))
-              .groupBy("row", "template", "span")
-              .agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "kind", "size", "k")],
-                   F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("i0").alias("i0"), F.max("i1").alias("i1")))
+    order = F.when(gap > 0, F.floor(F.col("diagonal") * STEP / gap)).otherwise(F.col("diagonal") * (2 * STEP)).cast("long")
+    near = Window.partitionBy("row", "template").orderBy("order").rangeBetween(-STEP, STEP)
+    merged = votes.withColumn("order", order).select(
+        "row", "template", "doc_id", "n_words", "label", "kind", "size", "k", "diagonal", F.flatten(F.collect_list("ats").over(near)).alias("ats"),
+        F.min("i0").over(near).alias("i0"), F.max("i1").over(near).alias("i1"))
     covered = F.expr("size(array_distinct(flatten(transform(ats, x -> sequence(x, x + k - 1)))))")
-    return (merged.withColumn("score", F.when(F.col("template").isNotNull(), covered / F.col("size")))
-            .where(F.col("template").isNull() | F.when(F.col("kind") == "notice", F.col("score") >= coverage).otherwise(F.col("score") == 1))
+    found = (merged.withColumn("covered", covered).withColumn("score", F.when(F.col("template").isNotNull(), F.col("covered") / F.col("size")))
+             .where(F.col("template").isNull() | F.when(F.col("kind") == "notice", F.col("score") >= coverage).otherwise(F.col("score") == 1)))
+    # of notices with their middles at one place the best covered stays, once
+    found = found.withColumn("middle", F.floor((F.col("i0") + F.col("i1") + F.col("k")) / 2)).withColumn("worth", F.col("score") + F.col("covered") / 1e6)
+    place = Window.partitionBy("row", "kind").orderBy("middle").rangeBetween(-reach, reach)
+    notice = F.coalesce(F.col("kind") == "notice", F.lit(False))
+    best = found.withColumn("best", F.max("worth").over(place)).where(~notice | (F.col("worth") == F.col("best")))
+    last = F.lag("middle").over(Window.partitionBy("row", "template").orderBy("middle", "diagonal"))
+    return (best.withColumn("last", last).where(~notice | F.col("last").isNull() | (F.col("middle") - F.col("last") > reach))
             .select("row", "doc_id", "n_words", "template", "label", "kind",
                     F.when(F.col("template").isNotNull(), F.col("i0")).alias("first_word"),
                     F.when(F.col("template").isNotNull(), F.col("i1") + F.col("k") - 1).alias("last_word"), "score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardstats.llm.licenses import COVERAGE, DRIFT, template_grams
+from wardstats.llm.licenses import COVERAGE, DRIFT, REACH, STEP, template_grams
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
@@ -110,17 +110,19 @@ vote AS (
   SELECT doc_id, template, any_value(label) AS label, any_value(kind) AS kind, any_value(size) AS size, any_value(k) AS k,
          diagonal, list(DISTINCT pos) AS ps, min(i) AS i0, max(i) AS i1
   FROM hit GROUP BY doc_id, template, diagonal),
-step AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > CASE kind WHEN 'notice' THEN floor(size * {DRIFT}) ELSE 0 END THEN 1 ELSE 0 END AS jump
-  FROM vote WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-part AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM step),
 merged AS (
-  SELECT doc_id, template, span, any_value(label) AS label, any_value(kind) AS kind, any_value(size) AS size, any_value(k) AS k,
-         flatten(list(ps)) AS ps, min(i0) AS first_word
-  FROM part GROUP BY doc_id, template, span),
-found AS (
-  SELECT *, len(list_distinct(flatten(list_transform(ps, lambda p: range(p, p + k))))) / size AS share FROM merged),
-kept AS (SELECT * FROM found WHERE CASE kind WHEN 'notice' THEN share >= {COVERAGE} ELSE share = 1 END),
+  SELECT doc_id, template, label, kind, size, k, diagonal, flatten(list(ps) OVER near) AS ps, min(i0) OVER near AS first_word, max(i1) OVER near AS i1
+  FROM vote WINDOW near AS (PARTITION BY doc_id, template
+    ORDER BY CASE WHEN kind = 'notice' AND floor(size * {DRIFT}) > 0 THEN CAST(floor(diagonal * {STEP} / floor(size * {DRIFT})) AS BIGINT)
+                  ELSE CAST(diagonal AS BIGINT) * {2 * STEP} END
+    RANGE BETWEEN {STEP} PRECEDING AND {STEP} FOLLOWING)),
+found AS (SELECT *, len(list_distinct(flatten(list_transform(ps, lambda p: range(p, p + k))))) AS covered FROM merged),
+rated AS (
+  SELECT *, covered / size AS share, covered / size + covered / 1e6 AS worth, CAST((first_word + i1 + k) // 2 AS BIGINT) AS middle FROM found
+  WHERE CASE kind WHEN 'notice' THEN covered / size >= {COVERAGE} ELSE covered = size END),
+kept AS (
+  SELECT * FROM (SELECT *, max(worth) OVER (PARTITION BY doc_id, kind ORDER BY middle RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING) AS best FROM rated)
+  WHERE kind <> 'notice' OR worth = best),
 told AS (
   SELECT doc_id, count(*) FILTER (kind = 'base') AS n_base, min(first_word) FILTER (kind = 'base') AS first_word,
          max(first_word) FILTER (kind = 'base') AS last_word,
