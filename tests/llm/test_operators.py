@@ -97,6 +97,8 @@ def test_license_notices_are_told_apart(spark):
             (6, text["lgpl"].replace("modify it", "then modify it")), (7, " ".join([text["gpl"]] * 3)), (8, text["apache"].replace("version 2 0", "version two"))]
     got = {k: r.labels for k, r in by_id(scan(frame(spark, rows))).items()}
     assert got == {1: "gpl", 2: "lgpl", 3: "", 4: "gpl,lgpl", 5: "isc,mit", 6: "lgpl", 7: "gpl", 8: "apache"}
+    far = "word " * 6000 + text["gpl"]  # a diagonal whose order needs more than 32 bits
+    assert by_id(scan(frame(spark, [(9, far)])))[9].labels == "gpl"
     spans = scan_spans(frame(spark, rows[6:7])).where("kind = 'notice'").orderBy("first_word").collect()
     assert [(r.label, r.first_word) for r in spans] == [("gpl", i * len(pieces)) for i in range(3)]
 

@@ -115,7 +115,8 @@ def scan_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # span is at most twice the drift longer than its template; orders are whole numbers
     # in which the drift is STEP, as a range frame takes one width for all templates
     gap = F.when(F.col("kind") == "notice", F.floor(F.col("size") * drift)).otherwise(0)
-    order = F.when(gap > 0, F.floor(F.col("diagonal") * STEP / gap)).otherwise(F.col("diagonal") * (2 * STEP)).cast("long")
+    at = F.col("diagonal").cast("long")
+    order = F.when(gap > 0, F.floor(at * STEP / gap)).otherwise(at * (2 * STEP)).cast("long")
     near = Window.partitionBy("row", "template").orderBy("order").rangeBetween(-STEP, STEP)
     merged = votes.withColumn("order", order).select(
         "row", "template", "doc_id", "n_words", "label", "kind", "size", "k", "diagonal", F.flatten(F.collect_list("ats").over(near)).alias("ats"),
