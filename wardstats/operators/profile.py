@@ -10,6 +10,7 @@ the value itself (top values, histograms).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,32 +97,42 @@ def distinct_per_column(df: DataFrame, cols=None, approx: bool = False) -> DataF
     """Distinct values per column, NULL counted as one value (pandas
     ``unique``). ``approx`` switches to HyperLogLog for huge cardinalities."""
     cols = cols or df.columns
-    cd = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    wide = df.agg(*[(cd(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"{c}__n") for c in cols])
+    if not approx:
+        return distinct_counts(df, cols, nulls=True)
+    wide = df.agg(*[(F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"{c}__n") for c in cols])
     return wide.selectExpr(_stack(cols, "n")).select("column_name", F.col("n").cast("bigint").alias("n_distinct"))
 
 
+def distinct_counts(df: DataFrame, cols, nulls: bool = False) -> DataFrame:
+    """(column_name, n_distinct) by an aggregate of its own per column, so a
+    task holds the distinct values of one column and not rows as wide as the
+    table, as several distinct counts in one aggregate do. With ``nulls``
+    NULL counts as a value; then an empty table has no count."""
+    extra = (lambda c: F.max(F.col(c).isNull().cast("int"))) if nulls else (lambda c: F.lit(0))
+    parts = [df.select(c).agg((F.count_distinct(c) + extra(c)).cast("bigint").alias("n_distinct"))
+             .select(F.lit(c).alias("column_name"), "n_distinct") for c in cols]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def detect_types(df: DataFrame, ratio: float = 0.05, max_levels: int = 20) -> DataFrame:
     """Semantic type per column. Integer/double columns with few levels
     (distinct/rows < ``ratio`` and distinct < ``max_levels``) are
     categorical; text columns whose non-null values all parse as timestamps
     are datetime; timestamps are datetime; everything else categorical."""
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for f in fields:
-        aggs.append(F.count_distinct(f.name).alias(f"{f.name}__nd"))
-        if isinstance(f.dataType, T.StringType):
-            bad = count_if(F.col(f.name).isNotNull() & F.try_to_timestamp(F.col(f.name)).isNull())
-            aggs.append((bad == 0).alias(f"{f.name}__dt"))
-        else:
-            aggs.append(F.lit(False).alias(f"{f.name}__dt"))
-    wide = df.agg(*aggs)
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    bad = {c: count_if(F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull()) for c in texts}
+    stats = df.agg(F.count(F.lit(1)).alias("_n"), *[(bad[c] == 0).alias(f"_dt{i}") for i, c in enumerate(texts)])
     names = [f.name for f in fields]
     kinds = F.create_map(*[x for f in fields for x in (F.lit(f.name), F.lit(
         "numeric" if isinstance(f.dataType, (T.IntegerType, T.LongType, T.DoubleType)) else
         "datetime" if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else
         "text" if isinstance(f.dataType, T.StringType) else "other"))])
-    long = wide.selectExpr("_n", _stack(names, "nd", "dt"))
+    long = with_scalars(distinct_counts(df, names).withColumnRenamed("n_distinct", "nd"), stats)
+    dt = F.lit(False)
+    for i, c in enumerate(texts):
+        dt = F.when(F.col("column_name") == c, F.col(f"_dt{i}")).otherwise(dt)
+    long = long.select("column_name", "_n", "nd", dt.alias("dt"))
     kind = F.element_at(kinds, F.col("column_name"))
     ur = F.try_divide(F.col("nd"), F.col("_n"))
     sem = (F.when(kind == "numeric", F.when((ur < ratio) & (F.col("nd") < max_levels), "categorical")
@@ -145,11 +156,11 @@ def suggest_targets(df: DataFrame, words=TARGET_WORDS, numeric_only: bool = Fals
     if not cands:
         return df.sparkSession.createDataFrame([], "column_name string, is_numeric boolean, non_null bigint, "
                                                    "n_distinct bigint")
-    wide = df.agg(*[x for c in cands for x in (F.count(c).alias(f"{c}__nn"), F.count_distinct(c).alias(f"{c}__nd"))])
+    known = with_scalars(distinct_counts(df, cands), df.agg(*[F.count(c).alias(f"_nn{i}") for i, c in enumerate(cands)]))
     isnum = F.create_map(*[x for c in cands for x in (F.lit(c), F.lit(c in num))])
-    return wide.selectExpr(_stack(cands, "nn", "nd")).select(
-        "column_name", F.element_at(isnum, F.col("column_name")).alias("is_numeric"),
-        F.col("nn").cast("bigint").alias("non_null"), F.col("nd").cast("bigint").alias("n_distinct"))
+    seen = F.create_map(*[x for i, c in enumerate(cands) for x in (F.lit(c), F.col(f"_nn{i}"))])
+    return known.select("column_name", F.element_at(isnum, F.col("column_name")).alias("is_numeric"),
+                        F.element_at(seen, F.col("column_name")).cast("bigint").alias("non_null"), "n_distinct")
 
 
 # ---------------------------------------------------------------- B6, B15, B16
