@@ -29,3 +29,45 @@ def test_distinct_counts_hold_one_column_at_a_time(spark, capsys):
     assert sorted(tuple(r) for r in named.collect()) == [("time", False, 2, 2), ("wait", True, 2, 1)]
     for out in (got, kinds, named):
         assert "Expand" not in _plan(out, capsys)
+
+
+@contextlib.contextmanager
+def _no_automatic_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_scored_rows_are_not_dealt_by_a_few_types(spark, capsys):
+    from tests.conftest import SF_SMALL
+    from wardstats.plans import views as V
+
+    with _no_automatic_broadcast(spark):
+        plan = _plan(V.scored(spark, SF_SMALL), capsys)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_codes_of_few_values_are_broadcast(spark, capsys):
+    from wardstats.operators import prep as P
+
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 4 else None) for i in range(40)], "id int, c string")
+    with _no_automatic_broadcast(spark):
+        out = P.ordinal_encode(df, ["c"])
+        plan = _plan(out, capsys)
+    assert "SortMergeJoin" not in plan
+    assert {r.id: r.c for r in out.collect()} == {i: float(i % 3) if i % 4 else None for i in range(40)}
+
+
+def test_percentiles_of_few_groups_are_not_dealt_by_group(spark, capsys):
+    from wardstats.functions.percentiles import grouped, percentile_of
+
+    df = spark.createDataFrame([("a" if i % 2 else None, float(i)) for i in range(100)], "g string, x double")
+    with _no_automatic_broadcast(spark):
+        out = grouped(df, ["g"], percentile_of("x", [0.0, 0.5, 1.0]).alias("p"))
+        plan = _plan(out, capsys)
+    assert "Scan ExistingRDD[g" in plan and "BroadcastHashJoin" in plan
+    assert {r.g: list(r.p) for r in out.collect()} == {"a": [1.0, 50.0, 99.0], None: [0.0, 49.0, 98.0]}

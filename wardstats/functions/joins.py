@@ -6,7 +6,10 @@ and folds into the projection; several scalar subqueries over the same
 aggregate are merged into one job by Catalyst's `MergeScalarSubqueries`.
 
 Keyed statistics (one row per group) are joined with :func:`lookup_join`; the
-engine decides between broadcast and shuffle from the size it measures.
+engine decides between broadcast and shuffle from the size it measures. It
+measures after it has dealt the big side by key, so that a few groups leave a
+few tasks, whatever their size: statistics that may have few groups go through
+:func:`settled` first.
 """
 
 from __future__ import annotations
@@ -14,6 +17,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstats.functions.session import ensure_checkpoint_dir
+
+#: A settled table is broadcast up to this many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def settled(small: DataFrame, row_bytes: int = 256) -> DataFrame:
+    """``small`` computed once, into the shared checkpoint folder, and to be
+    broadcast if its counted rows of ``row_bytes`` stay below
+    ``BROADCAST_BYTES``; else the join shuffles both sides."""
+    ensure_checkpoint_dir(small.sparkSession)
+    rows = BROADCAST_BYTES // row_bytes
+    kept = small.checkpoint()
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join ``small`` (one row per key) to ``big`` (row-sized) on equal keys,
     NULL keys being equal to each other. Nothing runs or stays cached here:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstats.functions.stats import corr
-from wardstats.functions.joins import lookup_join
+from wardstats.functions.joins import lookup_join, settled
 from wardstats.sources.tables import read_table
 
 # Model names of the stand-in `scored` table and the visit
@@ -152,7 +152,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     its event type, `d` is biased."""
     v = visits(spark, sf_dir)
     type_mean = v.groupBy("event_type").agg(F.avg("wait_min").alias("type_mean"))
-    v = lookup_join(v, type_mean, "event_type")
+    v = lookup_join(v, settled(type_mean), "event_type")
     vid, y = F.col("visit_id"), F.col("wait_min")
     preds = F.array(
         F.struct(F.lit("a").alias("model"), (F.lit(0.85) * y + (vid % 23) - 6).alias("y_pred")),
