@@ -22,7 +22,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstats.functions.joins import lookup_join
+from wardstats.functions.joins import lookup_join, settled
 
 #: Accuracy of the sketch that brackets percentiles.
 ACCURACY = 10_000
@@ -81,6 +81,8 @@ def grouped(df: DataFrame, keys, *aggs) -> DataFrame:
         ends = [max(0.0, p - margin) for p in probs[i]] + [min(1.0, p + margin) for p in probs[i]]
         sketches.append(F.percentile_approx(f"_x{i}", ends, ACCURACY).alias(f"_s{i}"))
     first = rows.groupBy(*keys).agg(*plain, *sketches)
+    if keys and not df.isStreaming:  # few groups must not leave few tasks
+        first = settled(first, 256 + sum(16 * len(p) for p in probs) + 32 * len(plain))
     brackets = [e for i in several for e in (F.slice(f"_s{i}", 1, len(probs[i])).alias(f"_lo{i}"), F.slice(f"_s{i}", len(probs[i]) + 1, len(probs[i])).alias(f"_hi{i}"))]
     spread = _attached(rows.select(*keys, *[f"_x{i}" for i in several]), first.select(*keys, F.struct(*brackets).alias("_ends")), keys)
     # both ends of brackets grow with the percentile: the first that ends at x or later is the only one to look into
