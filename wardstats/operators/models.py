@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    LinearRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -159,6 +163,38 @@ def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 # ---------------------------------------------------------------- epsilon-insensitive fit
 
+def _weighted_sums(rows: DataFrame, features: str, label: str, at: tuple, mean: float, c: float, epsilon: float, floor: float) -> tuple:
+    """One pass for a step of :func:`insensitive_fit` at the model ``at``
+    (coefficients, intercept; None for a constant): the weighted Gram matrix of
+    (1, x), its products with the touching parabolas' labels less ``mean``,
+    their weighted squares, and the sum of losses. A task adds up its batches
+    and returns one row."""
+    w, b = at
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            r = y - ((x @ w if w is not None else 0.0) + b)
+            low, high = (1.0 / np.maximum(np.abs(r + e), floor) for e in (-epsilon, epsilon))
+            weight = c / 2 * (low + high)
+            moved = y - epsilon * (low - high) / (low + high) - mean
+            z = np.column_stack([np.ones(len(y)), x, moved])
+            part = np.append((z * weight[:, None]).T @ z, np.maximum(0.0, np.abs(r) - epsilon).sum())
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = rows.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")).mapInArrow(add, "sums array<double>").toArrow()["sums"].to_numpy()
+    total = np.sum(np.stack(parts), axis=0)
+    size = math.isqrt(len(total) - 1)
+    gram = total[:-1].reshape(size, size)
+    return gram[:-1, :-1], gram[:-1, -1], gram[-1, -1], float(total[-1])
+
+
 def insensitive_fit(rows: DataFrame, c: float = 1.0, epsilon: float = 0.1, features: str = "features", label: str = "label",
                     max_iter: int = 15, tol: float = 1e-3) -> LinearRegressionModel:
     """The linear model of ½|w|² + C · sum of max(0, |y - w·x - b| - epsilon)
@@ -166,39 +202,43 @@ def insensitive_fit(rows: DataFrame, c: float = 1.0, epsilon: float = 0.1, featu
     the loss is ½(|r - epsilon| + |r + epsilon|) - epsilon; each absolute value
     lies under the parabola that touches it at the last residual, so a ridge
     fit with row weights C/2 · (1/|r - epsilon| + 1/|r + epsilon|) never raises
-    the loss. A step is two aggregates over the rows (loss and the weighted
-    label's spread; the Gram matrix); it stops when the loss falls by less than
-    ``tol`` of itself, or after ``max_iter`` steps."""
+    the loss. A step is one pass over the rows (loss and Gram matrix, as matrix
+    products of Arrow batches), solved on the driver, which gets a row of
+    sums per task; it stops when the loss falls by less than ``tol`` of itself,
+    or after ``max_iter`` steps. The best step's ridge fit is then made by
+    ``LinearRegression``, which gives the model."""
     y = F.col(label)
     first = rows.agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
     if not first["n"]:
         raise ValueError("no labelled rows")
+    mean, epsilon = float(first["m"]), float(epsilon)
     floor = max(1e-4 * (first["s"] or 0.0), 1e-9)
-    model, last = None, math.inf
+    now, source, last = (None, mean), None, math.inf
     best = None
     for step in range(max_iter + 1):
-        if model is None:
-            at, norm = rows.withColumn("_f", F.lit(float(first["m"]))), 0.0
-        else:
-            at, norm = model.setPredictionCol("_f").transform(rows), float(sum(v * v for v in model.coefficients.toArray()))
-        r = y - F.col("_f")
-        low, high = (F.lit(1.0) / F.greatest(F.abs(r + F.lit(e)), F.lit(floor)) for e in (-float(epsilon), float(epsilon)))
-        at = at.select(features, (y - F.lit(float(epsilon)) * (low - high) / (low + high)).alias("_y"),
-                       (F.lit(c / 2) * (low + high)).alias("_w"), F.greatest(F.lit(0.0), F.abs(r) - F.lit(float(epsilon))).alias("_l"))
-        moved = F.col("_y") - F.lit(float(first["m"]))
-        sums = at.agg(F.sum("_w").alias("w"), F.sum("_l").alias("l"), F.sum(F.col("_w") * moved).alias("y"), F.sum(F.col("_w") * moved * moved).alias("yy")).first()
-        loss = 0.5 * norm + c * sums["l"]
+        gram, cross, square, lost = _weighted_sums(rows, features, label, now, mean, c, epsilon, floor)
+        loss = 0.5 * (float(now[0] @ now[0]) if now[0] is not None else 0.0) + c * lost
         if best is None or loss < best[0]:
-            best = (loss, model)
+            best = (loss, source)
         if step == max_iter or last - loss <= tol * max(abs(loss), 1e-12):
-            if model is not None:
+            if source is not None:
                 break
         last = loss
-        # Spark divides the penalty by the weighted label's spread: give it times that
-        spread = math.sqrt(max(sums["yy"] / sums["w"] - (sums["y"] / sums["w"]) ** 2, 0.0))
-        model = LinearRegression(featuresCol=features, labelCol="_y", weightCol="_w", solver="normal", standardization=False,
-                                 elasticNetParam=0.0, regParam=(spread or 1.0) / sums["w"]).fit(at)
-    return (best[1] or model).setPredictionCol("prediction")
+        total, means, shift = gram[0, 0], gram[0, 1:] / gram[0, 0], cross[0] / gram[0, 0]
+        w = np.linalg.solve(gram[1:, 1:] - total * np.outer(means, means) + np.eye(len(means)), cross[1:] - total * means * shift)
+        # where the ridge fit came from: the model before it, and Spark's penalty, which it divides by the weighted label's spread
+        source = (now, (math.sqrt(max(square / total - shift ** 2, 0.0)) or 1.0) / total)
+        now = (w, mean + shift - float(means @ w))
+    (w, b), penalty = best[1] or source
+    f = F.lit(float(b))
+    if w is not None:
+        f = F.aggregate(F.zip_with(vector_to_array(features), F.array(*[F.lit(float(v)) for v in w]), lambda u, v: u * v), f, lambda t, v: t + v)
+    at = rows.withColumn("_f", f)
+    r = y - F.col("_f")
+    low, high = (F.lit(1.0) / F.greatest(F.abs(r + F.lit(e)), F.lit(floor)) for e in (-epsilon, epsilon))
+    at = at.select(features, (y - F.lit(epsilon) * (low - high) / (low + high)).alias("_y"), (F.lit(c / 2) * (low + high)).alias("_w"))
+    return LinearRegression(featuresCol=features, labelCol="_y", weightCol="_w", solver="normal", standardization=False,
+                            elasticNetParam=0.0, regParam=float(penalty)).fit(at).setPredictionCol("prediction")
 
 
 # ---------------------------------------------------------------- train / predict
