@@ -95,3 +95,46 @@ def test_kernel_fit_reads_its_rows_once_a_step(spark):
     model = G.insensitive_fit(G.assemble(plain, list("abc")), max_iter=steps, tol=0.0)
     assert seen.value <= (steps + 5) * 200  # the label's spread, a pass a step and the last loss, the model's fit
     assert abs(model.coefficients[0] - 2.0) < 0.3
+
+
+def test_shallow_forests_fill_few_statistics_at_a_time():
+    from wardstats.operators import models as G
+
+    assert G.estimator(G.RANDOM_FOREST).getMaxMemoryInMB() == G.NODE_STATISTICS_MB
+    assert G.estimator(G.RANDOM_FOREST, maxDepth=30).getMaxMemoryInMB() == 256
+    assert G.estimator(G.RANDOM_FOREST, maxMemoryInMB=64).getMaxMemoryInMB() == 64
+
+
+def test_folds_are_fitted_at_once(spark, monkeypatch):
+    """Each fit waits until another has begun; one at a time never passes."""
+    import threading
+
+    from wardstats.operators import models as G
+
+    df = spark.range(60).select("id", F.lit("train").alias("split"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 2).cast("double").alias("y"))
+    both, real = threading.Barrier(2, timeout=20), G.fit_predict
+
+    def met(*args, **kw):
+        both.wait()
+        return real(*args, **kw)
+
+    monkeypatch.setattr(G, "fit_predict", met)
+    got = {r.fold: r.r2 for r in G.refit_scores(df, ["x"], "y", G.LINEAR, folds=2).collect()}
+    assert sorted(got) == [0, 1] and all(abs(v - 1) < 1e-9 for v in got.values())
+
+
+def test_stored_sets_batch_size_only_for_its_write(spark):
+    from wardstats.llm import scratch
+
+    seen = spark.conf.get(scratch.BATCH_CONF)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with scratch.scope():
+        out = scratch.stored(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "sizes", 30)
+        assert max(r.n for r in out.collect()) <= 30
+    assert spark.conf.get(scratch.BATCH_CONF) == seen
