@@ -61,6 +61,8 @@ MAX_MATCHES = 4
 VERIFY_COST, TOKEN_COST, CHANCE = 20.0, 1.0, 0.05
 #: Bytes of shingle records that one task gathers at a time.
 BUCKET_BYTES = 8 << 20
+#: Texts, and pairs of whole shingle sets, that a task hands to its worker at a time.
+TEXTS_IN_BATCH, PAIRS_IN_BATCH = 1000, 250
 
 _U = np.uint64
 
@@ -239,7 +241,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
     texts = docs.join(sized(wanted, 32), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "cls")
-    return stored(texts.mapInArrow(build, "cls bigint, shingles binary").dropDuplicates(["cls"]), "sets")
+    return stored(texts.mapInArrow(build, "cls bigint, shingles binary").dropDuplicates(["cls"]), "sets", TEXTS_IN_BATCH)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, texts_of: DataFrame, k: int, percent: int) -> DataFrame:
@@ -265,7 +267,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, texts_of: DataFrame, k: int, pe
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(common, pa.int32()), pa.array(union, pa.int32())], names=["a", "b", "common", "total"])
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, common int, total int"), "links")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, common int, total int"), "links", PAIRS_IN_BATCH)
 
 
 def similar_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
