@@ -11,16 +11,19 @@ std. Outputs are plain DataFrames: a long scored table
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    LinearRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -31,6 +34,7 @@ from wardstats.functions.session import ensure_checkpoint_dir
 from wardstats.functions.stats import r6, std0
 from wardstats.operators.evaluate import fold_col, hash_bucket
 from wardstats.operators.outliers import fence_flag, removal_fences
+from wardstats.operators.trees import cross_validated_r2
 from wardstats.sources.files import stored_rows
 
 # Model names and hyper-parameters of the reference models.
@@ -468,12 +472,19 @@ def grid_search(df: DataFrame, features, target: str, name: str, grid: dict, fol
                 id_col: str = "id", split: str = "split", parallelism: int = 4, seed: int = 42) -> DataFrame:
     """Exhaustive grid search with K-fold cross-validation on the
     training rows (R² scoring, folds by hash of the id); returns one row per
-    grid point with the mean CV R², and marks the best."""
+    grid point with the mean CV R², and marks the best. Trees of all depths
+    are the first levels of the deepest (``trees``)."""
     ensure_checkpoint_dir(df.sparkSession)
     feats = list(features)
     data = df.filter(F.col(split) == "train").select(
         F.col(target).cast("double").alias("label"), fold_col(id_col, folds).alias("fold"),
         *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=["label"])
+    if name == "Decision Tree" and set(grid) <= {"maxDepth", "minInstancesPerNode"}:
+        points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+        whole = [(p.get("maxDepth", 10), p.get("minInstancesPerNode", 1)) for p in points]
+        data = assemble(data, feats).select("label", "fold", vector_to_array("features").alias("values"))
+        r2 = cross_validated_r2(data, sorted({d for d, _ in whole}), sorted({m for _, m in whole}), folds, seed)
+        return _grid_rows(df, name, points, [np.mean(r2[p]) for p in whole], [np.std(r2[p]) for p in whole])
     data = assemble(data, feats).persist(StorageLevel.MEMORY_AND_DISK)
     est = estimator(name, seed=seed)
     b = ParamGridBuilder()
@@ -485,14 +496,17 @@ def grid_search(df: DataFrame, features, target: str, name: str, grid: dict, fol
                         parallelism=parallelism, seed=seed)
     cvm = cv.fit(data)
     data.unpersist()
-    spark = df.sparkSession
+    return _grid_rows(df, name, [{p.name: v for p, v in pm.items()} for pm in maps], cvm.avgMetrics, cvm.stdMetrics)
+
+
+def _grid_rows(df: DataFrame, name: str, points: list[dict], means, spreads) -> DataFrame:
+    best = max(range(len(points)), key=lambda i: means[i])
     rows = []
-    best = max(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
-    for i, pm in enumerate(maps):
-        desc = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((name, i, desc or "default", float(cvm.avgMetrics[i]), float(cvm.stdMetrics[i]), i == best))
-    return spark.createDataFrame(rows, "model string, point int, params string, cv_r2 double, cv_std double, "
-                                       "best boolean")
+    for i, p in enumerate(points):
+        desc = ", ".join(f"{k}={v}" for k, v in sorted(p.items()))
+        rows.append((name, i, desc or "default", float(means[i]), float(spreads[i]), i == best))
+    return df.sparkSession.createDataFrame(rows, "model string, point int, params string, cv_r2 double, cv_std double, "
+                                                 "best boolean")
 
 
 def cv_fold_r2(df: DataFrame, features, target: str, name: str = LINEAR, folds: int = 5, id_col: str = "id",
