@@ -30,7 +30,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstats.functions.session import ensure_checkpoint_dir
+from wardstats.functions.session import ensure_checkpoint_dir, jit_sized_methods
 from wardstats.functions.stats import r6, std0
 from wardstats.operators.evaluate import fold_col, hash_bucket
 from wardstats.operators.outliers import fence_flag, removal_fences
@@ -143,12 +143,15 @@ def rff_columns(df: DataFrame, cols, n_components: int = 64, seed: int = 42, fit
     z_k(x) = sqrt(2/D)·cos(w_k·x + b_k), w ~ N(0, 2γ), b ~ U(0, 2π), with
     γ = 1/(n_features·Var(X)) (sklearn's 'scale'). The random draws are
     literals of the plan, so every task computes the same features."""
-    weights, shifts, scale = random_draws(fit_df if fit_df is not None else df, cols, n_components, seed, gamma)
+    return _waves(df, cols, *random_draws(fit_df if fit_df is not None else df, cols, n_components, seed, gamma))
+
+
+def _waves(df: DataFrame, cols, weights: list, shifts: list, scale: float):
     exprs = []
     for k, (ws, shift) in enumerate(zip(weights, shifts)):
         dot = sum((F.col(c) * F.lit(wi) for c, wi in zip(cols, ws)), F.lit(shift))
         exprs.append((F.lit(scale) * F.cos(dot)).alias(f"_rff{k}"))
-    return df.select("*", *exprs), [f"_rff{k}" for k in range(n_components)]
+    return df.select("*", *exprs), [f"_rff{k}" for k in range(len(weights))]
 
 
 def mean_filled(df: DataFrame, cols, fit_df: DataFrame) -> DataFrame:
@@ -245,10 +248,11 @@ def fit_predict(df: DataFrame, features, target: str, name: str, id_col: str = "
         data = scale_columns(data, feats, train)
         train = data.filter(F.col(split) == "train")
     if name == KERNEL:
-        data, feats = rff_columns(data, feats, options.rff_components, options.random_state, train, params.pop("gamma", "scale"))
+        jit_sized_methods(df.sparkSession)
+        weights = random_draws(train, feats, options.rff_components, options.random_state, params.pop("gamma", "scale"))
+        data, feats = _waves(data, feats, *weights)
         train = data.filter(F.col(split) == "train")
-    data = assemble(data, feats)
-    train = data.filter(F.col(split) == "train")
+    data, train = assemble(data, feats), assemble(train, feats)  # the assembler lets no filter through
     t0 = time.time()
     if name == KERNEL:
         with stored_rows(train.select("features", "label"), "kernel-rows") as rows:

@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,20 +26,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "wardstats", f"{name}-{uuid.uuid4().hex}")
 
 
+#: Rows of a stored table that a task writes or reads at once.
+ROW_GROUP_BYTES = 8 << 20
+
+
 @contextmanager
 def stored_rows(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` written to the shared scratch folder and read back for the time
-    of a ``with``, cached (memory and disk): for iterative fits, whose many
-    jobs then plan a bare scan instead of everything ``df`` was made by. The
-    folder goes at the end; a lost executor's blocks are read again from it."""
+    of a ``with``: for iterative fits, whose many jobs then plan a bare scan
+    instead of everything ``df`` was made by. Rows stay on disk, in small row
+    groups, so that a task holds ``ROW_GROUP_BYTES`` of them however many there
+    are. The folder goes at the end."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+    df.write.options(**{"parquet.block.size": ROW_GROUP_BYTES, "parquet.enable.dictionary": "false", "compression": "none"}).parquet(path)
     try:
-        yield rows
+        yield spark.read.schema(df.schema).parquet(path)
     finally:
-        rows.unpersist()
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
